@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_spans import op2_dedup_byte_spans
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .license_scan import op1_license_scan
 from .mixing import op8_mix_sources
 from .packing import op5_pack_sequences
+from .word_spans import op6_dedup_word_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op5_pack_sequences, op8_mix_sources, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_license_scan,
+        op2_dedup_byte_spans,
+        op5_pack_sequences,
+        op6_dedup_word_spans,
+        op8_mix_sources,
+        op10_exact_dedup,
+    )
 }
 
 SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
