@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_spans import op2_dedup_byte_spans
+from .embedding_dedup import op3_embedding_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .license_scan import op1_license_scan
 from .mixing import op8_mix_sources
 from .packing import op5_pack_sequences
+from .shingle_join import op4_jaccard_join
 from .word_spans import op6_dedup_word_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan,
         op2_dedup_byte_spans,
+        op3_embedding_dedup,
+        op4_jaccard_join,
         op5_pack_sequences,
         op6_dedup_word_spans,
         op8_mix_sources,
