@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
@@ -102,3 +102,21 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of docs that stay, with their columns: one per text.
+
+    Of rows repeated with the same identifier and text one stays.
+    """
+    names = docs.columns
+    kept = exact_dedup(docs, key, text, keep).filter("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own = docs.withColumn("__d", sha256_hex(F.coalesce(F.col(text), F.lit(""))))
+    ranked = own.join(kept.hint("shuffle_hash"), (F.col("__d") == F.col("__digest")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
+    # At most a few rows share identifier and text, so this window never gathers a group.
+    w = Window.partitionBy("__d", F.col(key)).orderBy(*[F.col(c) for c in names if c != text and _sortable(docs, c)])
+    return ranked.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*names)
+
+
+def _sortable(docs: DataFrame, name: str) -> bool:
+    return docs.schema[name].dataType.typeName() not in ("map", "variant")

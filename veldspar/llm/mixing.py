@@ -154,3 +154,26 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by the weights 5, 2, 1 of their sources."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8) -> DataFrame:
+    """The rows of docs with their columns, each as often as the mix takes it (0 to MAX_REPEATS).
+
+    Rows that share identifier, source and size are alike to the mix: what it takes of them
+    together is dealt out among them as evenly as it goes.
+    """
+    names = docs.columns
+    alike = ("__key", "__source", "__size")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    plan = mix(docs, key, text, source, seed).select(F.col("id").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), "passes")
+    plan = plan.groupBy(*alike).agg(F.sum("passes").alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
+    plan = plan.select(*[F.col(c).alias(f"{c}2") for c in alike], "__all", "__rows")
+    own = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__source", F.col(source).cast("string")).withColumn("__size", size)
+    same = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in alike]
+    taken = own.join(plan.hint("shuffle_hash"), same[0] & same[1] & same[2])
+    # Nearly always one row: only repeated identifiers are numbered.
+    one = taken.filter("__rows = 1").withColumn("__n", F.lit(1))
+    more = taken.filter("__rows > 1").withColumn("__n", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64(text))))
+    passes = F.expr("cast(__all div __rows + if(__n <= __all % __rows, 1, 0) as int)")
+    both = one.unionByName(more).withColumn("__passes", passes).filter("__passes > 0")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__passes"))).select(*names)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_spans import op2_dedup_byte_spans
 from .embedding_dedup import op3_embedding_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op9_html_extract
 from .license_scan import op1_license_scan
 from .mixing import op8_mix_sources
 from .packing import op5_pack_sequences
+from .quality import op7_quality_classifier
 from .shingle_join import op4_jaccard_join
 from .word_spans import op6_dedup_word_spans
 
@@ -23,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_jaccard_join,
         op5_pack_sequences,
         op6_dedup_word_spans,
+        op7_quality_classifier,
         op8_mix_sources,
+        op9_html_extract,
         op10_exact_dedup,
     )
 }

@@ -257,3 +257,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents linked at a Jaccard similarity of 0.8 of their 5-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+
+
+def distinct_by_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id is their component's smallest, with their columns.
+
+    Rows without shingles, and rows of a component without any id, all stay.
+    """
+    names = docs.columns
+    gone = jaccard_components(docs, key, text, n, percent).filter("not (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
+    # Not the kept ones but the dropped ones are looked up: they are few, and no text is shuffled twice.
+    own = docs.withColumn("__key", F.col(key).cast("long"))
+    return own.join(gone.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")), "left_anti").select(*names)
