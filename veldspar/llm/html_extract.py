@@ -1,9 +1,9 @@
 """HTML extraction with a tree-structured graphical model.
 
-A page becomes a tree of elements and text blocks. Every node is content or not; a node
-potential weighs its tag, its class and id words and, for a block, its length and share of
-linked text, and a parent-child potential says how often a child's state follows its
-parent's. Sum-product message passing, leaves to root and back, gives each block's marginal
+A page becomes a tree of elements and text blocks. A node is content, around the content's
+container, or neither; a node potential weighs its class and id words and, for a block, its
+length and share of linked text, and a parent-child potential says how often a child of such
+a tag and state stands under a parent of such a state. Sum-product message passing, leaves to root and back, gives each block's marginal
 exactly. The potentials are counted on labelled pages (here pages built with known labels).
 """
 
@@ -122,71 +122,104 @@ class Page:
             n = len(self.text[k])
             share = self.linked[k] / n
             return [f"chars:{min(7, n.bit_length() // 2)}", f"linked:{0 if share < 0.2 else 1 if share < 0.8 else 2}"]
-        return [f"tag:{self.tag[k]}", *(f"word:{w}" for w in self.words[k])]
+        return [f"word:{w}" for w in self.words[k]]
+
+
+#: States: neither content nor around it; content; around the content's container.
+OTHER, CONTENT, OUTER = 0, 1, 2
+STATES = (OTHER, CONTENT, OUTER)
 
 
 class TreeModel:
-    """Node and parent-child log potentials of the two states (0: other, 1: content)."""
+    """Potentials of three states.
+
+    edge: (parent's state, child's state, child's tag) to the log of how often such a child
+    stands under such a parent; node: feature to its log weight in each state; root: the log
+    weights of the page's own state.
+    """
 
-    def __init__(self, node: dict[str, tuple[float, float]], edge: tuple[tuple[float, float], tuple[float, float]], root: tuple[float, float]):
-        self.node, self.edge, self.root = node, edge, root
+    def __init__(self, node: dict[str, tuple[float, ...]], edge: dict[tuple[int, int, str], float], root: tuple[float, ...]):
+        self.node, self.root = node, root
+        tags = {t for _, _, t in edge}
+        self.edges = {t: [[math.exp(edge.get((p, c, t), -30.0)) for c in STATES] for p in STATES] for t in tags}
+        #: An unknown tag says nothing but how often states follow each other.
+        self.any_tag = [[sum(self.edges[t][p][c] for t in tags) for c in STATES] for p in STATES]
 
     @classmethod
     def fit(cls, pages: list[tuple[Page, list[int]]]) -> TreeModel:
-        """Smoothed counts of features by state and of states by parent's state. Weights of a
-        block's own features are halved: neighbours in a page are not independent."""
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        total, follow, root = [0, 0], [[1.0, 1.0], [1.0, 1.0]], [1.0, 1.0]
+        """Smoothed counts. A block's own features weigh less: neighbours are not independent."""
+        seen = [Counter(), Counter(), Counter()]
+        total, under, root = [0, 0, 0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0]
+        follow: Counter = Counter()
         for page, states in pages:
             root[states[0]] += 1
             for k, s in enumerate(states):
                 total[s] += 1
                 seen[s].update(page.features(k))
                 if k:
-                    follow[states[page.parent[k]]][s] += 1
+                    above = states[page.parent[k]]
+                    follow[above, s, page.tag[k]] += 1
+                    under[above] += 1
         node = {}
-        for f in seen[0] | seen[1]:
-            scale = 0.25 if f.startswith(("chars:", "linked:")) else 1.0
-            odds = [scale * math.log((seen[s][f] + 0.5) / (total[s] + 1.0)) for s in (0, 1)]
-            node[f] = (odds[0], odds[1])
-        edge = tuple(tuple(math.log(x / sum(row)) for x in row) for row in follow)
+        for f in set().union(*seen):
+            scale = 0.3 if f.startswith(("chars:", "linked:")) else 1.0
+            node[f] = tuple(scale * math.log((seen[s][f] + 0.5) / (total[s] + 1.0)) for s in STATES)
+        tags = {t for _, _, t in follow}
+        edge = {}
+        for t in tags:
+            for p in STATES:
+                for c in STATES:
+                    possible = c != OUTER or p == OUTER and t != ""
+                    edge[p, c, t] = math.log((follow[p, c, t] + 0.2) / (under[p] + 0.2 * 3 * len(tags))) if possible else -30.0
         return cls(node, edge, tuple(math.log(x / sum(root)) for x in root))
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of each node by one upward and one downward pass."""
         n = len(page.tag)
+        exp, log = math.exp, math.log
         own = []
         for k in range(n):
-            a = b = 0.0
+            w = [0.0, 0.0, 0.0]
             for f in page.features(k):
-                w = self.node.get(f)
-                if w:
-                    a += w[0]
-                    b += w[1]
-            own.append([a, b])
-        (e00, e01), (e10, e11) = self.edge
-        up: list[tuple[float, float]] = [(0.0, 0.0)] * n
+                if v := self.node.get(f):
+                    w = [w[0] + v[0], w[1] + v[1], w[2] + v[2]]
+            own.append(w)
+        edges = [self.edges.get(t, self.any_tag) for t in page.tag]
+        up: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)] * n
         for k in range(n - 1, 0, -1):
-            a, b = own[k]
-            u = (_add(a + e00, b + e01), _add(a + e10, b + e11))
+            a, b, c = own[k]
+            top = max(a, b, c)
+            a, b, c = exp(a - top), exp(b - top), exp(c - top)
+            x, y, z = edges[k]
+            u = (log(x[0] * a + x[1] * b + x[2] * c + 1e-300), log(y[0] * a + y[1] * b + y[2] * c + 1e-300), log(z[0] * a + z[1] * b + z[2] * c + 1e-300))
             up[k] = u
             p = own[page.parent[k]]
             p[0] += u[0]
             p[1] += u[1]
-        belief = [[0.0, 0.0]] * n
-        belief[0] = [own[0][0] + self.root[0], own[0][1] + self.root[1]]
-        for k in range(1, n):
-            p, u = belief[page.parent[k]], up[k]
-            a, b = p[0] - u[0], p[1] - u[1]
-            belief[k] = [own[k][0] + _add(a + e00, b + e10), own[k][1] + _add(a + e01, b + e11)]
-            top = max(belief[k])
-            belief[k] = [belief[k][0] - top, belief[k][1] - top]
-        return [1 / (1 + math.exp(min(700.0, x[0] - x[1]))) for x in belief]
-
-
-def _add(a: float, b: float) -> float:
-    """log(exp(a) + exp(b))"""
-    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+            p[2] += u[2]
+        belief: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)] * n
+        belief[0] = tuple(o + r for o, r in zip(own[0], self.root, strict=True))
+        out = [0.0] * n
+        for k in range(n):
+            if k:
+                p, u = belief[page.parent[k]], up[k]
+                a, b, c = p[0] - u[0], p[1] - u[1], p[2] - u[2]
+                top = max(a, b, c)
+                a, b, c = exp(a - top), exp(b - top), exp(c - top)
+                x, y, z = edges[k]
+                o = own[k]
+                belief[k] = (
+                    o[0] + log(a * x[0] + b * y[0] + c * z[0] + 1e-300),
+                    o[1] + log(a * x[1] + b * y[1] + c * z[1] + 1e-300),
+                    o[2] + log(a * x[2] + b * y[2] + c * z[2] + 1e-300),
+                )
+            q = belief[k]
+            top = max(q)
+            q = (q[0] - top, q[1] - top, q[2] - top)
+            belief[k] = q
+            e = exp(q[1])
+            out[k] = e / (exp(q[0]) + e + exp(q[2]))
+        return out
 
 
 #: Class and id words of the parts of common page layouts.
@@ -269,11 +302,11 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             return "<table>" + "".join(f"<tr><td>{prose(1, 4, True)}</td><td>{prose(1, 4, True)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
         return f"<figure><figcaption>{prose(1, 12, True)}</figcaption></figure>"
 
-    before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "share"], rng.randint(1, 4))]
-    after = [other(k) for k in rng.sample(["footer", "aside", "ad", "comments", "nav", "form", "notice", "share"], rng.randint(1, 5))]
+    before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "share"], rng.randint(0, 5))]
+    after = [other(k) for k in rng.sample(["footer", "aside", "ad", "comments", "nav", "form", "notice", "share"], rng.randint(1, 7))]
     inside = [block() for _ in range(rng.randint(1, 12))]
-    if rng.random() < 0.5:
-        inside.insert(rng.randint(0, len(inside)), other(rng.choice(["ad", "share", "aside", "comments", "form", "notice"])))
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        inside.insert(rng.randint(0, len(inside)), other(rng.choice(["ad", "share", "aside", "comments", "form", "notice", "nav"])))
     title = f"<h1>{prose(1, 9, True)}</h1>"
     if rng.random() < 0.15:
         title = f"<header>{title}</header>"
@@ -288,7 +321,8 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
 
 
 def labelled(source: str, good: set[str]) -> tuple[Page, list[int]]:
-    """A page's states: a block by its text, an element by whether most of its blocks are content."""
+    """A page's states. The container is the lowest element over all content blocks: what is
+    above it is outer, what is in it is content if at least half of its blocks are."""
     page = Page(source)
     n = len(page.tag)
     have, content = [0] * n, [0] * n
@@ -298,7 +332,13 @@ def labelled(source: str, good: set[str]) -> tuple[Page, list[int]]:
         if k:
             have[page.parent[k]] += have[k]
             content[page.parent[k]] += content[k]
-    return page, [int(2 * content[k] > have[k]) for k in range(n)]
+    container = max((k for k in range(n) if content[k] == content[0]), default=0)
+    states = [CONTENT if content[k] and 2 * content[k] >= have[k] else OTHER for k in range(n)]
+    states[container] = CONTENT if content[0] else OTHER
+    k = page.parent[container]
+    while k >= 0:
+        states[k], k = OUTER, page.parent[k]
+    return page, states
 
 
 def train(pages: int = 600, seed: int = 9) -> TreeModel:
