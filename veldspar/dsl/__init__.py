@@ -1,7 +1,7 @@
 """The query language: lexer, parser and compiler to DataFrames."""
 
 from .compiler import Compiler, QueryError
-from .lexer import ParseError, statements
+from .lexer import ParseError, split_statements
 from .statements import parse
 
-__all__ = ["Compiler", "ParseError", "QueryError", "parse", "statements"]
+__all__ = ["Compiler", "ParseError", "QueryError", "parse", "split_statements"]

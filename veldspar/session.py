@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import signal, tensors
 from .dsl.compiler import Compiler, QueryError, Scope
-from .dsl.lexer import statements
+from .dsl.lexer import split_statements
 from .dsl.parser import Item, Select, Statement
 from .dsl.statements import parse
 from .functions.vector import normalize
@@ -110,7 +110,7 @@ class Session:
         return getattr(self, f"do_{s.kind}")(s)
 
     def script(self, source: str) -> list[Result]:
-        return [self.execute(s) for s in statements(source)]
+        return [self.execute(s) for s in split_statements(source)]
 
     def sql(self, source: str) -> DataFrame:
         """The DataFrame of a statement that gives one."""
