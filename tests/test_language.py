@@ -193,6 +193,8 @@ def test_persistence(s, tmp_path):
     s.script("RESET\nLOAD DATASET docs")
     assert rows(s, "SELECT AVG_VEC(embedding) AS m FROM docs WHERE id < 3") == [([0.5, 0.5, 0.0],)]
     assert "embedding: Vector(3)" in s.execute("SHOW SCHEMA docs").message
+    s.script('SAVE DATASET docs TO "%s/x.parquet"\nLOAD DATASET y FROM "%s/x.parquet"\nLOAD DATASET z FROM "%s/x.parquet/data.parquet"' % ((tmp_path,) * 3))
+    assert s.sql("SELECT * FROM y").count() == s.sql("SELECT * FROM z").count() == 4
     s.script('LOAD DATASET again FROM "%s/pkg"\nEXPORT docs TO "%s/out"' % (tmp_path, tmp_path))
     assert s.spark.read.csv(f"{tmp_path}/out", header=True).count() == 4
     s.delete_dataset("docs")

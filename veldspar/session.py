@@ -605,7 +605,7 @@ class Session:
 
     def do_load_dataset(self, s: Statement) -> Result:
         path = s.path or self.folder("datasets", s.name)
-        if path.endswith(".parquet"):
+        if path.endswith(".parquet") and not os.path.exists(os.path.join(path, "schema.json")):
             self._put(s.name, self.spark.read.parquet(path))
             return Result(f"loaded {s.name}")
         df, meta = load_package(self.spark, path)
