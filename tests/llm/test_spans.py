@@ -85,3 +85,38 @@ def test_multikey_ties(pairs):
     tied = Counter(pairs)
     assert sorted(items.tolist()) == [k for k, p in enumerate(pairs) if tied[p] > 1]
     assert len({(g, pairs[i]) for g, i in zip(group.tolist(), items.tolist(), strict=True)}) == len({g for g in group.tolist()}) == len([p for p in tied if tied[p] > 1])
+
+
+def repetitive(seed, n):
+    """Texts from few words, with stretches taken from each other and periodic runs."""
+    import random
+
+    rng = random.Random(seed)
+    texts = []
+    for k in range(n):
+        t = [rng.choice(["aa", "b", "ccc", "dd", "e", f"w{rng.randrange(40)}"]) for _ in range(rng.randint(0, 90))]
+        if texts and rng.random() < 0.6:
+            other = rng.choice(texts).split()
+            at = rng.randrange(len(other) + 1)
+            t[rng.randrange(len(t) + 1) : 0] = other[at : at + rng.randint(5, 60)]
+        if rng.random() < 0.2:
+            t += ["x", "yy"] * rng.randint(5, 40)
+        texts.append(" ".join(t) + rng.choice(["", " ", "."]))
+    ids = [rng.choice([k, k, k, k + 1000]) for k in range(n)]
+    return list(dict(zip(ids, texts, strict=True)).items())
+
+
+def test_repetitive_texts_in_small_blocks(spark, monkeypatch):
+    from veldspar.llm import anchors, byte_spans
+
+    monkeypatch.setattr(anchors, "BLOCK", 400)
+    monkeypatch.setattr(byte_spans, "PART_BYTES", 1000)
+    monkeypatch.setattr(byte_spans, "BUCKET_ANCHORS", 20)
+    rows = repetitive(1, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["id"]: r for r in dedup_word_spans(df, window=8).collect()}
+    for (i, _), want in zip(rows, brute_words(rows, 8), strict=True):
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == want
+    got = {r["id"]: r for r in dedup_byte_spans(df, window=64).collect()}
+    for (i, _), want in zip(rows, brute_bytes(rows, 64), strict=True):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want

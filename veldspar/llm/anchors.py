@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of one vectorised block; also the bits that hold a position in a sort key.
-_POS_BITS = 25
-BLOCK = 1 << 24
+#: Characters of one vectorised block, unless one text is longer; a block's arrays take about
+#: a hundred bytes for each.
+BLOCK = 1 << 21
+#: Bits that hold a position within a block in a sort key.
+_POS_BITS = 27
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -104,11 +106,32 @@ def blocks_of(texts: list, weight: Callable[[object], int]) -> Iterator[slice]:
 Grams = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: What the repeated-anchor step is to do with a row: tell whether its gram has two places;
+#: only count it as a place; pass it on, its gram being known to have two.
+ASKED, COUNTED, KNOWN = 0, 1, 2
+
+
+def asked(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, kinds) for the anchors of a block: a gram that the block holds once is asked
+    for; of one that it holds more often all rows are known and two are counted elsewhere."""
+    order = np.argsort(grams, kind="stable")
+    g = grams[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))[: len(g)]
+    n = np.diff(np.concatenate((first, [len(g)])))
+    many = np.repeat(n > 1, n)
+    twice = np.concatenate((first[n > 1], first[n > 1] + 1))
+    rows = np.concatenate((order[~many], order[many], order[twice]))
+    kinds = np.repeat(np.array([ASKED, KNOWN, COUNTED], dtype=np.int32), [int((~many).sum()), int(many.sum()), len(twice)])
+    return rows, kinds
+
+
 def repeated_anchors(rows: DataFrame, grams: Grams, window: int, gram: int) -> DataFrame:
     """(gram, lead, r1, loc) of every anchor whose gram stands in two places at least.
 
     loc: r2 in the upper, the anchor's position in the text in the lower 32 bits. Copies of a
-    text within a task are looked at once, and equal rows count as one place.
+    text within a task are looked at once. Of a gram that a block of texts holds more than
+    once, only two rows go to the gram's partition, the others to partitions of their own
+    place: a very common gram does not gather. Equal rows may come more than once.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +150,26 @@ def repeated_anchors(rows: DataFrame, grams: Grams, window: int, gram: int) -> D
             for part in blocks_of(texts, len):
                 h, lead, starts, lengths = grams(texts[part])
                 text, a, _, _ = runs_of(h, starts, lengths, window, gram)
-                loc = (own2[part][text] << 32) | (a - starts[text])
-                yield pa.RecordBatch.from_arrays([pa.array(h[a].view(np.int64)), pa.array(lead(a)), pa.array(own1[part][text]), pa.array(loc)], ["gram", "lead", "r1", "loc"])
+                use, kind = asked(h[a])
+                text, a = text[use], a[use]
+                g, r, loc = h[a].view(np.int64), own1[part][text], (own2[part][text] << 32) | (a - starts[text])
+                to = np.where(kind == KNOWN, mix(r.view(np.uint64) ^ mix(loc.view(np.uint64))).view(np.int64), g)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (to, kind, g, lead(a), r, loc))), ["to", "kind", "gram", "lead", "r1", "loc"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_out = None, False  # the last row so far; whether its gram has two places already
+        names = ["gram", "lead", "r1", "loc"]
         for b in batches:
-            if not b.num_rows:
+            cols = [b.column(k).to_numpy() for k in range(1, 6)]
+            known = cols[0] == KNOWN
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in cols[1:]], names)
+                cols = [c[~known] for c in cols]
+            if not len(cols[0]):
                 continue
-            cols = [b.column(k).to_numpy() for k in range(4)]
             if held is not None:
                 cols = [np.concatenate(([x], c)) for x, c in zip(held, cols, strict=True)]
-            g, _, r1, loc = cols
+            kind, g, _, r1, loc = cols
             new_run = np.concatenate(([True], g[1:] != g[:-1]))
             first, run = np.flatnonzero(new_run), np.cumsum(new_run) - 1
             other = np.concatenate(([False], (r1[1:] != r1[:-1]) | (loc[1:] != loc[:-1]))) & ~new_run
@@ -149,9 +180,10 @@ def repeated_anchors(rows: DataFrame, grams: Grams, window: int, gram: int) -> D
                 out[0] = False
             held_out = bool(places[-1] > 0) or (len(first) == 1 and held_out)
             held = tuple(c[-1] for c in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], ["gram", "lead", "r1", "loc"])
+            out &= kind == ASKED
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols[1:]], names)
 
     kinds = "gram long, lead long, r1 long, loc long"
-    found = rows.select("content", "r1", "r2").mapInArrow(emit, kinds)
-    dealt = found.repartition("gram").sortWithinPartitions("gram", "r1", "loc")
+    found = rows.select("content", "r1", "r2").mapInArrow(emit, f"to long, kind int, {kinds}")
+    dealt = found.repartition("to").sortWithinPartitions(F.col("kind") == KNOWN, "gram", "r1", "loc", "kind")
     return dealt.mapInArrow(repeated, kinds)

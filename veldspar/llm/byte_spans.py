@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ WINDOW = 400
 GRAM = 32
 #: Repeated anchors that one bucket holds on average.
 BUCKET_ANCHORS = 8_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 14
+#: Bytes of fragments whose windows a bucket compares at a time, unless one gram has more.
+PART_BYTES = 1 << 21
 
 
 def _joined(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -106,6 +109,21 @@ def multikey_ties(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return items, group
 
 
+#: A fragment's state: its block holds it once; more often, and this one stands for all; or
+#: more often, and another one does.
+ONCE, TWICE, TOLD = 0, 1, 2
+
+
+def repeated_fragments(gram: np.ndarray, off: np.ndarray, cut: list[bytes], r1: np.ndarray, r2: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The state of each fragment of a block; the same place again is no second place."""
+    state, seen = np.zeros(len(gram), dtype=np.int32), {}
+    for k, key in enumerate(zip(gram.tolist(), off.tolist(), cut, strict=True)):
+        first = seen.setdefault(key, k)
+        if first != k and (r1[first], r2[first], start[first]) != (r1[k], r2[k], start[k]):
+            state[first], state[k] = TWICE, TOLD
+    return state
+
+
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(r1, r2, spans) of every text with bytes to go; spans: [first, beyond) byte positions.
 
@@ -121,7 +139,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text under the windows of each repeated anchor."""
-        names = ["bucket", "gram", "r1", "r2", "start", "off", "bytes"]
+        names = ["bucket", "state", "gram", "r1", "r2", "start", "off", "bytes"]
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in blocks_of(texts, len):
@@ -139,14 +157,36 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 for k in range(7):
                     lead = (lead << 8) | big[a + k]
                 keys = [b.column(k).to_numpy()[part][text] for k in (1, 2)]
-                cols = [np.searchsorted(cuts, lead, side="right"), grams[a].view(np.int64), *keys, lo - starts[text], a - lo]
+                start, off = lo - starts[text], a - lo
                 cut = [data[x:y] for x, y in zip(lo.tolist(), (hi + window).tolist(), strict=True)]
+                state = repeated_fragments(grams[a], off, cut, *keys, start)
+                # Of fragments that a block holds more than once, one goes to their bucket.
+                bucket = np.where(state == TOLD, (mix(keys[0].view(np.uint64) + start.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), np.searchsorted(cuts, lead, side="right"))
+                cols = [bucket, state, grams[a].view(np.int64), *keys, start, off]
+                cut = [b"" if told else x for told, x in zip((state == TOLD).tolist(), cut, strict=True)]
+                cols[-1] = np.where(state == TOLD, hi - lo + 1, off)  # of a told fragment: its windows
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(cut, pa.binary())], names)
 
-    dealt = own.mapInArrow(fragments, "bucket long, gram long, r1 long, r2 long, start long, off long, bytes binary")
+    dealt = own.mapInArrow(fragments, "bucket long, state int, gram long, r1 long, r2 long, start long, off long, bytes binary")
+
+    def bucket_rows(t: pa.Table) -> pa.Table:
+        told = t.filter(pc.equal(t.column("state"), TOLD))
+        t = t.filter(pc.not_equal(t.column("state"), TOLD))
+        rest = {c: told.column(c).to_numpy() for c in ("r1", "r2", "start", "off")}
+        known = pa.table({"r1": rest["r1"], "r2": rest["r2"], "first": pa.array(rest["start"], pa.int32()), "beyond": pa.array(rest["start"] + rest["off"] - 1 + window, pa.int32())})
+        if not t.num_rows:
+            return known
+        # Whole grams at a time, so that the arrays stay small whatever the bucket holds.
+        t = t.take(pc.sort_indices(t, [("gram", "ascending")])).combine_chunks()
+        size = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy())
+        g = t.column("gram").to_numpy()
+        new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        part = size[new] // PART_BYTES
+        cuts = [*new[np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))].tolist(), t.num_rows]
+        return pa.concat_tables([known, *(equal_neighbours(t.slice(x, y - x)) for x, y in zip(cuts, cuts[1:], strict=False))])
 
     def equal_neighbours(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_numpy() for c in ("gram", "r1", "r2", "start", "off")}
+        col = {c: t.column(c).to_numpy() for c in ("state", "gram", "r1", "r2", "start", "off")}
         parts = t.column("bytes").to_pylist()
         n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) - window + 1
         begin = np.cumsum(n + window - 1) - (n + window - 1)
@@ -166,6 +206,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         np.minimum.at(low, group, who)
         hit = np.zeros(len(row) + 1, dtype=np.int8)
         hit[items[(high != low)[group]]] = 1
+        hit[:-1] |= (col["state"][row] == TWICE).astype(np.int8)
         # Stretches of consecutive hits within a fragment.
         stop = np.concatenate((row[1:] != row[:-1], [True])) if len(row) else np.zeros(0, dtype=bool)
         before = np.concatenate(([0], np.where(stop, 0, hit[:-1])))[: len(row)]
@@ -175,7 +216,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         r = row[first]
         return pa.table({"r1": col["r1"][r], "r2": col["r2"][r], "first": pa.array(col["start"][r] + inside[first], pa.int32()), "beyond": pa.array(col["start"][r] + inside[last] + window, pa.int32())})
 
-    found = dealt.groupBy("bucket").applyInArrow(equal_neighbours, "r1 long, r2 long, first int, beyond int")
+    found = dealt.groupBy("bucket").applyInArrow(bucket_rows, "r1 long, r2 long, first int, beyond int")
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("first", "beyond"))).alias("spans"))
 
 

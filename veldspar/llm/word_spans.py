@@ -53,7 +53,7 @@ def listed(anchors: DataFrame) -> DataFrame:
     """(r1, r2, places) with the sorted positions of a text's repeated anchors."""
     place = F.col("loc").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     r2 = F.shiftrightunsigned("loc", 32)
-    return anchors.groupBy("r1", r2.alias("r2")).agg(F.sort_array(F.collect_list(place)).alias("places"))
+    return anchors.groupBy("r1", r2.alias("r2")).agg(F.sort_array(F.array_distinct(F.collect_list(place))).alias("places"))
 
 
 def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
