@@ -273,7 +273,7 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             return f"<footer{attrs(words)}>{inner}</footer>" if rng.random() < 0.7 else f"<div{attrs(words, 1)}>{inner}</div>"
         if kind == "aside":
             tag = rng.choice(["aside", "aside", "div", "section"])
-            inner = "".join(f"<h3>{prose(1, 4, False)}</h3><p>{prose(2, 30, False)}</p>" for _ in range(rng.randint(1, 3)))
+            inner = "".join(f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{prose(1, 4, False)}</{h}><p>{prose(2, 30, False)}</p>" for _ in range(rng.randint(1, 3)))
             return f"<{tag}{attrs(words, 0.6 if tag == 'aside' else 1)}>{inner}</{tag}>"
         if kind == "form":
             return f"<form{attrs(words)}><label>{prose(1, 3, False)}</label><input type=text><p>{prose(1, 9, False)}</p><button>{prose(1, 2, False)}</button></form>"
@@ -281,7 +281,8 @@ def training_page(rng: random.Random) -> tuple[str, set[str]]:
             tag = rng.choice(["section", "div", "div", "ol"])
             sub = rng.choice(["div", "li", "article", "p"])
             inner = "".join(f"<{sub}{attrs(words)}>{prose(3, 40, False) if sub == 'p' else '<p>' + prose(3, 40, False) + '</p>'}</{sub}>" for _ in range(rng.randint(1, 4)))
-            return f"<{tag}{attrs(words, often)}><h3>{prose(1, 3, False)}</h3>{inner}</{tag}>"
+            h = rng.choice(["h2", "h3", "h4"])
+            return f"<{tag}{attrs(words, often)}><{h}>{prose(1, 3, False)}</{h}>{inner}</{tag}>"
         tag = rng.choice(["div", "div", "section", "p"])
         inner = prose(1, 14, False) if tag == "p" or rng.random() < 0.5 else f"<p>{prose(2, 30, False)}</p>"
         return f"<{tag}{attrs(words, often)}>{inner}</{tag}>"
