@@ -1,3 +1,10 @@
 """veldspar: vectors, matrices, tables and signals as ordinary Spark columns."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
