@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words in the plain word rule `[^\x20\x09-\x0D]+`.
@@ -16,16 +15,6 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _own: list[str] = []
 
 
-def ship() -> None:
-    """Pickle this package's functions by value, so executors need no copy of it."""
-    import veldspar
-
-    cloudpickle.register_pickle_by_value(veldspar)
-
-
-ship()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
