@@ -44,3 +44,17 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).toPandas()
     assert Counter(packed[packed["piece"] == 0]["doc_id"]) == mixed
     assert packed.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+@pytest.mark.parametrize("name", ["op3_embedding_dedup", "op4_jaccard_join", "op6_dedup_word_spans", "op10_exact_dedup"])
+def test_equals_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = entry.queries()[name](spark, sf_dir)
+    rel = con.sql(entry.oracle_sql()[name])
+    names = sorted(df.columns)
+    assert sorted(rel.columns) == names
+    at = [rel.columns.index(c) for c in names]
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in rel.fetchall())

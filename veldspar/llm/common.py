@@ -50,3 +50,10 @@ def forget(df: DataFrame) -> None:
         if "/veldspar/" in f:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that operators left in the shared folder; results must be stored by then."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/veldspar")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
