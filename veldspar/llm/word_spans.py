@@ -56,6 +56,19 @@ def listed(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("r1", r2.alias("r2")).agg(F.sort_array(F.array_distinct(F.collect_list(place))).alias("places"))
 
 
+def repeated_paths(gram: np.ndarray, off: np.ndarray, edges: np.ndarray, ends: np.ndarray, owner: pa.Array, r1: np.ndarray, r2: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which paths of a block have all their edges in an earlier path of the block."""
+    nulls = np.asarray(owner.is_null()).astype(np.int8)
+    order = np.lexsort((start, r2, r1, np.asarray(owner.fill_null(0)), nulls))
+    raw, cut = edges.tobytes(), (ends * 8).tolist()
+    later, seen = np.zeros(len(gram), dtype=bool), {}
+    for k, g, o in zip(order.tolist(), gram[order].tolist(), off[order].tolist(), strict=True):
+        place = (r1[k], r2[k], start[k])
+        if seen.setdefault((g, o, raw[cut[k] : cut[k + 1]]), place) != place:
+            later[k] = True
+    return later
+
+
 def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(r1, r2, spans) of every text with words to go; spans: [first, beyond) word positions.
 
@@ -69,7 +82,7 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of edges whose anchor is repeated, with the hash of each edge."""
-        names = ["bucket", "gram", "r1", "r2", "owner", "start", "off", "edges"]
+        names = ["bucket", "later", "gram", "r1", "r2", "owner", "start", "off", "edges"]
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in blocks_of(texts, len):
@@ -87,13 +100,16 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(n)))
                 flat = np.arange(int(ends[-1])) - np.repeat(ends[:-1], n) + np.repeat(lo, n)
                 owner = b.column(3).slice(part.start, part.stop - part.start).take(pa.array(text))
-                keys = [b.column(k).to_numpy()[part][text] for k in (1, 2)]
-                g = grams[a]
-                cols = [pa.array((mix(g) % np.uint64(buckets)).astype(np.int64)), pa.array(g.view(np.int64)), pa.array(keys[0]), pa.array(keys[1]), owner]
-                cols += [pa.array(lo - starts[text]), pa.array(a - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edge[flat].view(np.int64)))]
+                r1, r2 = (b.column(k).to_numpy()[part][text] for k in (1, 2))
+                g, start, off, edges = grams[a], lo - starts[text], a - lo, edge[flat]
+                later = repeated_paths(g, off, edges, ends, owner, r1, r2, start)
+                # A path that stands earlier in this block needs no bucket of its gram.
+                bucket = np.where(later, mix(r1.view(np.uint64) + start.astype(np.uint64)), mix(g)) % np.uint64(buckets)
+                cols = [pa.array(bucket.astype(np.int64)), pa.array(later), pa.array(g.view(np.int64)), pa.array(r1), pa.array(r2), owner]
+                cols += [pa.array(start), pa.array(off), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edges.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    dealt = own.mapInArrow(paths, "bucket long, gram long, r1 long, r2 long, owner long, start long, off long, edges array<long>")
+    dealt = own.mapInArrow(paths, "bucket long, later boolean, gram long, r1 long, r2 long, owner long, start long, off long, edges array<long>")
 
     def earliest(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -110,19 +126,21 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         owner = np.asarray(owner.fill_null(0))
         edge = edges ^ mix(col["gram"][row].view(np.uint64) + (col["off"][row] - inside).astype(np.uint64)).view(np.int64)
         start = col["start"][row] + inside
-        order = np.lexsort((start, col["r2"][row], col["r1"][row], owner[row], nulls[row], edge))
+        told = t.column("later").to_numpy()[row]
+        open_ = np.flatnonzero(~told)
+        by = row[open_]
+        order = open_[np.lexsort((start[open_], col["r2"][by], col["r1"][by], owner[by], nulls[by], edge[open_]))]
         e = edge[order]
         same = e[1:] == e[:-1]
         # An equal row again (a text whose row is repeated) is no earlier source.
         prev, cur = order[:-1], order[1:]
         alike = same & (col["r1"][row[prev]] == col["r1"][row[cur]]) & (col["r2"][row[prev]] == col["r2"][row[cur]]) & (start[prev] == start[cur])
-        later = np.zeros(len(edges), dtype=bool)
-        run_start = np.flatnonzero(np.concatenate(([True], ~same)))
-        which = np.cumsum(np.concatenate(([0], ~same)))
-        new = np.concatenate(([False], same & ~alike))
+        later = told.copy()
+        run_start = np.flatnonzero(np.concatenate(([True], ~same)))[: len(e)]
+        which = np.cumsum(np.concatenate(([0], ~same)))[: len(e)]
+        new = np.concatenate(([False], same & ~alike))[: len(e)]
         seen = np.cumsum(new)
         later[order] = seen - seen[run_start][which] > 0
-        del prev, cur
         edge_of_run = np.diff(np.concatenate(([0], later.view(np.int8), [0])))
         edge_of_run = np.flatnonzero(edge_of_run == 1), np.flatnonzero(edge_of_run == -1)
         # Stretches are cut where their path ends.
