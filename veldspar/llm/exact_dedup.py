@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import materialise, shared_folder
 
 
 def sha256_hex(text: Column) -> Column:
@@ -33,6 +33,8 @@ def flush_runs(docs: DataFrame, key: str, text: str, digest: Callable[[Column],
     return spark.read.schema(runs.schema).parquet(path)
 
 
+#: Groups of more rows than HOT are compared in SALTS parts.
+HOT, SALTS = 500, 16
 #: Bits of the filter over hit digests; 2 MiB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -72,10 +74,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
     rows = _may_hit(rows, hit)
     stays = hit.select(F.col("digest").alias("d"), "keep_id", "n")
-    # Keyed by digest and identifier, so a hot group does not meet in one task here.
-    held = rows.join(stays.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("d", "keep_id", "n").agg(best("content").alias("held"))
-    # One row of `held` for each digest: AQE may split a hot digest's rows among tasks.
-    checked = rows.join(held.hint("shuffle_hash"), F.col("digest") == F.col("d")).withColumn("same", F.col("content") == F.col("held"))
+    # The texts of hits, written once; AQE may split a hot digest's rows among tasks.
+    hits = materialise(rows.join(stays.hint("shuffle_hash"), F.col("digest") == F.col("d")).drop("d"), "hits")
+    # A hot group's rows meet copies of its kept text in several partitions.
+    hot = F.col("n") > HOT
+    salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    held = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(best("content").alias("content"))
+    held = held.select(F.col("digest").alias("d"), F.explode(salts).alias("s"), F.col("content").alias("held"))
+    checked = hits.withColumn("salt", salt).join(held.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).withColumn("same", F.col("content") == F.col("held"))
     sure = checked.filter("same").select("id", "keep_id", "n", "digest")
     # Rows that only share the digest: none for SHA-256, so what follows moves next to nothing.
     other = checked.filter("not same").select("id", "content", "digest")
