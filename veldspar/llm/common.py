@@ -52,6 +52,21 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give a Python worker's free memory back: it may idle on beside the next stage."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables that operators left in the shared folder; results must be stored by then."""
     jvm = spark._jvm

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 CAPACITY = 4096
 END = 1
 #: Documents that one packing group holds on average.
@@ -30,15 +32,6 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
-class _Chunks(dict):
-    """What is remembered; asked for anything else, what the present texts added."""
-
-    fresh: dict[str, bytes]
-
-    def __missing__(self, k: str) -> bytes:
-        return self.fresh[k]
-
-
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's.
 
@@ -48,12 +41,12 @@ class WordTokenizer:
     string, go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most_chunks: int = 400_000, most_words: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 500_000, most_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.most_chunks, self.most_words = most_chunks, most_words
-        self.chunks = _Chunks()
+        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -85,20 +78,28 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split, new = {}, set()
+        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        known, new = self.chunks.get, set()
         for k, text in enumerate(texts):
             if not _PLAIN.fullmatch(text) or any(x in text for x in _SPECIAL):
                 out[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            chunks = text.lower().split()
+            ids = list(map(known, chunks))
+            if None in ids:
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                new.update([chunks[i] for i in gaps])
+                waiting.append((k, chunks, ids, gaps))
             else:
-                split[k] = text.lower().split()
-                new.update([w for w in split[k] if w not in self.chunks])
+                out[k] = b"".join(ids)
         fresh = self._encode_chunks(list(new))
         room = self.most_chunks - len(self.chunks)
         if room > 0:
-            self.chunks.update(zip(list(fresh)[:room], list(fresh.values())[:room], strict=True))
-        self.chunks.fresh = fresh
-        for k, words in split.items():
-            out[k] = b"".join(map(self.chunks.__getitem__, words))
+            self.chunks.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+        for k, chunks, ids, gaps in waiting:
+            for i in gaps:
+                ids[i] = fresh[chunks[i]]
+            out[k] = b"".join(ids)
         return out
 
 
@@ -125,6 +126,8 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+        coder = None
+        release()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
         cut, "id long, piece int, start long, length long, ids_crc32 long"
