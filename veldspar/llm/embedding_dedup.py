@@ -43,19 +43,25 @@ def planes(which: int, width: int) -> np.ndarray:
     return np.random.default_rng([SEED, which, width]).standard_normal((width, BITS))
 
 
-def vectors_of(column: pa.Array) -> list[np.ndarray | None]:
-    """Unit vectors in double precision; None for null, zero and non-finite ones."""
-    out = []
+def values_of(column: pa.Array, dtype: str) -> list[bytes | None]:
+    """Components as bytes; None for null, empty, zero and non-finite vectors."""
+    out: list[bytes | None] = []
     for x in column.to_pylist():
-        if x is None or not x or any(v is None for v in x):
+        if not x or any(v is None for v in x):
             out.append(None)
             continue
-        v = np.array(x, dtype=np.float64)
-        big = np.abs(v).max() if np.isfinite(v).all() else 0.0
-        out.append(None if big == 0 else (w := v / big) / np.sqrt((w * w).sum()))
+        v = np.array(x, dtype=dtype)
+        out.append(v.tobytes() if np.isfinite(v).all() and v.any() else None)
     return out
 
 
+def units_of(rows: list[bytes], dtype: str) -> np.ndarray:
+    """Unit vectors in double precision of vectors of one width."""
+    m = np.frombuffer(b"".join(rows), dtype=dtype).reshape(len(rows), -1).astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
 def _links_in_window(ids: np.ndarray, m: np.ndarray, window: int, threshold: float, fresh: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the window at the threshold; of the first `fresh` rows none among themselves."""
     a, b = [], []
@@ -91,8 +97,8 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[roots[child]]
 
 
-def projected_links(vectors: DataFrame, n: int, window: int = WINDOW, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
-    """(a, b) links found by the passes; vectors: (node, width, unit) with unit as bytes."""
+def projected_links(vectors: DataFrame, n: int, dtype: str, window: int = WINDOW, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
+    """(a, b) links found by the passes; vectors: (node, width, unit), unit the components' bytes."""
     passes = passes or passes_for(n, threshold, window)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +106,7 @@ def projected_links(vectors: DataFrame, n: int, window: int = WINDOW, threshold:
             widths, units = b.column(1).to_numpy(), b.column(2).to_pylist()
             for width in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == width)
-                m = np.frombuffer(b"".join(units[k] for k in at), dtype=np.float64).reshape(len(at), width)
+                m = units_of([units[k] for k in at], dtype)
                 own = b.take(pa.array(at))
                 for p in range(passes):
                     side = m @ planes(p, width) > 0
@@ -136,7 +142,7 @@ def projected_links(vectors: DataFrame, n: int, window: int = WINDOW, threshold:
                 if y - x < 2:
                     continue
                 ids = np.array([r[2] for r in both[x:y]], dtype=np.int64)
-                m = np.frombuffer(b"".join(r[4] for r in both[x:y]), dtype=np.float64).reshape(y - x, -1)
+                m = units_of([r[4] for r in both[x:y]], dtype)
                 a, c = _stars(*_links_in_window(ids, m, window, threshold, max(0, len(tail) - x)))
                 n = len(a)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), *(pa.nulls(n, k) for k in kinds[2:])], names)
@@ -155,7 +161,7 @@ def projected_links(vectors: DataFrame, n: int, window: int = WINDOW, threshold:
         for width in {r[:2] for r in rows}:
             own = [r for r in rows if r[:2] == width]
             ids = np.array([r[3] for r in own], dtype=np.int64)
-            m = np.frombuffer(b"".join(r[4] for r in own), dtype=np.float64).reshape(len(own), -1)
+            m = units_of([r[4] for r in own], dtype)
             x, y = _links_in_window(ids, m, window, threshold)
             a.append(x)
             b.append(y)
@@ -178,14 +184,17 @@ def embedding_dedup(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = vectors_of(b.column(1))
-            good = [k for k, u in enumerate(units) if u is not None and b.column(0)[k].is_valid]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good, pa.int64())), pa.array([len(units[k]) for k in good], pa.int32()), pa.array([units[k].tobytes() for k in good], pa.binary())], ["node", "width", "unit"])
-
-    ids = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+            rows = values_of(b.column(1), dtype)
+            good = [k for k, u in enumerate(rows) if u is not None and b.column(0)[k].is_valid]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good, pa.int64())), pa.array([len(rows[k]) // size for k in good], pa.int32()), pa.array([rows[k] for k in good], pa.binary())], ["node", "width", "unit"])
+
+    # Vectors travel in the type they are stored in, and are compared in double precision.
+    single = table.schema[vector].dataType.elementType.typeName() == "float"
+    dtype, size = ("<f4", 4) if single else ("<f8", 8)
+    ids = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
     vectors = ids.mapInArrow(unit, "node long, width int, unit binary").groupBy("node").agg(F.min(F.struct("width", "unit")).alias("u")).select("node", "u.width", "u.unit")
     vectors = materialise(vectors, "vectors")
-    components = materialise(connected_components(projected_links(vectors, vectors.count(), window, threshold, passes)), "components")
+    components = materialise(connected_components(projected_links(vectors, vectors.count(), dtype, window, threshold, passes)), "components")
     # Every pair of a component, block against block.
     blocks = components.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -200,7 +209,7 @@ def embedding_dedup(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     def count(t: pa.Table) -> pa.Table:
         nodes = t.column("node").to_numpy()
         at = t.column("block").to_numpy()
-        m = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(len(nodes), -1)
+        m = units_of(t.column("unit").to_pylist(), dtype)
         p = t.column("p")[0].as_py()
         i, j = at == p["i"], at == p["j"]
         near = m[i] @ m[j].T >= threshold
