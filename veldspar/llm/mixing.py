@@ -67,11 +67,10 @@ def knapsack(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
 
 
 def plan_source(counts: pd.DataFrame, budget: float) -> pd.DataFrame:
-    """counts: size, slot, n of one source. Adds whole (whole passes) and extra (how many of
-    the slot, in hash order, get one pass more)."""
-    counts = counts.sort_values(["size", "slot"], kind="stable").reset_index(drop=True)
-    by = counts.groupby("size")["n"].sum()
-    sizes, have = by.index.to_numpy(dtype=np.int64), by.to_numpy(dtype=np.int64)
+    """counts: size, n of one source. Adds whole (passes that every document gets) and share
+    (how many documents of the size get one pass more)."""
+    counts = counts.sort_values("size").reset_index(drop=True)
+    sizes, have = counts["size"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64)
     total = int((sizes * have).sum())
     goal = int(round(budget))
     whole = min(MAX_REPEATS, goal // total) if total else 0
@@ -81,11 +80,7 @@ def plan_source(counts: pd.DataFrame, budget: float) -> pd.DataFrame:
     usable = [i for i in range(len(sizes)) if sizes[i] > 0 and have[i] > share[i]]
     for i, n in zip(usable, knapsack(left, [int(sizes[i]) for i in usable], [int(have[i] - share[i]) for i in usable]), strict=True):
         share[i] += n
-    want = dict(zip(sizes.tolist(), share.tolist(), strict=True))
-    before = counts.groupby("size")["n"].cumsum() - counts["n"]
-    counts["whole"] = whole
-    counts["extra"] = (counts["size"].map(want) - before).clip(lower=0, upper=counts["n"])
-    return counts
+    return counts.assign(whole=whole, share=share)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -127,18 +122,25 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     goal = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = plan_source(pdf[["size", "slot", "n"]], float(pdf["target"].iloc[0]))
+        out = plan_source(pdf[["size", "n"]], float(pdf["target"].iloc[0]))
         for c in ("source", "source_size", "target"):
             out[c] = pdf[c].iloc[0]
-        return out[["source", "source_size", "target", "size", "slot", "n", "whole", "extra"]]
+        return out[["source", "source_size", "target", "size", "whole", "share"]]
 
     g = goal.withColumnRenamed("source", "s2")
-    planned = counts.join(g, F.col("source").eqNullSafe(F.col("s2"))).drop("s2").groupBy("source").applyInPandas(
-        plan, "source string, source_size long, target double, size long, slot int, n long, whole int, extra long"
-    )
-    planned = materialise(planned, "plan").select(
-        F.col("source").alias("s2"), "source_size", "target", F.col("size").alias("z2"), F.col("slot").alias("l2"), "n", "whole", "extra"
+    # One row per source and length: as many as there are lengths, whatever the source holds.
+    by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    planned = by_size.join(g, F.col("source").eqNullSafe(F.col("s2"))).drop("s2").groupBy("source").applyInPandas(
+        plan, "source string, source_size long, target double, size long, whole int, share long"
     )
+    planned = planned.select(F.col("source").alias("s2"), "source_size", "target", F.col("size").alias("z2"), "whole", "share")
+    # A length's share goes to its slots in turn; at most SLOTS rows a length.
+    turn = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = counts.withColumn("before", F.coalesce(F.sum("n").over(turn), F.lit(0)))
+    slots = slots.join(planned, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")))
+    extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("share") - F.col("before")))
+    planned = slots.select("s2", "source_size", "target", "z2", F.col("slot").alias("l2"), "n", "whole", extra.cast("long").alias("extra"))
+    planned = materialise(planned, "plan")
     on = F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("slot") == F.col("l2"))
     told = rows.join(planned, on).drop("s2", "z2", "l2")
     # Only the slot in which a length's count ends is ranked; the others go whole or not at all.
