@@ -43,9 +43,9 @@ def _slot(digest: Column) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
 
 
-def _may_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest can be among the hits, by a bitmap of fixed size; a full bitmap only
-    lets more rows through."""
+def _flagged(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """rows with `may`: whether their digest can be among the hits, by a bitmap of fixed size. A
+    full bitmap only flags more rows."""
     bitmap = (
         hits.select(_slot(F.col("digest")).alias("s"))
         .groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket"))
@@ -53,7 +53,8 @@ def _may_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
     )
     byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
     probed = rows.withColumn("s", _slot(F.col("digest"))).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
-    return probed.join(F.broadcast(bitmap), "bucket").filter(F.expr(f"bit_get({byte}, cast(bit % 8 as int)) = 1")).drop("s", "bucket", "bit", "bits")
+    may = F.coalesce(F.expr(f"bit_get({byte}, cast(bit % 8 as int)) = 1"), F.lit(False))
+    return probed.join(F.broadcast(bitmap), "bucket", "left").withColumn("may", may).drop("s", "bucket", "bit", "bits")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
@@ -72,7 +73,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     hit = merged.filter("n > 1")
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
-    rows = _may_hit(rows, hit)
+    rows = _flagged(rows, hit).filter("may").drop("may")
     stays = hit.select(F.col("digest").alias("d"), "keep_id", "n")
     # The texts of hits, written once; AQE may split a hot digest's rows among tasks.
     hits = materialise(rows.join(stays.hint("shuffle_hash"), F.col("digest") == F.col("d")).drop("d"), "hits")
@@ -114,15 +115,25 @@ FROM documents
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
     """The rows of docs that stay, with their columns: one per text.
 
-    Of rows repeated with the same identifier and text one stays.
+    Of rows repeated with the same identifier and text one stays. Rows whose text occurs once
+    are told by the bitmap and move nowhere; only the others meet the list of what stays.
     """
     names = docs.columns
-    kept = exact_dedup(docs, key, text, keep).filter("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    own = docs.withColumn("__d", sha256_hex(F.coalesce(F.col(text), F.lit(""))))
-    ranked = own.join(kept.hint("shuffle_hash"), (F.col("__d") == F.col("__digest")) & F.col(key).cast("long").eqNullSafe(F.col("__id")))
+    found = materialise(exact_dedup(docs, key, text, keep), "decided")
+    stays = found.filter("kept and group_size > 1").groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
+    own = docs.withColumn("digest__", sha256_hex(F.coalesce(F.col(text), F.lit(""))))
+    own = _flagged(own.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("digest__").alias("digest")), found.filter("group_size > 1"))
+    single = own.filter("not may").select("row.*")
+    # A flagged row of a text that occurs once is not in the list of repeated digests.
+    repeated = found.filter("group_size > 1").groupBy(F.col("digest").alias("__digest")).agg(F.lit(1).alias("__one"))
+    flagged = own.filter("may")
+    alone = flagged.join(repeated.hint("shuffle_hash"), F.col("digest") == F.col("__digest"), "left_anti").select("row.*")
+    same = (F.col("digest") == F.col("__digest")) & F.col(f"row.`{key}`").cast("long").eqNullSafe(F.col("__id"))
+    kept = flagged.join(stays.hint("shuffle_hash"), same)
     # At most a few rows share identifier and text, so this window never gathers a group.
-    w = Window.partitionBy("__d", F.col(key)).orderBy(*[F.col(c) for c in names if c != text and _sortable(docs, c)])
-    return ranked.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(*names)
+    w = Window.partitionBy("__digest", "__id").orderBy(*[F.col(f"row.`{c}`") for c in names if c != text and _sortable(docs, c)])
+    one = kept.filter("__rows > 1").withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("row.*")
+    return single.unionByName(alone).unionByName(kept.filter("__rows = 1").select("row.*")).unionByName(one)
 
 
 def _sortable(docs: DataFrame, name: str) -> bool:

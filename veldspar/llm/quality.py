@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
+
 MAX_LABELLED = 6000
 MAX_POOL = 4000
 ROUNDS = 5
@@ -204,6 +206,7 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, str, str, str, str]
                 a = np.array([text_view(t.as_py() or "") for t in at[text]])
                 m = np.array([meta_view(*x) for x in zip(at[lang].to_pylist(), at[source].to_pylist(), at[size].to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probability(a, m))], [*names, "__quality"])
+        release()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kinds}, __quality double")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import combine, mix
-from .common import SPACES, materialise
+from .common import SPACES, materialise, release
 from .components import connected_components
 
 SHINGLE = 5
@@ -176,6 +176,7 @@ def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                     bands.append(band_keys(s).view(np.int64))
                     known[keys[-1]] = bands[-1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "class_key", "bands"])
+        release()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
         describe, "id long, n_shingles long, class_key binary, bands array<long>"
@@ -227,6 +228,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             good = [k for k, s in enumerate(sets) if hashlib.sha256(s).digest()[:16] == b.column(1)[k].as_py()]
             take = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), pa.array([sets[k] for k in good], pa.binary())], ["node", "cluster", "pairs", "tokens"])
+        release()
 
     content = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("content"))
     own = content.join(jobs.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("owner"))).select("content", "class_key", "node", "cluster", "pairs")
