@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from veldspar.llm import embedding_dedup as dedup
 from veldspar.llm import shingle_join
 from veldspar.llm.components import connected_components
 from veldspar.llm.embedding_dedup import embedding_dedup, passes_for
@@ -138,3 +139,36 @@ def test_recall_at_the_threshold(spark):
     df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(rows)], "vec_id long, embedding array<double>")
     assert sum(r["n_links"] for r in embedding_dedup(df).collect()) >= 0.9 * 600
     assert passes_for(10**9) > passes_for(10**4)
+
+
+@pytest.mark.parametrize("crowd", [4096, 100])
+def test_recall_in_a_hot_region(spark, monkeypatch, crowd):
+    """A third of the vectors at pairwise cosines of 0.8, with isolated pairs at 0.955 among them;
+    the smaller crowd takes the passes with larger windows, too."""
+    monkeypatch.setattr(dedup, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(dedup, "MAX_WINDOW", 512, raising=False)
+    rng = np.random.default_rng(12)
+
+    def units(n):
+        x = rng.standard_normal((n, 64))
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    centre = units(1)[0]
+
+    def around(x):
+        x = x - (x @ centre)[:, None] * centre
+        return 0.8**0.5 * centre + 0.2**0.5 * x / np.linalg.norm(x, axis=1)[:, None]
+
+    a = around(units(150))
+    b = units(150)
+    b -= (b * a).sum(axis=1)[:, None] * a
+    b -= (b @ centre)[:, None] * centre
+    b -= (b * a).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    rows = np.concatenate((a, 0.955 * a + (1 - 0.955**2) ** 0.5 * b, around(units(1700)), units(4000)))
+    near = rows @ rows.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = sum(r["n_links"] for r in embedding_dedup(df).collect())
+    assert near.sum() >= 300
+    assert got >= 0.98 * near.sum()
