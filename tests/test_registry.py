@@ -79,3 +79,25 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, sf_dir):
     assert "TakeOrderedAndProject" in top and "Python" not in top
     agg = registry.QUERIES["avg_vec_group"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "partial_avg" in agg
+
+
+@pytest.mark.parametrize("name, threshold", [("similarity_join_inner_whole", 0.4), ("dsl_similarity_join_whole", 0.35)])
+def test_whole_similarity_joins_equal_brute_force(spark, sf_dir, name, threshold):
+    """Pairs of any two vectors, those of equal parity and of large ids included."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    a, b = np.nonzero(m @ m.T > threshold)
+    got = sorted((r["aid"], r["bid"]) for r in registry.QUERIES[name](spark, sf_dir).collect())
+    assert got == sorted(zip(ids[a].tolist(), ids[b].tolist(), strict=True))
+    assert any((x - y) % 2 == 0 and x != y for x, y in got) and any(x >= 100 and y >= 100 and x != y for x, y in got)
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_whole_outer_joins_keep_all_rows(spark, sf_dir, how):
+    rows = registry.QUERIES[f"{how}_join_whole"](spark, sf_dir).collect()
+    customers, orders = ({r[0] for r in spark.read.parquet(f"{sf_dir}/{x}.parquet").select(c).collect()} for x, c in (("customer", "c_custkey"), ("orders", "o_orderkey")))
+    assert how == "right" or customers <= {r["c_custkey"] for r in rows}
+    assert how == "left" or orders <= {r["o_orderkey"] for r in rows}

@@ -86,6 +86,12 @@ script(
     f"SELECT a.vec_id AS aid, b.vec_id AS bid FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id >= 100"
     f" AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / ({_norm('a.embedding::DOUBLE[]')} * {_norm('b.embedding::DOUBLE[]')}) > 0.35",
 )
+script(
+    "dsl_similarity_join_whole",
+    "DATASET a FROM embeddings SELECT vec_id AS aid, embedding AS v\nDATASET b FROM embeddings SELECT vec_id AS bid, embedding AS v\nSELECT aid, bid FROM a JOIN b ON COSINE_SIM(a.v, b.v) > 0.35",
+    f"SELECT a.vec_id AS aid, b.vec_id AS bid FROM embeddings a JOIN embeddings b"
+    f" ON list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / ({_norm('a.embedding::DOUBLE[]')} * {_norm('b.embedding::DOUBLE[]')}) > 0.35",
+)
 script(
     "pipeline_filter_sort_limit",
     "DEFINE PIPELINE big AS WHERE o_totalprice > 1000 THEN SELECT o_orderkey, o_totalprice AS price THEN ORDER BY price DESC, o_orderkey THEN LIMIT 20\nAPPLY PIPELINE big ON orders INTO top",

@@ -280,6 +280,19 @@ for _how in ("left", "right", "full"):
     )(_outer(_how))
 
 
+def _whole(how: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c, o = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        return join.equi_join(c, o, [("c_custkey", "o_custkey")], how)
+
+    run.__name__ = f"{how}_join_whole"
+    return run
+
+
+for _how in ("left", "right", "full"):
+    query(f"SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer {_how.upper()} JOIN orders ON c_custkey = o_custkey")(_whole(_how))
+
+
 @query(
     "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
     " JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE', (SELECT min(r_name) FROM region)) GROUP BY n_name"
@@ -322,6 +335,24 @@ for _how in ("inner", "left", "right", "full"):
     )(_similar(_how))
 
 
+def _similar_whole(how: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = t(spark, sf_dir, "embeddings")
+        a, b = e.select(F.col("vec_id").alias("aid"), F.col("embedding").alias("av")), e.select(F.col("vec_id").alias("bid"), F.col("embedding").alias("bv"))
+        return join.similarity_join(a, b, "av", "bv", 0.4, how).select("aid", "bid")
+
+    run.__name__ = f"similarity_join_{how}_whole"
+    return run
+
+
+for _how in ("inner", "left", "right", "full"):
+    query(
+        f"WITH j AS (SELECT a.vec_id AS aid, b.vec_id AS bid FROM embeddings a JOIN embeddings b ON {_COS} > 0.4) SELECT * FROM j"
+        + (" UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id NOT IN (SELECT aid FROM j)" if _how in ("left", "full") else "")
+        + (" UNION ALL SELECT NULL, vec_id FROM embeddings WHERE vec_id NOT IN (SELECT bid FROM j)" if _how in ("right", "full") else "")
+    )(_similar_whole(_how))
+
+
 # --- aggregation ---------------------------------------------------------------------------
 
 
