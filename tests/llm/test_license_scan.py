@@ -50,3 +50,12 @@ def test_matching_statistics(tokens):
     subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
     want = [max((n for n in range(1, k + 2) if tuple(tokens[k + 1 - n : k + 1]) in subs), default=0) for k in range(len(tokens))]
     assert [n for _, n in SuffixAutomaton(seqs).stream(tokens)] == want
+
+
+def test_template_spans_come_out(spark):
+    notice = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+    text = f"zzz yyy {notice} " + "other words here " * 20 + notice
+    r = license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    n = len(notice.split())
+    assert [(s["first_word"], s["last_word"]) for s in r["spans"] if s["label"] == "gpl-notice"] == [(2, n + 1), (n + 62, 2 * n + 61)]
+    assert {s["label"] for s in r["spans"]} <= set(r["labels"].split(","))

@@ -77,3 +77,12 @@ def test_sum_of_squares_places_everything(lengths):
     for b in range(len(fill)):
         own = np.argsort(offset[where == b])
         assert (np.cumsum(a[where == b][own]) - a[where == b][own]).tolist() == offset[where == b][own].tolist()
+
+
+def test_packed_ids_come_out(docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    for r in pack(docs, PATH, group_docs=4).collect():
+        ids = np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        if r["id"] is not None:
+            assert ids == [*plain(texts[r["id"]]), END][r["start"] : r["start"] + r["length"]]

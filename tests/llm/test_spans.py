@@ -120,3 +120,20 @@ def test_repetitive_texts_in_small_blocks(spark, monkeypatch):
     got = {r["id"]: r for r in dedup_byte_spans(df, window=64).collect()}
     for (i, _), want in zip(rows, brute_bytes(rows, 64), strict=True):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
+
+
+def test_kept_text_and_removed_spans_come_out(docs):
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for f, split, glue in ((dedup_byte_spans, lambda t: [t[k : k + 1] for k in range(len(t))], b""), (dedup_word_spans, lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t), b" ")):
+        some = 0
+        for r in f(docs).collect():
+            kept = bytes(r["kept"]) if f is dedup_byte_spans else r["kept"].encode()
+            assert hashlib.sha256(kept).hexdigest() == r["kept_sha256"]
+            assert sum(s["beyond"] - s["first"] for s in r["removed"]) == r["n_removed"] and len(r["removed"]) == r["n_spans"]
+            if r["id"] is not None:
+                parts = split(texts[r["id"]].encode())
+                for s in reversed(r["removed"]):
+                    del parts[s["first"] : s["beyond"]]
+                assert glue.join(parts) == kept
+                some += bool(r["removed"]) and bool(kept)
+        assert some

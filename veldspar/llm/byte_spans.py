@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .anchors import blocks_of, keyed, mix, repeated_anchors, runs_of
 from .common import materialise
-from .word_spans import listed
+from .word_spans import PART_ROWS, REMOVED, REMOVED_DDL, gaps, listed, merged
 
 WINDOW = 400
 GRAM = 32
@@ -221,8 +221,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup_byte_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept, removed.
 
+    kept: the bytes that stay; removed: the (first, beyond) byte stretches that went.
     A byte goes if a window over it also starts anywhere else. A null text is empty. Texts
     shorter than the window lose nothing; a text with a copy (a repeated row counts as one)
     goes whole, if long enough. An empty table gives an empty result; a null id stays null;
@@ -234,29 +235,21 @@ def dedup_byte_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     told = rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("id", "content", "spans", (F.col("copies") > 1).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), REMOVED]
+        for b in (x.slice(k, PART_ROWS) for x in batches for k in range(0, x.num_rows, PART_ROWS)):
             out = []
             for t, spans, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
-                keep, runs, kept = [], 0, data
-                if copy and len(data) >= window:
-                    kept, runs = b"", 1
-                elif spans.is_valid:
-                    at = 0
-                    for s in spans.as_py():
-                        if s["first"] > at or not runs:
-                            keep.append(data[at : s["first"]])
-                            runs += 1
-                        at = max(at, s["beyond"])
-                    kept = b"".join([*keep, data[at:]])
-                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return told.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                runs = merged(spans.as_py(), copy and len(data) >= window, len(data))
+                kept = b"".join(data[x:y] for x, y in gaps(runs, len(data)))
+                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
+
+    return told.mapInArrow(cut, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, {REMOVED_DDL}")
 
 
 def op2_dedup_byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents without the 400-byte strings that start elsewhere, too."""
-    return dedup_byte_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return dedup_byte_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "removed").withColumnRenamed("id", "doc_id")

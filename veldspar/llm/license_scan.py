@@ -60,6 +60,8 @@ def words_of(text: str) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
 
+SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("covered", pa.float64())]))
+
 
 class SuffixAutomaton:
     """Generalised suffix automaton of integer sequences.
@@ -165,24 +167,32 @@ class Scanner:
                     places.append((p, start + k - m + 1))
             before = (state, length)
 
-    def covered(self, matches: list[tuple[int, int, int, int]]) -> dict[int, float]:
-        """Best covered share of each template by a chain of matches."""
-        best: dict[int, float] = {}
-        chains: dict[int, tuple[int, int, int]] = {}  # template: document end, template end, covered
+    def chained(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, covered share) of the chains of matches."""
+        out: list[tuple[int, int, int, float]] = []
+        chains: dict[int, tuple[int, int, int, int]] = {}  # template: document start and end, template end, covered
+
+        def close(which: int) -> None:
+            begin, d_end, _, have = chains[which]
+            out.append((which, begin, d_end - 1, have / len(self.seqs[which])))
+
         for which, at, t_at, n in sorted(matches, key=lambda m: (m[1], m[2])):
-            d_end, t_end, have = chains.get(which, (0, 0, 0))
+            begin, d_end, t_end, have = chains.get(which, (at, 0, 0, 0))
             if have and t_at >= t_end and at >= d_end and abs((at - d_end) - (t_at - t_end)) <= MAX_GAP and at - d_end <= MAX_GAP:
                 have += n
             elif have >= n and at < d_end:
                 continue  # inside a longer chain
             else:
-                have = n
-            chains[which] = (at + n, t_at + n, have)
-            best[which] = max(best.get(which, 0.0), have / len(self.seqs[which]))
-        return best
+                if have:
+                    close(which)
+                begin, have = at, n
+            chains[which] = (begin, at + n, t_at + n, have)
+        for which in chains:
+            close(which)
+        return out
 
     def scan(self, texts: list[str]) -> list[tuple]:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans of each."""
+        """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of each."""
         parts = [t.encode("utf-8", "surrogatepass").translate(_TO_WORDS) for t in texts]
         words = (b" %c " % _SEP).join(parts).split()
         ids = np.fromiter(map(self._known().get, words, repeat(0)), dtype=np.int32, count=len(words))
@@ -201,12 +211,16 @@ class Scanner:
         out = []
         for d in range(len(texts)):
             places, matches = found.get(d, ((), ()))
-            best = self.covered(matches) if matches else {}
+            chains = self.chained(matches) if matches else []
+            best: dict[int, float] = {}
+            for k, _, _, share in chains:
+                best[k] = max(best.get(k, 0.0), share)
+            spans = sorted(({"label": self.names[k], "first_word": x, "last_word": y, "covered": v} for k, x, y, v in chains if v >= COVERED), key=lambda x: (x["first_word"], x["last_word"], x["label"]))
             base = sorted({self.names[p] for p, _ in places})
             labels = sorted({*base, *(self.names[k] for k, v in best.items() if v >= COVERED)})
             score = 1.0 if base else min(1.0, max(best.values(), default=0.0))
             where = [w for _, w in places]
-            out.append((int(stops[d] - starts[d]), len(where), min(where, default=None), max(where, default=None), ",".join(base), ",".join(labels), score))
+            out.append((int(stops[d] - starts[d]), len(where), min(where, default=None), max(where, default=None), ",".join(base), ",".join(labels), score, spans))
         return out
 
     def _known(self) -> dict[bytes, int]:
@@ -214,8 +228,10 @@ class Scanner:
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
+    spans: label, first_word, last_word and covered share of each stretch of words that a chain
+    of matches covers as far as a label needs.
     A null or empty text has no words, no labels, null places and score 0. Texts are scanned
     whole; repeated rows give repeated rows; a null identifier stays null; an empty table
     gives an empty result; other columns are ignored.
@@ -223,8 +239,8 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, templates)
-        names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+        names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), SPANS]
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -233,10 +249,10 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", base:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        scan, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        scan, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first_word: long, last_word: long, covered: double>>"
     )
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in every whole text of documents."""
-    return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import materialise, release
 
 CAPACITY = 4096
 END = 1
@@ -104,7 +104,9 @@ class WordTokenizer:
 
 
 def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every row; a null text has the end id only."""
+    """(id, piece, start, length, ids_crc32, ids) of every row; a null text has the end id only.
+
+    ids: the piece's token ids, 4 bytes each, least first."""
 
     def coded(b: pa.RecordBatch, coder: WordTokenizer) -> Iterator[tuple[bytes, int]]:
         for k in range(0, b.num_rows, 500):
@@ -122,15 +124,15 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
-                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), part))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "piece", "start", "length", "ids_crc32", "ids"])
         coder = None
         release()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, "id long, piece int, start long, length long, ids_crc32 long"
+        cut, "id long, piece int, start long, length long, ids_crc32 long, ids binary"
     )
 
 
@@ -169,7 +171,10 @@ def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, ids.
+
+    ids: the piece's token ids, 4 bytes each, least first; a sequence is its pieces' ids by
+    offset. They stay in the shared folder while the pieces are placed by length.
 
     A null text counts as empty and still has its end id; repeated rows are packed each for
     itself; a null identifier stays null. Pieces of very long texts may meet in different
@@ -177,17 +182,18 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     dealt by a hash of the piece's values, so a source or length that holds many rows spreads.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    parts = pieces_of(docs, path, key, text, capacity)
+    parts = materialise(pieces_of(docs, path, key, text, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     # Full pieces need no packing: each is a sequence of its own, numbered by the group step too.
-    dealt = parts.withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = parts.drop("ids").withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         where, offset = pack_group(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = where * groups + pdf["g"], offset
-        return pdf.drop(columns="g")
+        return pdf[["row", "sequence_id", "offset"]]
 
-    return dealt.groupBy("g").applyInPandas(fill, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = dealt.groupBy("g").applyInPandas(fill, "row long, sequence_id long, offset long")
+    return parts.join(placed, "row").select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,4 +201,4 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids").withColumnRenamed("id", "doc_id")

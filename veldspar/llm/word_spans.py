@@ -23,6 +23,10 @@ from .anchors import blocks_of, combine, keyed, mix, repeated_anchors, runs_of
 from .common import SPACES, materialise
 
 WINDOW = 20
+#: Rows whose kept text is built at a time.
+PART_ROWS = 500
+REMOVED = pa.list_(pa.struct([("first", pa.int64()), ("beyond", pa.int64())]))
+REMOVED_DDL = "removed array<struct<first: long, beyond: long>>"
 GRAM = 5
 #: Repeated anchors that one bucket holds on average.
 BUCKET_ANCHORS = 50_000
@@ -162,9 +166,30 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("first", "beyond"))).alias("spans"))
 
 
+def merged(spans: list[dict] | None, whole: bool, n: int) -> list[dict]:
+    """Sorted spans as disjoint stretches, or all n as one."""
+    if whole:
+        return [{"first": 0, "beyond": n}]
+    out: list[dict] = []
+    for s in spans or ():
+        if out and s["first"] <= out[-1]["beyond"]:
+            out[-1]["beyond"] = max(out[-1]["beyond"], s["beyond"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def gaps(runs: list[dict], n: int) -> list[tuple[int, int]]:
+    """What of n lies between disjoint stretches."""
+    at = [0, *(x for r in runs for x in (r["first"], r["beyond"])), n]
+    return list(zip(at[::2], at[1::2], strict=True))
+
+
 def dedup_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, n_spans, kept_sha256.
+    """One row per input row: id, n_words, n_removed, n_spans, kept_sha256, kept, removed.
 
+    kept: the words that stay, joined by a space; removed: the (first, beyond) stretches of
+    words that went.
     A word goes if a window over it has the same words as a window that starts earlier
     (smaller id; null after all others; same id, earlier start). A null text has no words.
     Texts shorter than the window lose nothing; rows repeated with id and text are one
@@ -177,29 +202,23 @@ def dedup_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     told = rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("id", "content", "spans", (~F.col("id").eqNullSafe(F.col("owner"))).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        names = ["id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), REMOVED]
+        for b in (x.slice(k, PART_ROWS) for x in batches for k in range(0, x.num_rows, PART_ROWS)):
             out = []
             for t, spans, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
                 words = words_of(t.as_py())
-                n, keep, runs = len(words), words, 0
-                if copy and n >= window:
-                    keep, runs = [], 1
-                elif spans.is_valid:
-                    keep, at = [], 0
-                    for s in spans.as_py():
-                        if s["first"] > at or not runs:
-                            keep += words[at : s["first"]]
-                            runs += 1
-                        at = max(at, s["beyond"])
-                    keep += words[at:]
-                out.append((n, n - len(keep), runs, hashlib.sha256(b" ".join(keep)).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["id", "n_words", "n_removed", "n_spans", "kept_sha256"])
-
-    return told.mapInArrow(cut, "id long, n_words long, n_removed long, n_spans long, kept_sha256 string")
+                n = len(words)
+                runs = merged(spans.as_py(), copy and n >= window, n)
+                keep = [w for x, y in gaps(runs, n) for w in words[x:y]]
+                kept = b" ".join(keep)
+                out.append((n, n - len(keep), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
+
+    return told.mapInArrow(cut, f"id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string, {REMOVED_DDL}")
 
 
 def op6_dedup_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents without the windows of 20 words seen earlier."""
-    return dedup_word_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return dedup_word_spans(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept", "removed").withColumnRenamed("id", "doc_id")
