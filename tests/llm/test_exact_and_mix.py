@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -102,3 +103,22 @@ def test_mixed_documents(spark, docs, no_docs):
     assert sum(len((r["text"] or "").split()) for r in out.collect()) == taken
     assert mix(docs).count() == docs.count() and mixed_documents(docs).columns == docs.columns
     assert mix(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
+
+
+def best_sum(budget, lengths, spare):
+    sums = {0}
+    for z, n in zip(lengths, spare, strict=True):
+        sums = {x + k * z for x in sums for k in range(n + 1) if x + k * z <= budget}
+    return max(sums)
+
+
+def test_few_very_long_documents_come_nearest_the_budget():
+    rng = random.Random(4)
+    cases = [(225_000, [200_000, 150_000, 100_000], [1, 1, 1]), (70_000, [80_000, 60_000], [1, 1])]
+    for _ in range(60):
+        lengths = rng.sample(range(1, 300_000), rng.randint(1, 6))
+        cases.append((rng.randint(0, 900_000), lengths, [rng.randint(0, 4) for _ in lengths]))
+    for budget, lengths, spare in cases:
+        take = knapsack(budget, lengths, spare)
+        assert all(0 <= n <= m for n, m in zip(take, spare, strict=True))
+        assert sum(z * n for z, n in zip(lengths, take, strict=True)) == best_sum(budget, lengths, spare)

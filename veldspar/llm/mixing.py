@@ -4,12 +4,14 @@ Documents are counted by source, exact length and a slot of their seeded hash. E
 source's budget is split into whole passes over the source and a remainder. The remainder
 takes the same share of every length first; what is left, smaller than the number of
 lengths times their size, is met by a bounded-knapsack dynamic programme over the lengths'
-spare counts. The counts are turned back into documents by their seeded hash order, slot
+spare counts, whatever their size. The counts are turned back into documents by their seeded hash order, slot
 by slot, so only the one slot a count ends in is ranked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,15 +23,55 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: Hash slots of a length; a power of two.
 SLOTS = 256
-#: Words the dynamic programme may have to meet exactly; larger rests go down greedily first.
+#: Words of rest that the bitset programme meets; larger rests go down greedily first, and
+#: where that ends short of the budget, the programme over reachable sums has the last word.
 DP_WORDS = 1 << 16
 
 
 def knapsack(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
-    """How many of each length (at most spare) come nearest below or at budget.
+    """How many of each length (at most spare) come nearest below or at budget; lengths are positive.
+
+    The quick plan stands if it meets the budget up to the lengths' common divisor, else the
+    whole budget is planned by reachable sums.
+    """
+    if sum(z * n for z, n in zip(lengths, spare, strict=True)) <= budget:
+        return list(spare)
+    unit = math.gcd(*lengths)
+    small, goal = [z // unit for z in lengths], budget // unit
+    take = _quick(goal, small, spare)
+    if sum(z * n for z, n in zip(small, take, strict=True)) == goal:
+        return take
+    return _by_sums(goal, small, spare)
+
+
+def _by_sums(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
+    """Exact: each reachable sum is kept once, with the item that reached it first."""
+    sums, by, items = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int32), []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        left, k = min(spare[i], budget // lengths[i]), 1
+        while left > 0 and sums[-1] < budget:
+            n = min(k, left)
+            new = sums[: np.searchsorted(sums, budget - n * lengths[i], side="right")] + n * lengths[i]
+            at = np.searchsorted(sums, new)
+            fresh = np.ones(len(new), dtype=bool)
+            inside = at < len(sums)
+            fresh[inside] = sums[at[inside]] != new[inside]
+            by = np.insert(by, at[fresh], len(items))
+            sums = np.insert(sums, at[fresh], new[fresh])
+            items.append((i, n))
+            left -= n
+            k *= 2
+    take, at = [0] * len(lengths), len(sums) - 1
+    while by[at] >= 0:
+        i, n = items[by[at]]
+        take[i] += n
+        at = int(np.searchsorted(sums, sums[at] - n * lengths[i]))
+    return take
+
 
-    Greedy from the longest down to DP_WORDS of rest, then a reachability bitset over binary
-    splits of the spare counts: exact for the rest. Lengths are positive.
+def _quick(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
+    """Greedy from the longest down to DP_WORDS of rest, then a reachability bitset over binary
+    splits of the spare counts: exact for the rest.
     """
     take = [0] * len(lengths)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
