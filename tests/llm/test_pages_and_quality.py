@@ -111,3 +111,9 @@ def test_odd_rows_and_labels(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert classify(docs, none).filter("not kept").count() == 0
     assert good_documents(docs, none).columns == docs.columns
+
+
+@pytest.mark.parametrize("markup", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<svg-icon>in</svg-icon>", "<template-x></template-x>", "<title-bar>t</title-bar>", "<svg><path d='m'/>gone</svg>"])
+def test_text_after_custom_and_self_closed_elements_stays(markup):
+    page = Page(f"<body><p>before</p>{markup}<p>after it</p></body>")
+    assert {"before", "after it"} <= set(page.text) and "gone" not in " ".join(page.text)
