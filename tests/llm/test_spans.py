@@ -137,3 +137,12 @@ def test_kept_text_and_removed_spans_come_out(docs):
                 assert glue.join(parts) == kept
                 some += bool(r["removed"]) and bool(kept)
         assert some
+
+
+def test_sliding_argmin_of_more_values_than_positions_fit(monkeypatch):
+    from veldspar.llm import anchors
+
+    monkeypatch.setattr(anchors, "_POS_BITS", 5)
+    h = np.random.default_rng(2).integers(0, 40, 500).astype(np.uint64) << np.uint64(40)
+    for w in (1, 3, 20, 31):
+        assert sliding_argmin(h, w).tolist() == [int(np.argmin(h[k : k + w])) + k for k in range(len(h) - w + 1)]

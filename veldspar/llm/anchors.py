@@ -48,6 +48,9 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     n = len(h) - w + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
+    if len(h) > 1 << _POS_BITS and w < 1 << _POS_BITS:  # overlapping slices whose positions fit
+        step = (1 << _POS_BITS) - w + 1
+        return np.concatenate([sliding_argmin(h[k : k + step + w - 1], w) + k for k in range(0, n, step)])
     mask = np.uint64((1 << _POS_BITS) - 1)
     key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     pad = -len(key) % w
