@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a local folder of our own."""
+    """spark.checkpoint.dir; where that is unset, on one machine only (tests), a local folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         import shutil
 
@@ -33,23 +35,30 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def session_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/veldspar/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, and lost
     executors cost no recomputation beyond this table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veldspar/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that materialise() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         if "/veldspar/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, f)
 
 
 def release() -> None:
@@ -68,7 +77,6 @@ def release() -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the tables that operators left in the shared folder; results must be stored by then."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/veldspar")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the tables that this application's operators left in the shared folder, and no
+    other's; results must be stored by then."""
+    delete(spark, session_folder(spark))

@@ -1,60 +1,147 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations only.
 
-Memtables flush: every input split digests its texts and writes one run, sorted by digest,
-as a Parquet file whose row groups carry min/max statistics and a Bloom filter on the
-digest (the run's filter). Compaction merges the runs on the digest with a map-side
-combine and keeps one identifier and a count. Digests seen twice or more are hits: their
-texts are compared byte for byte with the kept row's text, and rows that only share the
-digest are regrouped by the text itself.
+Memtables flush: the digests of each share of the input splits, one row a digest, become a
+run, bucketed by digest and sorted within each bucket. Compaction merges two runs of a level
+into one of the next by a sort-merge join that needs neither a shuffle nor a sort, as both
+sides lie bucketed and in order; it keeps the wanted identifier and adds the counts. The last
+run's filter, a bitmap over its repeated digests, is probed by every row: only rows that it
+lets through (the hits) move with their texts, which are compared byte for byte with the
+text of the row that stays. Rows that only share the digest are regrouped by the text.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_folder
+from .common import delete, materialise, session_folder
+
+#: Memtables, and so runs of the lowest level; a power of two.
+MEMTABLES = 4
+#: Digests of a run's bucket on average, where the cluster's shuffle partitions are too few.
+BUCKET_ROWS = 1 << 20
+#: Groups of more rows than HOT meet their kept text in SALTS parts.
+HOT, SALTS = 500, 32
+#: Bits of the filter for each hit digest, and at most: two bitmaps of 16 MiB are broadcast.
+FILTER_RATE, MAX_FILTER_BITS = 16, 1 << 27
 
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def flush_runs(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Write the sorted digest runs with their filters; one run for each input split."""
-    spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/veldspar/runs-{uuid.uuid4().hex}"
-    content = F.coalesce(F.col(text), F.lit(""))
-    runs = docs.select(F.col(key).cast("long").alias("id"), digest(content).alias("digest")).sortWithinPartitions("digest", F.col("id").desc())
-    runs.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "200000").parquet(path)
-    return spark.read.schema(runs.schema).parquet(path)
+@contextmanager
+def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Lets plans made inside rely on the order within a bucket's file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Run:
+    """A run: (digest, keep_id, n), bucketed and sorted by digest, in the shared folder."""
+
+    def __init__(self, rows: DataFrame, buckets: int):
+        self.spark, self.schema, self.buckets = rows.sparkSession, rows.schema, buckets
+        self.name = f"veldspar_run_{uuid.uuid4().hex}"
+        self.path = f"{session_folder(self.spark)}/{self.name}"
+        rows.write.bucketBy(buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The run's rows, known to the catalogue no more."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete(self.spark, self.path)
+
+
+def flush(rows: DataFrame, best: Callable[[str], Column], buckets: int) -> Run:
+    """A memtable's run from its rows (id, digest): copies are combined before they move."""
+    combined = rows.groupBy("digest").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    return Run(combined.repartition(buckets, "digest"), buckets)
+
+
+def merged_rows(a: Run, b: Run, keep: str) -> DataFrame:
+    """The rows of two runs merged in the order of their digests."""
+    left, right = a.table(), b.table().select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), F.col("n").alias("m"))
+    best = F.greatest if keep == "max" else F.least  # both pass over nulls
+    zero = F.lit(0).cast("long")
+    both = left.join(right.hint("merge"), F.col("digest") == F.col("d"), "full_outer")
+    return both.select(F.coalesce("digest", "d").alias("digest"), best("keep_id", "k").alias("keep_id"), (F.coalesce("n", zero) + F.coalesce("m", zero)).alias("n"))
+
+
+def compact(runs: list[Run], keep: str) -> Run:
+    """Level by level, two runs of a level become one of the next."""
+    while len(runs) > 1:
+        above = []
+        for a, b in zip(runs[::2], runs[1::2], strict=True):
+            with _sorted_buckets(a.spark):
+                above.append(Run(merged_rows(a, b, keep), a.buckets))
+            a.drop()
+            b.drop()
+        runs = above
+    return runs[0]
+
+
+def index(docs: DataFrame, key: str, text: str, keep: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """(digest, keep_id, n) of every digest, by memtables, runs and compaction."""
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    share = F.pmod(F.spark_partition_id(), F.lit(MEMTABLES))
+    rows = materialise(docs.select(F.col(key).cast("long").alias("id"), digest(content).alias("digest"), share.alias("memtable")), "digests", "memtable")
+    spark, n = docs.sparkSession, rows.count()
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)))
+    best = F.max if keep == "max" else F.min
+    return compact([flush(rows.filter(F.col("memtable") == k).select("id", "digest"), best, buckets) for k in range(MEMTABLES)], keep).close()
+
 
+class Filter:
+    """Bitmaps over the digests that occur more than once, and over those of hot groups; their
+    size follows the number of such digests up to a bound, from where on they let more through."""
 
-#: Groups of more rows than HOT are compared in SALTS parts.
-HOT, SALTS = 500, 16
-#: Bits of the filter over hit digests; 2 MiB, whatever the input.
-FILTER_BITS = 1 << 24
+    def __init__(self, hits: DataFrame):
+        n = hits.count()
+        self.bits = min(MAX_FILTER_BITS, max(1 << 15, 1 << (FILTER_RATE * n).bit_length()))
+        slots = hits.select(self._slot().alias("s"), "n")
+        self.bitmap = slots.groupBy(F.expr("bitmap_bucket_number(s)").alias("__bucket")).agg(
+            F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("__hit"), F.expr(f"bitmap_construct_agg(bitmap_bit_position(s)) FILTER (WHERE n > {HOT})").alias("__hot")
+        )
 
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(self.bits))
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """rows (with a digest) and two booleans: may, whether the digest can be a hit; hot."""
+        s = self._slot()
+        probed = rows.withColumn("__bucket", F.call_function("bitmap_bucket_number", s)).withColumn("__bit", F.call_function("bitmap_bit_position", s))
 
+        def told(bits: str) -> Column:
+            byte = f"cast(conv(hex(substring({bits}, cast(__bit div 8 as int) + 1, 1)), 16, 10) as int)"
+            return F.coalesce(F.expr(f"bit_get({byte}, cast(__bit % 8 as int)) = 1"), F.lit(False))
 
-def _flagged(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """rows with `may`: whether their digest can be among the hits, by a bitmap of fixed size. A
-    full bitmap only flags more rows."""
-    bitmap = (
-        hits.select(_slot(F.col("digest")).alias("s"))
-        .groupBy(F.expr("bitmap_bucket_number(s)").alias("bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-    )
-    byte = "cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)"
-    probed = rows.withColumn("s", _slot(F.col("digest"))).withColumn("bucket", F.expr("bitmap_bucket_number(s)")).withColumn("bit", F.expr("bitmap_bit_position(s)"))
-    may = F.coalesce(F.expr(f"bit_get({byte}, cast(bit % 8 as int)) = 1"), F.lit(False))
-    return probed.join(F.broadcast(bitmap), "bucket", "left").withColumn("may", may).drop("s", "bucket", "bit", "bits")
+        return probed.join(F.broadcast(self.bitmap), "__bucket", "left").withColumn("may", told("__hit")).withColumn("hot", told("__hot")).drop("__bucket", "__bit", "__hit", "__hot")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """rows (with `hot`) dealt to the salts of their group by their place in the input."""
+    return rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows (with `hot`) once for each salt of their group."""
+    return rows.withColumn("s", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max", digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
@@ -63,27 +150,24 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     keep: "max" or "min", which identifier of equal texts stays. A null text equals the
     empty text. A null identifier is never preferred; a group of nulls only keeps null, and
     its rows count as kept. Rows repeated with the same identifier all count in group_size,
-    and each is kept if its identifier is the one that stays. An empty table gives an empty
-    result; other columns, whatever their names, are ignored.
+    and each is kept if its identifier is the one that stays. Very long texts are digested
+    and compared whole, each within one row's memory. An empty table gives an empty result;
+    other columns, whatever their names, are ignored.
     """
     best = F.max if keep == "max" else F.min
-    runs = flush_runs(docs, key, text, digest)
-    merged = runs.groupBy("digest").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    merged = index(docs, key, text, keep, digest)
     alone = merged.filter("n = 1").select(F.col("keep_id").alias("id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), "digest")
     hit = merged.filter("n > 1")
-    content = F.coalesce(F.col(text), F.lit(""))
+    told = Filter(hit)
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("content")).withColumn("digest", digest(F.col("content")))
-    rows = _flagged(rows, hit).filter("may").drop("may")
-    stays = hit.select(F.col("digest").alias("d"), "keep_id", "n")
-    # The texts of hits, written once; AQE may split a hot digest's rows among tasks.
-    hits = materialise(rows.join(stays.hint("shuffle_hash"), F.col("digest") == F.col("d")).drop("d"), "hits")
-    # A hot group's rows meet copies of its kept text in several partitions.
-    hot = F.col("n") > HOT
-    salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    held = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(best("content").alias("content"))
-    held = held.select(F.col("digest").alias("d"), F.explode(salts).alias("s"), F.col("content").alias("held"))
-    checked = hits.withColumn("salt", salt).join(held.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).withColumn("same", F.col("content") == F.col("held"))
+    rows = _salted(told.probe(rows).filter("may").drop("may"))
+    stays = _spread(told.probe(hit).drop("may")).select(F.col("digest").alias("d"), "s", "keep_id", "n")
+    # The texts of hits, written once.
+    hits = materialise(rows.join(stays.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).drop("d", "s"), "hits")
+    held = hits.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "hot").agg(best("content").alias("held"))
+    held = _spread(held).select(F.col("digest").alias("d"), "s", "held")
+    checked = hits.join(held.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).withColumn("same", F.col("content") == F.col("held"))
     sure = checked.filter("same").select("id", "keep_id", "n", "digest")
     # Rows that only share the digest: none for SHA-256, so what follows moves next to nothing.
     other = checked.filter("not same").select("id", "content", "digest")
@@ -113,28 +197,31 @@ FROM documents
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with their columns: one per text.
+    """The rows of docs that stay, with their columns, whatever their names: one per text.
 
-    Of rows repeated with the same identifier and text one stays. Rows whose text occurs once
-    are told by the bitmap and move nowhere; only the others meet the list of what stays.
+    A null text equals the empty one. Of rows repeated with the same identifier and text one
+    stays, of those without any identifier one for each text. An empty table stays empty.
+    Rows whose text occurs once are told by the filter and move nowhere; only the others
+    meet the list of what stays.
     """
-    names = docs.columns
     found = materialise(exact_dedup(docs, key, text, keep), "decided")
-    stays = found.filter("kept and group_size > 1").groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__rows"))
-    own = docs.withColumn("digest__", sha256_hex(F.coalesce(F.col(text), F.lit(""))))
-    own = _flagged(own.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("digest__").alias("digest")), found.filter("group_size > 1"))
-    single = own.filter("not may").select("row.*")
+    repeated = found.filter("group_size > 1")
+    per_id = repeated.filter("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("group_size").alias("n"))
+    told = Filter(per_id.select("digest", "n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = told.probe(docs.select(row, F.col(f"`{key}`").cast("long").alias("own"), sha256_hex(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("digest")))
+    flagged = _salted(own.filter("may"))
     # A flagged row of a text that occurs once is not in the list of repeated digests.
-    repeated = found.filter("group_size > 1").groupBy(F.col("digest").alias("__digest")).agg(F.lit(1).alias("__one"))
-    flagged = own.filter("may")
-    alone = flagged.join(repeated.hint("shuffle_hash"), F.col("digest") == F.col("__digest"), "left_anti").select("row.*")
-    same = (F.col("digest") == F.col("__digest")) & F.col(f"row.`{key}`").cast("long").eqNullSafe(F.col("__id"))
-    kept = flagged.join(stays.hint("shuffle_hash"), same)
-    # At most a few rows share identifier and text, so this window never gathers a group.
-    w = Window.partitionBy("__digest", "__id").orderBy(*[F.col(f"row.`{c}`") for c in names if c != text and _sortable(docs, c)])
-    one = kept.filter("__rows > 1").withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("row.*")
-    return single.unionByName(alone).unionByName(kept.filter("__rows = 1").select("row.*")).unionByName(one)
+    stays = per_id.select(F.col("digest").alias("d"), "id", "rows")
+    met = flagged.join(stays.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("own").eqNullSafe(F.col("id")), "left")
+    known = _spread(told.probe(per_id.select("digest")).drop("may")).select(F.col("digest").alias("d2"), "s")
+    alone = met.filter("rows is null").join(known.hint("shuffle_hash"), (F.col("digest") == F.col("d2")) & (F.col("salt") == F.col("s")), "left_anti")
+    # Rows that share identifier and text are alike but for other columns: any one is chosen, and
+    # by a partial aggregate, so that a hot group of them does not gather.
+    sortable = [F.col(f"row.`{c}`") for c in docs.columns if _sortable(docs, c)]
+    one = met.filter("rows > 1").groupBy("digest", "id").agg(F.min_by("row", F.struct(*sortable)).alias("row"))
+    return own.filter("not may").select("row.*").unionByName(alone.select("row.*")).unionByName(met.filter("rows = 1").select("row.*")).unionByName(one.select("row.*"))
 
 
 def _sortable(docs: DataFrame, name: str) -> bool:
-    return docs.schema[name].dataType.typeName() not in ("map", "variant")
+    return not any(x in docs.schema[name].dataType.simpleString() for x in ("map<", "variant"))
