@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from veldspar.llm.html_extract import Page, TreeModel, extract, html_extract, labelled, train, training_page
+from veldspar.llm import quality
 from veldspar.llm.quality import classify, good_documents
 
 
@@ -117,3 +120,80 @@ def test_odd_rows_and_labels(spark, docs, no_docs):
 def test_text_after_custom_and_self_closed_elements_stays(markup):
     page = Page(f"<body><p>before</p>{markup}<p>after it</p></body>")
     assert {"before", "after it"} <= set(page.text) and "gone" not in " ".join(page.text)
+
+
+def plain_shapes(text):
+    """The features of one text, told word by word."""
+    data = text.encode()
+    n, words, marks = max(1, len(data)), data.split(), b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    m, lines = max(1, len(words)), [x for x in data.split(b"\n") if x.strip()]
+    upper, lower, high = (sum(f(b) for b in data) for f in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: b >= 128))
+    letters, blank = upper + lower + high, data.count(b" ")
+    some, pairs = max(1, letters), list(zip(words, words[1:], strict=False))
+    twice, odd, tail = sum(a == b for a, b in pairs), sum(w.isupper() for w in words), sum(w[-1] in b"!#$%&*|<>=~^+@" for w in words)
+    out = [upper / some, lower / some, sum(48 <= b <= 57 for b in data) / n, high / some, blank / n, (len(data) - letters - blank) / n]
+    out += [len(set(words)) / m, twice / m, 1 - len(set(pairs)) / max(1, len(pairs)), odd / m, tail / m, min(1.0, n / m / 30)]
+    out += [1 - len(set(lines)) / max(1, len(lines)), math.log1p(m / max(1, len(lines))) / 8, sum(len(w) == 1 for w in words) / m, float(twice > 2), float(tail > 0.1 * m), float(odd > 0.3 * m)]
+    out += [sum(max(w) > 127 or w.strip(b".,;:!?'\"()").isalpha() for w in words) / m]
+    return out + [min(1.0, 10 * data.count(bytes([c])) / n) for c in marks]
+
+
+def test_shapes_equal_plain_ones():
+    rng = random.Random(6)
+    texts = ["", " ", "\n\n", "a", "A b\n\nA b\nx", "it's (fine) a.b 'q' ..", "x y x y x y", "äö ü! 日本", " lead\ttab\x0bvt ", "\x00\x1c"]
+    texts += ["".join(rng.choice("ab AB.\n!1ä") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    got = quality.shapes([t.encode() for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(plain_shapes(t)), t
+    shares = quality.gram_shares([t.encode() for t in texts])
+    for t, row in zip(texts, shares, strict=True):
+        assert row.sum() == pytest.approx(1.0 if len(t.encode()) >= 4 else 0.0)
+        assert row == pytest.approx(quality.gram_shares([t.encode()])[0])
+
+
+def test_cotraining_equals_one_machine(spark):
+    """The distributed rounds against plain loops over all rows on one machine."""
+    rows, labels = corpus(500)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    model, _ = quality.learn(df, spark.createDataFrame(labels[:120], "doc_id long, quality int"))
+    text = quality.text_views([r[1].encode() for r in rows], model.grams).astype(np.float32).astype(float)
+    meta = np.array([quality.meta_view(*r[2:]) for r in rows]).astype(np.float32).astype(float)
+    told = np.arange(len(rows)) < 120
+    seen = []
+
+    def corpus_loop(base, now):
+        out = {}
+        views = (text[~told], meta[~told])
+        for me, you in ((0, 1), (1, 0)):
+            for label in (0, 1):
+                n, grad, hess = 0.0, 0.0, 0.0
+                for x, z in zip(views[me], views[you], strict=True):
+                    p = 1 / (1 + math.exp(-max(-20, min(20, float(x @ base[me][:-1] + base[me][-1])))))
+                    if (p >= 0.9) if label else (p <= 1 - 0.9):
+                        v = np.append(z, 1.0)
+                        q = 1 / (1 + math.exp(-float(v @ now[you])))
+                        n, grad, hess = n + 1, grad + v * (q - label), hess + np.outer(v, v) * max(q * (1 - q), 1e-6)
+                if n:
+                    out[you, label] = (n, grad, hess)
+        seen.append({k: v[0] for k, v in out.items()})
+        return out
+
+    ids = sorted(range(120))
+    y = np.array([labels[k][1] for k in ids], dtype=float)
+    shares = quality.gram_shares([rows[k][1].encode() for k in ids]).astype(np.float32).astype(float)
+    half = np.arange(len(y)) % 2
+    odds = np.zeros(len(y))
+    for k in (0, 1):
+        odds[half == k] = shares[half == k] @ quality.gram_weights(shares[half != k], y[half != k])
+    a = np.hstack((text[ids][:, : quality.N_SHAPE], (odds / odds.std())[:, None]))
+    w, _ = quality.cotrain(a, meta[ids], y, corpus_loop)
+    assert w[0] == pytest.approx(model.text, rel=1e-4, abs=1e-4) and w[1] == pytest.approx(model.meta, rel=1e-4, abs=1e-4)
+    assert seen[0][1, 1] > 100  # all sure documents of the corpus, not a sample, are handed over
+
+
+def test_columns_of_any_name_stay(spark):
+    rows, labels = corpus(80)
+    df = spark.createDataFrame([(*r, f"q{r[0]}", 1.5, "x") for r in rows], SCHEMA + ", `a.b` string, __quality double, c0 string")
+    kept = good_documents(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert kept.schema == df.schema
+    assert all(r["a.b"] == f"q{r['doc_id']}" and r["__quality"] == 1.5 and r["c0"] == "x" for r in kept.collect())
