@@ -197,3 +197,43 @@ def test_columns_of_any_name_stay(spark):
     kept = good_documents(df, spark.createDataFrame(labels, "doc_id long, quality int"))
     assert kept.schema == df.schema
     assert all(r["a.b"] == f"q{r['doc_id']}" and r["__quality"] == 1.5 and r["c0"] == "x" for r in kept.collect())
+
+
+CHROME = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>{}<footer>Copyright us 2020</footer>"
+LONG = "A sentence of an article that says something at some length, as articles do."
+
+
+@pytest.mark.parametrize("body, text", [
+    (f"<article><h1>Steps</h1><p>{LONG}</p><ol><li>First do this.</li><li>Then that.</li></ol><p>Done now.</p></article>", f"Steps\n{LONG}\nFirst do this.\nThen that.\nDone now."),
+    (f"<article><h1>On search</h1><p>{LONG}</p><div class='search-method'><p>We looked at all of it.</p></div></article>", f"On search\n{LONG}\nWe looked at all of it."),
+    (f"<article><section id='related-work'><h2>Related work</h2><p>{LONG}</p></section><section id='results'><h2>Results</h2><p>They are good.</p></section></article>", f"Related work\n{LONG}\nResults\nThey are good."),
+    (f"<article><dl><dt>Term</dt><dd>{LONG}</dd><dt>Other</dt><dd>Meaning of it.</dd></dl></article>", f"Term\n{LONG}\nOther\nMeaning of it."),
+    (f"<article class='zzqx'><section class='contact-tracing'><p>{LONG}</p><p>Short.</p></section></article>", f"{LONG}\nShort."),
+    (f"<main><div class='footer-notes-study'><p>{LONG}</p></div><p>And more of it.</p></main>", f"{LONG}\nAnd more of it."),
+    (f"<article><p>{LONG}</p></article><section class='comments'><h3>Comments</h3><ol><li><p>{LONG} I liked it.</p></li></ol></section>", LONG),
+    (f"<article><p>{LONG}</p></article><aside class='sidebar'><h3>More</h3><p>Other stories here.</p></aside>", LONG),
+])
+def test_article_text_is_not_dropped(model, body, text):
+    assert extract(f"<html><body>{CHROME.format(body)}</body></html>", model) == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("Nothing but a line of plain text, no markup at all.", "Nothing but a line of plain text, no markup at all."), ("<p>Alone.</p>", "Alone."), ("<html><body>Just this here.</body></html>", "Just this here."),
+    ("<body><h1>Title</h1><p>One thing.</p><p>Another thing.</p></body>", "Title\nOne thing.\nAnother thing."), ("x", "x"),
+])
+def test_bare_pages_are_not_empty(model, page, text):
+    assert extract(page, model) == text
+
+
+def test_stray_end_tags_are_cheap_and_close_no_block(model):
+    import time
+
+    began = time.perf_counter()
+    Page("<div>" * 20_000 + "</b>" * 20_000 + "<b>" + "<div>" * 10 + "</b>" * 20_000)
+    assert time.perf_counter() - began < 5
+    assert Page("<div><b>one<p>two</b> three</p></div>").text[-1] == "two three"
+
+
+def test_kept_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>", "t", "u")], "page_id long, html string, text string, `a.b` string")
+    assert html_extract(df, keep=("text", "a.b")).collect()[0].asDict() == {"id": 1, "text_in": "t", "a.b": "u", "text": "x", "n_chars": 1}

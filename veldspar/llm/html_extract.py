@@ -1,10 +1,12 @@
 """HTML extraction with a tree-structured graphical model.
 
 A page becomes a tree of elements and text blocks. A node is content, around the content's
-container, or neither; a node potential weighs its class and id words and, for a block, its
-length and share of linked text, and a parent-child potential says how often a child of such
-a tag and state stands under a parent of such a state. Sum-product message passing, leaves to root and back, gives each block's marginal
-exactly. The potentials are counted on labelled pages (here pages built with known labels).
+container, or neither. A node potential weighs what the node holds: of an element the size,
+share of the page and share of links of its text and its class and id words, of a block its
+length, links and closing mark; a parent-child potential says how often a child of such a tag
+and state stands under a parent of such a state. Sum-product message passing, leaves to root
+and back, gives each block's marginal exactly. The potentials are counted on labelled pages
+(here pages built with known labels, with neutral, missing and misleading names).
 """
 
 from __future__ import annotations
@@ -43,12 +45,32 @@ CLOSES = {
 _INLINE_P = BLOCK - {"button", "label", "option", "body", "html", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 
 
+#: Class and id words of the parts of common page layouts.
+GOOD = "article content post entry story main body text page blog news prose markdown wiki document read hentry single".split()
+BAD = {
+    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav sitemap pagination pager tabs toc skip links".split(),
+    "header": "header masthead topbar banner logo brand site head".split(),
+    "footer": "footer foot copyright legal colophon bottom credits".split(),
+    "aside": "sidebar side aside widget related recommended trending popular rail teaser more recirculation".split(),
+    "notice": "cookie cookies consent notice alert gdpr popup modal overlay banner privacy message paywall newsletter subscribe signup".split(),
+    "ad": "ad ads advert advertisement sponsor sponsored promo promotion promoted adsense commercial outbrain taboola".split(),
+    "form": "form search login signin register contact field input".split(),
+    "comments": "comments comment discussion replies reply respond disqus thread reader feedback reviews".split(),
+    "share": "share social sharing follow buttons toolbar tools actions".split(),
+}
+#: Names of boxes of any kind.
+PLAIN = "wrapper wrap container inner outer box block section row col list item area site layout group left right center top primary secondary main column panel".split()
+#: All words that say anything; any other word of a class or id is just unknown.
+WORDS = frozenset([*GOOD, *PLAIN, *(w for ws in BAD.values() for w in ws)])
+
+
 class Page:
     """A page as parallel lists, parents before children; a text block has the tag ''."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.words, self.text, self.linked = [-1], ["#"], [()], [""], [0]
         self._stack = [0]
+        self._open: Counter = Counter()
         self._block: list[str] = []
         self._linked = 0
         self._links = 0
@@ -70,6 +92,7 @@ class Page:
         """Close the stack's element number `at` and all above it."""
         for x in self._stack[at:]:
             self._links -= self.tag[x] == "a"
+            self._open[self.tag[x]] -= 1
         del self._stack[at:]
 
     def _parse(self, source: str) -> None:
@@ -92,15 +115,18 @@ class Page:
             if name in BLOCK:
                 self._flush()
             if m[2] or m[5]:
-                for k in range(len(self._stack) - 1, 0, -1):
+                # Of what is not open nothing ends, and an inline element's end ends no block.
+                for k in range(len(self._stack) - 1, 0, -1) if self._open[name] > 0 else ():
                     if self.tag[self._stack[k]] == name:
                         self._close(k)
                         break
+                    if name not in BLOCK and self.tag[self._stack[k]] in BLOCK:
+                        break
                 continue
             if name in VOID:
                 continue
             shut, fence = CLOSES.get(name, ({"p"}, {"table", "button"}) if name in _INLINE_P else ((), ()))
-            for k in range(len(self._stack) - 1, 0, -1):
+            for k in range(len(self._stack) - 1, 0, -1) if any(self._open[x] > 0 for x in shut) else ():
                 tag = self.tag[self._stack[k]]
                 if tag in shut:
                     self._close(k)
@@ -110,20 +136,36 @@ class Page:
             attrs = m[4] or m[7] or ""
             words: tuple[str, ...] = ()
             if "=" in attrs:
-                words = tuple(sorted({w for a in _ATTR.findall(attrs) for w in _WORD.findall("".join(a).lower())}))
-            if name in BLOCK or words:
-                self._stack.append(self._add(self._stack[-1], name, words))
-            else:
-                self._stack.append(self._add(self._stack[-1], name, ()))
+                words = tuple(sorted({w if w in WORDS else "?" for a in _ATTR.findall(attrs) for w in _WORD.findall("".join(a).lower())}))
+            self._stack.append(self._add(self._stack[-1], name, words))
+            self._open[name] += 1
             self._links += name == "a"
         self._flush()
+        # Text and linked text of each element, all below it included.
+        self.mass, self.held = [len(t) for t in self.text], list(self.linked)
+        for k in range(len(self.tag) - 1, 0, -1):
+            self.mass[self.parent[k]] += self.mass[k]
+            self.held[self.parent[k]] += self.held[k]
 
     def features(self, k: int) -> list[str]:
+        n = self.mass[k]
         if not self.tag[k]:
-            n = len(self.text[k])
             share = self.linked[k] / n
-            return [f"chars:{min(7, n.bit_length() // 2)}", f"linked:{0 if share < 0.2 else 1 if share < 0.8 else 2}"]
-        return [f"word:{w}" for w in self.words[k]]
+            return [f"chars:{min(7, n.bit_length() // 2)}", f"linked:{0 if share < 0.2 else 1 if share < 0.8 else 2}", f"stop:{self.text[k][-1] in STOPS}"]
+        if not k:
+            return [f"blocks:{min(4, sum(not t for t in self.tag).bit_length())}", f"chrome:{any(t in CHROME for t in self.tag)}"]
+        # Words beside unknown ones tell less: a piece of content may be named after its subject.
+        kind = "mixed" if "?" in self.words[k] else "word"
+        out = [f"{kind}:{w}" for w in self.words[k]]
+        if n:
+            share = self.held[k] / n
+            out += [f"mass:{min(7, n.bit_length() // 2)}", f"held:{0 if share < 0.2 else 1 if share < 0.6 else 2}", f"share:{4 * n // self.mass[0]}"]
+        return out
+
+
+STOPS = frozenset(".!?…:;。")
+#: Elements that pages around an article have.
+CHROME = frozenset("nav header footer aside form article main".split())
 
 
 #: States: neither content nor around it; content; around the content's container.
@@ -163,7 +205,7 @@ class TreeModel:
                     under[above] += 1
         node = {}
         for f in set().union(*seen):
-            scale = 0.3 if f.startswith(("chars:", "linked:")) else 1.0
+            scale = 0.3 if f.startswith(("chars:", "linked:", "stop:", "mass:", "held:", "share:")) else 1.0
             node[f] = tuple(scale * math.log((seen[s][f] + 0.5) / (total[s] + 1.0)) for s in STATES)
         tags = {t for _, _, t in follow}
         edge = {}
@@ -223,108 +265,135 @@ class TreeModel:
         return out
 
 
-#: Class and id words of the parts of common page layouts.
-GOOD = "article content post entry story main body text page blog news prose markdown wiki document read hentry single".split()
-BAD = {
-    "nav": "nav menu navbar navigation breadcrumb breadcrumbs topnav sitemap pagination pager tabs toc skip links".split(),
-    "header": "header masthead topbar banner logo brand site head".split(),
-    "footer": "footer foot copyright legal colophon bottom credits".split(),
-    "aside": "sidebar side aside widget related recommended trending popular rail teaser more recirculation".split(),
-    "notice": "cookie cookies consent notice alert gdpr popup modal overlay banner privacy message paywall newsletter subscribe signup".split(),
-    "ad": "ad ads advert advertisement sponsor sponsored promo promotion promoted adsense commercial outbrain taboola".split(),
-    "form": "form search login signin register contact field input".split(),
-    "comments": "comments comment discussion replies reply respond disqus thread reader feedback reviews".split(),
-    "share": "share social sharing follow buttons toolbar tools actions".split(),
-}
-
-
 def training_page(rng: random.Random) -> tuple[str, set[str]]:
     """A page of a drawn layout, and the texts of its content blocks. Every block is unique."""
     count = 0
     good: set[str] = set()
+    bad_words = [w for ws in BAD.values() for w in ws]
 
     def prose(low: int, high: int, content: bool) -> str:
         nonlocal count
         count += 1
         words = ["".join(rng.choice("aeioubcdrstnlm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high))]
-        text = " ".join([*words, f"u{count}"]) + rng.choice([".", ".", "", "!"])
+        text = " ".join([*words, f"u{count}"]) + (rng.choice([".", ".", ".", "!", ""]) if high > 9 else rng.choice(["", "", "."]))
         if content:
             good.add(text)
         return text
 
-    def attrs(words: list[str], often: float = 0.7) -> str:
+    def unknown() -> str:
+        return "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+
+    def name(words: list[str], often: float = 0.7) -> str:
+        """The class or id of a part: its words, now and then with a plain or an unknown one."""
+        if rng.random() > often:
+            return ""
+        own = rng.sample(words, rng.randint(1, 2))
+        if rng.random() < 0.3:
+            own.insert(rng.randint(0, len(own)), rng.choice(PLAIN))
+        if rng.random() < 0.06:
+            own.insert(0, unknown())
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice("- _").join(own)}"'
+
+    def slug(often: float = 0.5) -> str:
+        """The name of a piece of content: words of its subject, which may be any."""
         if rng.random() > often:
             return ""
-        name = "-".join(rng.sample(words, rng.randint(1, 2)))
-        return f' {rng.choice(["class", "class", "id"])}="{name}"'
+        own = [unknown() if rng.random() < 0.6 else rng.choice([*bad_words, *PLAIN]) for _ in range(rng.randint(1, 3))]
+        if all(w in bad_words for w in own):
+            own.append(unknown())
+        rng.shuffle(own)
+        return f' {rng.choice(["class", "id", "id"])}="{"-".join(own)}"'
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/x">{prose(1, 3, False)}</a></li>' for _ in range(n))
 
     def other(kind: str) -> str:
         words = BAD[kind]
-        often = 1.0 if kind in ("ad", "notice", "comments", "share") else 0.7
         if kind == "nav":
-            return f"<nav{attrs(words)}><ul>{links(rng.randint(2, 8))}</ul></nav>" if rng.random() < 0.6 else f"<div{attrs(words, 1)}><ul>{links(rng.randint(2, 8))}</ul></div>"
+            listed = rng.choice(["ul", "ul", "ol"])
+            inner = f"<{listed}>{links(rng.randint(2, 8))}</{listed}>" if rng.random() < 0.8 else " ".join(f'<a href="/x">{prose(1, 3, False)}</a>' for _ in range(rng.randint(2, 8)))
+            return f"<nav{name(words)}>{inner}</nav>" if rng.random() < 0.6 else f"<div{name(words, 0.8)}>{inner}</div>"
         if kind == "header":
             inner = f"<h1>{prose(1, 4, False)}</h1>" if rng.random() < 0.3 else f"<p>{prose(1, 9, False)}</p>" if rng.random() < 0.5 else prose(1, 4, False)
-            return f"<header{attrs(words)}>{inner}</header>" if rng.random() < 0.6 else f"<div{attrs(words, 1)}>{inner}</div>"
+            return f"<header{name(words)}>{inner}</header>" if rng.random() < 0.7 else f"<div{name(words, 1)}>{inner}</div>"
         if kind == "footer":
             inner = rng.choice([prose(2, 14, False), f"<p>{prose(2, 20, False)}</p>", f"<ul>{links(3)}</ul>"])
-            return f"<footer{attrs(words)}>{inner}</footer>" if rng.random() < 0.7 else f"<div{attrs(words, 1)}>{inner}</div>"
+            return f"<footer{name(words)}>{inner}</footer>" if rng.random() < 0.7 else f"<div{name(words, 1)}>{inner}</div>"
         if kind == "aside":
             tag = rng.choice(["aside", "aside", "div", "section"])
-            inner = "".join(f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{prose(1, 4, False)}</{h}><p>{prose(2, 30, False)}</p>" for _ in range(rng.randint(1, 3)))
-            return f"<{tag}{attrs(words, 0.6 if tag == 'aside' else 1)}>{inner}</{tag}>"
+            if rng.random() < 0.4:
+                inner = f"<h3>{prose(1, 4, False)}</h3><ul>{links(rng.randint(2, 6))}</ul>"
+            else:
+                inner = "".join(f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{prose(1, 4, False)}</{h}><p>{prose(2, 30, False)}</p>" for _ in range(rng.randint(1, 3)))
+            return f"<{tag}{name(words, 0.6 if tag == 'aside' else 1)}>{inner}</{tag}>"
         if kind == "form":
-            return f"<form{attrs(words)}><label>{prose(1, 3, False)}</label><input type=text><p>{prose(1, 9, False)}</p><button>{prose(1, 2, False)}</button></form>"
+            return f"<form{name(words)}><label>{prose(1, 3, False)}</label><input type=text><p>{prose(1, 9, False)}</p><button>{prose(1, 2, False)}</button></form>"
         if kind == "comments":
-            tag = rng.choice(["section", "div", "div", "ol"])
-            sub = rng.choice(["div", "li", "article", "p"])
-            inner = "".join(f"<{sub}{attrs(words)}>{prose(3, 40, False) if sub == 'p' else '<p>' + prose(3, 40, False) + '</p>'}</{sub}>" for _ in range(rng.randint(1, 4)))
+            tag = rng.choice(["section", "div", "div", "ol", "ul"])
+            sub = "li" if tag in ("ol", "ul") else rng.choice(["div", "article", "p"])
+            inner = "".join(f"<{sub}{name(words)}>{prose(3, 40, False) if sub == 'p' else '<p>' + prose(3, 40, False) + '</p>'}</{sub}>" for _ in range(rng.randint(1, 6)))
             h = rng.choice(["h2", "h3", "h4"])
-            return f"<{tag}{attrs(words, often)}><{h}>{prose(1, 3, False)}</{h}>{inner}</{tag}>"
+            return f"<{tag}{name(words, 1)}>{'' if tag in ('ol', 'ul') else f'<{h}>{prose(1, 3, False)}</{h}>'}{inner}</{tag}>"
         tag = rng.choice(["div", "div", "section", "p"])
         inner = prose(1, 14, False) if tag == "p" or rng.random() < 0.5 else f"<p>{prose(2, 30, False)}</p>"
-        return f"<{tag}{attrs(words, often)}>{inner}</{tag}>"
+        return f"<{tag}{name(words, 1)}>{inner}</{tag}>"
 
-    def block() -> str:
+    def block(depth: int = 0) -> str:
         r = rng.random()
-        if r < 0.72:
-            return f"<p>{prose(1, 60, True)}</p>"
+        if r < 0.6:
+            return f"<p{slug(0.06)}>{prose(1, 60, True)}</p>"
+        if r < 0.68:
+            return f"<{(h := rng.choice(['h2', 'h3', 'h4']))}{slug(0.3)}>{prose(1, 7, True)}</{h}>"
+        if r < 0.76:
+            tag = rng.choice(["ul", "ol", "ol"])
+            return f"<{tag}{slug(0.1)}>" + "".join(f"<li>{prose(1, 25, True)}</li>" for _ in range(rng.randint(1, 6))) + f"</{tag}>"
         if r < 0.8:
-            return f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{prose(1, 7, True)}</{h}>"
-        if r < 0.87:
-            return "<ul>" + "".join(f"<li>{prose(1, 20, True)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
-        if r < 0.91:
+            return "<dl>" + "".join(f"<dt>{prose(1, 3, True)}</dt><dd>{prose(2, 20, True)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+        if r < 0.83:
             return f"<blockquote><p>{prose(3, 40, True)}</p></blockquote>"
-        if r < 0.94:
+        if r < 0.86:
             return f"<pre>{prose(3, 30, True)}</pre>"
-        if r < 0.97:
+        if r < 0.89:
             return "<table>" + "".join(f"<tr><td>{prose(1, 4, True)}</td><td>{prose(1, 4, True)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
-        return f"<figure><figcaption>{prose(1, 12, True)}</figcaption></figure>"
+        if r < 0.91:
+            return f"<figure><figcaption>{prose(1, 12, True)}</figcaption></figure>"
+        if r < 0.92:
+            return f"<details><summary>{prose(1, 6, True)}</summary><p>{prose(3, 40, True)}</p></details>"
+        if depth > 2:
+            return prose(4, 40, True)
+        tag = rng.choice(["section", "section", "div"])
+        return f"<{tag}{slug(0.8)}>" + "".join(block(depth + 1) for _ in range(rng.randint(1, 5))) + f"</{tag}>"
 
-    before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "share"], rng.randint(0, 5))]
-    after = [other(k) for k in rng.sample(["footer", "aside", "ad", "comments", "nav", "form", "notice", "share"], rng.randint(1, 7))]
     inside = [block() for _ in range(rng.randint(1, 12))]
+    # Stray pieces of text next to each other are one block: keep them apart.
+    inside = [x if x.startswith("<") else f"<div>{x}</div>" for x in inside]
+    if rng.random() < 0.12:  # a body, or a page, that holds nothing but its text
+        bare = "".join(inside) if rng.random() < 0.7 else rng.choice(["<p>{}</p>", "{}", "<div>{}</div>"]).format(prose(3, 60, True))
+        good &= {t for t in good if t in bare}
+        return rng.choice([f"<!DOCTYPE html><html><head><title>t</title></head><body>{bare}</body></html>", f"<html><body>{bare}</body></html>", bare]), good
+    before = [other(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "share"], rng.randint(0, 5))]
+    after = [other(k) for k in rng.sample(["footer", "aside", "ad", "comments", "nav", "form", "notice", "share"], rng.randint(0 if before else 1, 7))]
     for _ in range(rng.choice([0, 0, 1, 2])):
         inside.insert(rng.randint(0, len(inside)), other(rng.choice(["ad", "share", "aside", "comments", "form", "notice", "nav"])))
-    title = f"<h1>{prose(1, 9, True)}</h1>"
-    if rng.random() < 0.15:
+    title = f"<h1>{prose(1, 9, True)}</h1>" if rng.random() < 0.85 else ""
+    if title and rng.random() < 0.15:
         title = f"<header>{title}</header>"
-    wrap = rng.choice(["article", "article", "main", "div", "section"])
-    article = f"<{wrap}{attrs(GOOD, 0.5 if wrap in ('article', 'main') else 1)}>{title}{''.join(inside)}</{wrap}>"
-    if rng.random() < 0.4:
-        article = f"<main{attrs(GOOD)}>{article}</main>"
+    wrap = rng.choice(["article", "article", "main", "div", "section", "body"])
+    article = f"{title}{''.join(inside)}"
+    if wrap != "body":
+        article = f"<{wrap}{name(GOOD, 0.5 if wrap in ('article', 'main') else 0.8)}>{article}</{wrap}>"
+        if rng.random() < 0.4:
+            article = f"<main{name(GOOD)}>{article}</main>"
     body = "".join([*before, article, *after])
     if rng.random() < 0.3:
-        body = f'<div class="{rng.choice(["wrapper", "container", "page", "layout"])}">{body}</div>'
+        body = f'<div class="{rng.choice(PLAIN)}">{body}</div>'
     return f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>", good
 
 
 def labelled(source: str, good: set[str]) -> tuple[Page, list[int]]:
-    """A page's states. The container is the lowest element over all content blocks: what is
-    above it is outer, what is in it is content if at least half of its blocks are."""
+    """A page's states. The container is the lowest element over all content blocks, or the
+    highest above it that holds nothing else: what is above it is outer, what is in it is
+    content if at least half of its blocks are."""
     page = Page(source)
     n = len(page.tag)
     have, content = [0] * n, [0] * n
@@ -335,6 +404,8 @@ def labelled(source: str, good: set[str]) -> tuple[Page, list[int]]:
             have[page.parent[k]] += have[k]
             content[page.parent[k]] += content[k]
     container = max((k for k in range(n) if content[k] == content[0]), default=0)
+    while container and have[page.parent[container]] == content[0]:
+        container = page.parent[container]
     states = [CONTENT if content[k] and 2 * content[k] >= have[k] else OTHER for k in range(n)]
     states[container] = CONTENT if content[0] else OTHER
     k = page.parent[container]
@@ -343,7 +414,7 @@ def labelled(source: str, good: set[str]) -> tuple[Page, list[int]]:
     return page, states
 
 
-def train(pages: int = 600, seed: int = 9) -> TreeModel:
+def train(pages: int = 900, seed: int = 9) -> TreeModel:
     """The model from a fixed number of labelled pages."""
     rng = random.Random(seed)
     return TreeModel.fit([labelled(*training_page(rng)) for _ in range(pages)])
@@ -362,18 +433,21 @@ def html_extract(pages: DataFrame, key: str = "page_id", source: str = "html", k
     """One row per input row: id, the columns of `keep`, text, n_chars (code points).
 
     A null or empty page has the empty text. Pages are read whole, whatever is broken in
-    them; repeated rows give repeated rows; a null id stays null; an empty table gives an
-    empty result; columns other than those named are ignored.
+    them and however long they are; repeated rows give repeated rows; a null id stays null;
+    an empty table gives an empty result; columns other than those named are ignored. A kept
+    column that is named like one of the results gets `_in` behind its name.
     """
     model = model or train()
+    names = [f"{c}_in" if c in ("id", "text", "n_chars") else c for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([extract(x.as_py() or "", model) for x in b.column(b.num_columns - 1)], pa.string())], [*b.schema.names[:-1], "text"])
 
-    own = pages.select(F.col(key).cast("long").alias("id"), *keep, F.col(source).cast("string").alias("__html"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{kinds}, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    own = pages.select(F.col(f"`{key}`").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{source}`").cast("string").alias("html"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    out = own.mapInArrow(run, f"{kinds}, text string")
+    return out.select("id", *[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
