@@ -216,3 +216,12 @@ def test_unknown_names(s):
     for bad in ("SELECT nope FROM items", "SELECT id FROM nope", "SELECT FOO(id) FROM items"):
         with pytest.raises((QueryError, SessionError)):
             s.sql(bad)
+
+
+def test_similarity_join_below_zero_and_odd_names(spark):
+    from veldspar.operators import join
+
+    a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0, 0.0])], "`a.b` int, v array<float>")
+    b = spark.createDataFrame([(7, [-1.0, 0.1]), (8, [0.0, 1.0])], "id int, w array<float>")
+    got = join.similarity_join(a, b, "v", "w", -0.5, "inner").collect()
+    assert sorted((r["a.b"], r["id"]) for r in got) == [(1, 8), (2, 7), (2, 8)]

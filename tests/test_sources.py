@@ -189,3 +189,51 @@ def test_streaming(spark, sf_dir, tmp_path):
     memory = counted.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     memory.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == events.count()
+
+
+def test_client_command_line_and_time_limit(s, monkeypatch, capsys):
+    import threading
+
+    from veldspar.__main__ import main
+    from veldspar.service import server as module
+    from veldspar.service.client import Client, ServiceError
+
+    server = serve(s, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        c = Client(url)
+        c.execute("DATASET t COLUMNS (a: Int)")
+        c.execute("INSERT INTO t VALUES (4)")
+        assert c.execute("SELECT a FROM t")["rows"] == [[4]] and c.databases() == ["default"]
+        assert main(["jobs", "submit", "SELECT a FROM t", "--url", url]) == 0
+        job = json.loads(capsys.readouterr().out)
+        for _ in range(100):
+            if c.job(job)["status"] == "Completed":
+                break
+            time.sleep(0.1)
+        assert main(["jobs", "result", job, "--url", url]) == 0 and json.loads(capsys.readouterr().out)["rows"] == [[4]]
+        assert main(["schedule", "add", "tick", "SELECT a FROM t", "60", "--url", url]) == 0
+        task = json.loads(capsys.readouterr().out)["id"]
+        assert main(["schedule", "remove", task, "--url", url]) == 0 and c.schedules() == []
+        assert main(["jobs", "status", "00", "--url", url]) == 1
+        monkeypatch.setattr(module, "TIME_LIMIT", 0.2)
+        monkeypatch.setattr(server.service, "execute", lambda *a: time.sleep(2))
+        with pytest.raises(ServiceError) as e:
+            c.execute("SELECT a FROM t")
+        assert e.value.code == 408
+    finally:
+        server.shutdown()
+
+
+def test_inspect_reads_headers_only(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.arange(3), y=np.zeros((3, 2, 2)), z=np.ones(9))
+    with open(tmp_path / "b.npy", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (10**9, 4)})  # no data behind it
+    assert [(f.name, f.metadata["shape"]) for f in inspect(spark, str(tmp_path / "a.npz"))] == [("x", [3]), ("y", [3, 2, 2])]
+    assert inspect(spark, str(tmp_path / "b.npy"))[0].metadata["shape"] == [10**9, 4]
+
+
+def test_first_value_and_statistics(s):
+    s.script("DATASET t COLUMNS (a: Int, b: Float?)\nINSERT INTO t VALUES (4, 1.5)\nINSERT INTO t (a = 6)")
+    assert s.first_value("t", "a") in (4, 6) and s.statistics("t")["b"] == {"null_count": 1, "sparsity": 0.5, "min": 1.5, "max": 1.5, "mean": 1.5}

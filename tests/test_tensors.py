@@ -107,3 +107,30 @@ def test_signal_columns_and_statements(spark, s):
     s.script("VECTOR g = [0, 1, 0, -1, 0, 1, 0, -1]\nLET z = FFT g\nLET r = IFFT z\nLET m = MAGNITUDE z\nLET n = PSD g WINDOW 8\nLET w = WHITEN g WITH n\nLET b = BANDPASS g FROM 1.0 TO 3.0 WITH RATE 8.0\nLET c = MATCHED_FILTER g WITH g")
     np.testing.assert_allclose(value(s, "r"), value(s, "g"), atol=1e-6)
     assert value(s, "c").argmax() in (0, 4) and value(s, "m").argmax() == 2
+
+
+def test_relaxed_operations_pad():
+    from veldspar import tensors
+
+    a, b = np.array([4.0, 6.0, 8.0]), np.array([2.0])
+    wide = np.array([2.0, 3.0])
+    np.testing.assert_allclose(tensors.add_relaxed(a, wide), [6, 9, 8])
+    np.testing.assert_allclose(tensors.subtract_relaxed(a, wide), [2, 3, 8])
+    np.testing.assert_allclose(tensors.multiply_relaxed(a, wide), [8, 18, 8])
+    np.testing.assert_allclose(tensors.divide_relaxed(a, wide), [2, 2, 8])
+    np.testing.assert_allclose(tensors.add_relaxed(a, b), [6, 8, 10])
+
+
+def test_column_aggregates_stay_distributed(spark, s):
+    s.register("d", spark.range(1000).selectExpr("id AS n", "array(cast(id AS float), 1.0f) AS v"))
+    s.script("LET a = SUM d.n\nLET b = MEAN d.v\nLET c = STDEV d.n")
+    assert float(value(s, "a")[0]) == 499500 and float(value(s, "b")[0]) == 250.25
+    np.testing.assert_allclose(value(s, "c"), [np.arange(1000).std()], rtol=1e-6)
+
+
+def test_signal_columns_of_mixed_lengths(spark):
+    df = spark.createDataFrame([(k, [float((k * i) % 5) for i in range(4 + 2 * (k % 3))]) for k in range(20)], "id int, v array<float>")
+    for r in df.select("v", signal.column(signal.matched_filter)(F.col("v"), F.reverse("v")).alias("c"), signal.column(signal.bandpass, low=1.0, high=2.0, rate=8.0)("v").alias("b")).collect():
+        x = np.array(r["v"], dtype=np.float32)
+        np.testing.assert_allclose(r["c"], signal.matched_filter(x, x[::-1]), rtol=1e-5, atol=1e-5)
+        np.testing.assert_allclose(r["b"], signal.bandpass(x, 1.0, 2.0, 8.0), rtol=1e-5, atol=1e-5)

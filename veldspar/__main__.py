@@ -1,4 +1,4 @@
-"""Command line: python -m veldspar run FILE | exec STATEMENT | query STATEMENT | load FILE NAME | repl | serve."""
+"""Command line: python -m veldspar run FILE | exec STATEMENT | query STATEMENT | load FILE NAME | repl | serve | jobs .. | schedule .."""
 
 from __future__ import annotations
 
@@ -26,7 +26,17 @@ def main(argv: list[str] | None = None) -> int:
     db = sub.add_parser("db")
     db.add_argument("action", choices=["list", "create", "drop"])
     db.add_argument("name", nargs="?")
+    jobs = sub.add_parser("jobs", help="jobs of a running service")
+    jobs.add_argument("action", choices=["list", "submit", "status", "result", "cancel"])
+    jobs.add_argument("what", nargs="?", help="a statement to submit, or a job's id")
+    plan = sub.add_parser("schedule", help="recurring commands of a running service")
+    plan.add_argument("action", choices=["list", "add", "remove"])
+    plan.add_argument("what", nargs="*", help="a name, a statement and seconds to add; an id to remove")
+    for x in (jobs, plan):
+        x.add_argument("--url", default="http://127.0.0.1:8080")
     a = p.parse_args(argv)
+    if a.command in ("jobs", "schedule"):
+        return remote(a)
     if a.command == "init":
         os.makedirs(os.path.join(a.root, "default"), exist_ok=True)
         return 0
@@ -74,5 +84,28 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def remote(a: argparse.Namespace) -> int:
+    """The jobs and schedule commands, by the service at a.url."""
+    import json
+
+    from .service.client import Client, ServiceError
+
+    c = Client(a.url, None if a.db == "default" else a.db)
+    try:
+        if a.command == "jobs":
+            got = {"list": lambda _: c.jobs(), "submit": c.submit, "status": c.job, "result": c.result, "cancel": c.cancel}[a.action](a.what)
+        elif a.action == "add":
+            name, command, seconds = a.what
+            got = c.schedule(name, command, float(seconds))
+        else:
+            got = c.schedules() if a.action == "list" else c.unschedule(a.what[0])
+    except (ServiceError, OSError, ValueError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 1
+    if got is not None:
+        print(json.dumps(got))
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine_sim
-
 #: A right column whose name the left side has, too, gets this prefix.
 PREFIX = "r_"
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full"}
@@ -39,11 +37,6 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how:
     return left.join(renamed, condition, KINDS[how])
 
 
-def _scored(left_v: str, right_v: str, threshold: float, strict: bool) -> Column:
-    s = cosine_sim(F.col(left_v), F.col(right_v))
-    return s > threshold if strict else s >= threshold
-
-
 #: Right rows that one block of the blocked form holds.
 BLOCK = 4096
 
@@ -58,8 +51,6 @@ def similarity_join(left: DataFrame, right: DataFrame, left_v: str, right_v: str
     """
     renamed, names = rename_right(left, right)
     rv = names[right_v]
-    if threshold < 0 or how == "full" and not left.columns:
-        return left.join(renamed, _scored(left_v, rv, threshold, strict) & (F.size(left_v) == F.size(rv)), KINDS[how])
     lk, rk = F.xxhash64(*map(F.col, _plain(left))), F.xxhash64(*map(F.col, _plain(renamed)))
     numbered_l = left.withColumn("__l", F.struct(lk.alias("h"), F.monotonically_increasing_id().alias("n")))
     numbered_r = renamed.withColumn("__r", F.struct(rk.alias("h"), F.monotonically_increasing_id().alias("n")))
@@ -70,7 +61,7 @@ def similarity_join(left: DataFrame, right: DataFrame, left_v: str, right_v: str
     pairs = similar_pairs(numbered_l.select(F.col("__l").alias("k"), F.col(left_v).alias("v")), numbered_r.select(F.col("__r").alias("k"), F.col(rv).alias("v")), threshold, strict)
     found = numbered_l.join(pairs, numbered_l["__l"] == pairs["a"], "left" if how in ("left", "full") else "inner").drop("a", "__l")
     joined = found.join(numbered_r, found["b"] == numbered_r["__r"], {"inner": "inner", "left": "left", "right": "right", "full": "full"}[how])
-    return joined.select(*left.columns, *renamed.columns)
+    return joined.select(*[f"`{c}`" for c in (*left.columns, *renamed.columns)])
 
 
 def _plain(df: DataFrame) -> list[str]:

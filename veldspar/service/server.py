@@ -6,7 +6,9 @@ import json
 import os
 import re
 import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
@@ -16,6 +18,8 @@ from .jobs import Jobs, Scheduler
 #: Largest request body, and rows that one answer holds.
 MAX_BODY = 16 * 1024
 MAX_ROWS = 10_000
+#: Seconds that a request may take; longer work goes to /jobs.
+TIME_LIMIT = 30.0
 #: The request header that names the database.
 HEADER = "X-Database"
 _FILES = ("manifest.json", "schema.json", "stats.json", "lineage.json", "metadata.json", "data.parquet")
@@ -53,6 +57,7 @@ class Service:
         sc = session.spark.sparkContext
         self.jobs = Jobs(self.run, workers, lambda i: sc.setJobGroup(i, i, True), sc.cancelJobGroup)
         self.scheduler = Scheduler(self.run)
+        self.requests = ThreadPoolExecutor(16)
 
     def execute(self, command: str, database: str | None = None) -> Result:
         with self.lock:
@@ -70,15 +75,34 @@ class Service:
     def run(self, command: str, database: str | None = None) -> dict[str, Any]:
         return as_json(self.execute(command, database))
 
+    def limited(self, work: Callable[[], Any], seconds: float) -> Any:
+        """What `work` gives within the time; beyond it its Spark work is stopped and TimeoutError raised."""
+        sc, group = self.session.spark.sparkContext, f"request-{uuid.uuid4().hex}"
+
+        def grouped() -> Any:
+            sc.setJobGroup(group, group, True)
+            return work()
+
+        done = self.requests.submit(grouped)
+        try:
+            return done.result(seconds)
+        except TimeoutError:
+            done.cancel()
+            sc.cancelJobGroup(group)
+            raise TimeoutError(f"the request took over {seconds:g} s; submit it to /jobs") from None
+
 
 def _routes(service: Service) -> list[tuple[str, re.Pattern, Callable[..., tuple[int, Any]]]]:
     def execute(h: Handler, body: bytes) -> tuple[int, Any]:
         text = body.decode()
         if "json" in h.headers.get("Content-Type", ""):
             text = json.loads(text)["command"]
-        result = service.execute(text, h.headers.get(HEADER))
-        wants_json = "format=json" in h.path or "json" in h.headers.get("Accept", "")
-        return 200, as_json(result) if wants_json else as_text(result)
+        shown = as_json if "format=json" in h.path or "json" in h.headers.get("Accept", "") else as_text
+        database = h.headers.get(HEADER)
+        try:
+            return 200, service.limited(lambda: shown(service.execute(text, database)), TIME_LIMIT)
+        except TimeoutError as e:
+            return 408, {"error": str(e)}
 
     def submit(h: Handler, body: bytes) -> tuple[int, Any]:
         text = body.decode()

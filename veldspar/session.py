@@ -27,7 +27,7 @@ from .dsl.statements import parse
 from .functions.vector import normalize
 from .operators.search import similarity_topk
 from .plans.shared import stored
-from .sources import export_csv, load_package, read_dataset, save_package
+from .sources import export_csv, load_package, package_stats, read_dataset, save_package
 from .sources.connectors import frame_of_arrays, read_csv
 from .tensors import Lineage, Tensor, TensorError
 from .types import KEY, dims_of, field_of, is_tensor, spelled, zero_of
@@ -38,6 +38,9 @@ CHANGES = 16
 MAX_TENSOR = 10_000_000
 
 
+_COLUMN_AGGREGATES = {"SUM": F.sum, "MEAN": F.avg, "STDEV": F.stddev_pop}
+
+
 class SessionError(ValueError):
     pass
 
@@ -78,10 +81,22 @@ class Result:
         return [tuple(r) for r in self.frame.collect()] if self.frame is not None else []
 
 
+def _own_root(spark: SparkSession) -> str:
+    """A folder of the session's own: in the cluster's shared folder, if that is mounted here."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    path = "/" + shared.removeprefix("file:").lstrip("/")
+    if shared and (shared.startswith("file:") or "://" not in shared):
+        os.makedirs(f"{path}/veldspar", exist_ok=True)
+        return tempfile.mkdtemp(prefix="session-", dir=f"{path}/veldspar")
+    if not spark.sparkContext.master.startswith("local"):
+        raise SessionError("a session on a cluster needs a root folder that the driver and all executors see")
+    return tempfile.mkdtemp(prefix="veldspar-session-")
+
+
 class Session:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or tempfile.mkdtemp(prefix="veldspar-session-")
+        self.root = root or _own_root(spark)
         self.databases = {"default": Database("default")}
         if os.path.isdir(self.root):
             for d in sorted(os.listdir(self.root)):
@@ -365,6 +380,8 @@ class Session:
             return self._tensor(e[1])
         if kind == "field":
             return self._column_tensor(e[1], e[2])
+        if kind == "unary" and e[1] in _COLUMN_AGGREGATES and e[2][0] == "field" and (got := self._column_aggregate(e[1], *e[2][1:])):
+            return got
         parts, run, op = self._operation(e)
         operands = [self._eval(p) for p in parts]
         strict = any(t.kind == "strict" for t in operands)
@@ -399,6 +416,29 @@ class Session:
             return [e[1]], lambda _, a: tensors.take(a, e[2]), "SLICE"
         raise TensorError(f"no tensor expression: {kind}")
 
+    def _column_aggregate(self, kind: str, ds: str, column: str) -> Tensor | None:
+        """SUM, MEAN or STDEV of a row dataset's column, as an aggregate where its rows are."""
+        ds = self.db.aliases.get(ds, ds)
+        if column in self.db.references.get(ds, {}):
+            return None
+        df = self.frame(ds)
+        if column not in df.columns:
+            raise SessionError(f"{ds} has no column {column}")
+        v, kind_of = F.col(f"`{column}`"), df.schema[column].dataType
+        if not is_tensor(kind_of) and not isinstance(kind_of, T.NumericType | T.BooleanType):
+            raise SessionError(f"{ds}.{column} is not numeric")
+        if is_tensor(kind_of):
+            v = F.explode(F.flatten(v) if isinstance(kind_of.elementType, T.ArrayType) else v)
+        values = df.select(v.alias("v")).select(F.col("v").cast("double").alias("v"))
+
+        def run() -> np.ndarray:
+            got = values.agg(_COLUMN_AGGREGATES[kind]("v").alias("x"), F.max(F.col("v").isNull()).alias("holes")).first()
+            if got["holes"] is not False:
+                raise SessionError(f"{ds}.{column} holds nulls or no rows")
+            return np.asarray([got["x"]], dtype=np.float32)
+
+        return Tensor(None, Lineage(kind, (Lineage("ROOT", name=f"{ds}.{column}"),)), make=run)
+
     def _column_tensor(self, ds: str, column: str) -> Tensor:
         ds = self.db.aliases.get(ds, ds)
         if column in self.db.references.get(ds, {}):
@@ -470,10 +510,15 @@ class Session:
         df = self.frame(ds)
         if (n := df.count()) != len(np.atleast_1d(t)):
             raise SessionError(f"{s.tensor} has {len(np.atleast_1d(t))} rows, {ds} has {n}")
-        # The array is on the driver, so the dataset is as small: rows are matched by number.
-        pdf = [(*r, v.tolist()) for r, v in zip(df.collect(), np.atleast_1d(t), strict=True)]
-        new = frame_of_arrays(self.spark, {s.column: t}).schema[0]
-        self._put(ds, self.spark.createDataFrame(pdf, T.StructType([*df.schema.fields, new])))
+        # Rows are numbered where they are, in one order of partitions, and meet the array's by number.
+        df = stored(df)
+        rows = df.rdd.zipWithIndex().map(lambda r: (r[1], tuple(r[0]))).toDF(T.StructType([T.StructField("__row", T.LongType()), T.StructField("__old", df.schema)]))
+        new = frame_of_arrays(self.spark, {s.column: np.atleast_1d(t)}).schema[0]
+        own = [(k, v) for k, v in enumerate(np.atleast_1d(t).tolist())]
+        values = self.spark.createDataFrame(own, T.StructType([T.StructField("__at", T.LongType()), T.StructField("__new", new.dataType)]))
+        joined = rows.join(values, F.col("__row") == F.col("__at"))
+        old = [F.col(f"__old.`{f.name}`").alias(f.name, metadata=f.metadata) for f in df.schema if f.name != s.column]
+        self._put(ds, joined.select(*old, F.col("__new").alias(s.column, metadata=new.metadata)))
         return Result(f"attached {s.tensor} to {ds}.{s.column}")
 
     def _sync(self, name: str) -> None:
@@ -685,6 +730,15 @@ class Session:
         df = self.frame(name)
         return Result(f"{s.name}: {', '.join(f'{f.name} {spelled(f)}' for f in df.schema)}", df)
 
+    def first_value(self, name: str, column: str) -> Any:
+        """A column of the dataset's first row; None if there is no row."""
+        row = self.frame(name).select(F.col(f"`{column}`")).first()
+        return row[0] if row else None
+
+    def statistics(self, name: str) -> dict[str, Any]:
+        """Nulls, minimum, maximum and mean of a dataset's columns, in one pass over its rows as they are now."""
+        return package_stats(self.frame(name))
+
     def do_show_expr(self, s: Statement) -> Result:
         a = self._eval(s.expr).value()
         return Result(np.array2string(a, threshold=40), tensor=a)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import tensor_field
-from .arrays import SourceError, read_hdf5, read_npy, read_npz, read_zarr
+from .arrays import SourceError, read_hdf5, read_npy, read_npz, read_zarr, shapes
 
 
 @dataclass
@@ -128,7 +128,18 @@ def read_dataset(spark: SparkSession, path: str, fields: list[str] | None = None
 
 
 def inspect(spark: SparkSession, path: str) -> T.StructType:
-    """The schema that reading the path would give."""
-    return read_dataset(spark, path).frame.schema
-
-
+    """The schema that reading the path would give; of array files only headers are read."""
+    kind = find_connector(path)
+    if kind not in _ARRAYS:
+        return read_dataset(spark, path).frame.schema
+    if not os.path.exists(path):
+        raise SourceError(f"{path} does not exist")
+    found = shapes(kind, path)
+    rows = next(iter(found.values()), (1,))[:1]
+    fields = []
+    for name, shape in found.items():
+        if (shape[:1] or (1,)) == (rows or (1,)):
+            told = {"shape": list(shape)}
+            f = tensor_field(name, [int(np.prod(shape[1:]))]) if len(shape) > 1 else T.StructField(name, T.FloatType())
+            fields.append(T.StructField(name, f.dataType, True, {**f.metadata, **told}))
+    return T.StructType(fields)

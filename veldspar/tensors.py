@@ -94,6 +94,14 @@ def elementwise(op: str, a: np.ndarray, b: np.ndarray, strict: bool = False) ->
     return np.asarray(_NUMPY[op](a.astype(np.float32), b.astype(np.float32)), dtype=np.float32)
 
 
+def _relaxed(op: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda a, b: elementwise(op, a, b)
+
+
+#: The element-wise operations by name, padding shorter vectors.
+add_relaxed, subtract_relaxed, multiply_relaxed, divide_relaxed = map(_relaxed, ("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE"))
+
+
 def matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if a.ndim != 2 or b.ndim != 2 or a.shape[1] != b.shape[0]:
         raise TensorError(f"MATMUL: shapes {list(a.shape)} and {list(b.shape)} do not match")
