@@ -172,3 +172,51 @@ def test_recall_in_a_hot_region(spark, monkeypatch, crowd):
     got = sum(r["n_links"] for r in embedding_dedup(df).collect())
     assert near.sum() >= 300
     assert got >= 0.98 * near.sum()
+
+
+def test_shared_boilerplate_makes_no_clusters(spark, monkeypatch):
+    """Texts that share 40 % of their words, and two near copies among them: the root leaves all others."""
+    rng = random.Random(21)
+    shared = [f"b{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(k, " ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(120)])) for k in range(200)]
+    rows.append((900, rows[7][1] + " and more"))
+    seen = {}
+    keep = shingle_join.materialise
+
+    def spy(df, name, *more):
+        seen[name] = keep(df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(shingle_join, "materialise", spy)
+    got = {r["id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows)[1] and got[900] == 7
+    assert seen["routed"].count() == 2
+
+
+def test_a_common_token_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "PART_TOKENS", 50)
+    rng = random.Random(22)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(120):
+        t = list(base)
+        t[rng.randrange(90)] = f"x{k}"
+        rows.append((k, " ".join(t) if k % 3 else " ".join(rng.sample(base, 60))))
+    got = {r["id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == brute(rows)[1]
+
+
+def test_a_hub_of_many_links(spark, monkeypatch):
+    from veldspar.llm import components
+
+    monkeypatch.setattr(components, "LEAST", 20)
+    pairs = [(0, k) for k in range(1, 300)] + [(k, k + 1000) for k in range(1, 50)] + [(5000, 5001), (2000, 299)]
+    rows = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in rows} == united({x for p in pairs for x in p}, pairs)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f g h", "k1", 1.5, "p"), (2, "a b c d e f g h", "k2", 2.5, "q"), (3, None, "k3", None, "r"), (4, "x", None, 0.5, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, `a.b` double, id string")
+    out = distinct_by_shingles(df)
+    assert out.schema == df.schema and sorted(map(tuple, out.collect())) == [rows[0], rows[2], rows[3]]

@@ -17,6 +17,22 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return bad.isEmpty()
 
 
+#: A node on over 1 / SHARE of all link ends (and over LEAST) is a hub; there are SHARE at most.
+SHARE, LEAST = 2048, 1000
+
+
+def _with_least(both: DataFrame, ends: int) -> DataFrame:
+    """(u, v, m): each link end with the least of u and its neighbours.
+
+    Of hubs, whose number is bounded, m is broadcast, so a hub's links stay where they are.
+    """
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d"), "least")
+    hubs = least.filter(F.col("d") > max(LEAST, ends // SHARE)).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+    told = both.join(F.broadcast(hubs), F.col("u") == F.col("h"), "left").drop("h")
+    others = told.filter("hm is null").drop("hm").join(least.select("u", "m"), "u")
+    return told.filter("hm is not null").withColumnRenamed("hm", "m").unionByName(others)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that a link touches; component is its smallest node.
 
@@ -32,8 +48,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.select(F.col("big").alias("u"), F.col("small").alias("v")).unionByName(
             edges.select(F.col("small").alias("u"), F.col("big").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v > m").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
+        large = _with_least(both, 2 * edges.count()).filter("v > u and v > m").select(F.col("v").alias("big"), F.col("m").alias("small")).distinct()
         low = large.groupBy("big").agg(F.min("small").alias("m"))
         small = (
             large.join(low, "big")

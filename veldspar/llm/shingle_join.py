@@ -1,12 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
-Texts with one shingle set form a class. Bands of minhashes deal classes to candidate
-clusters; a pair at the threshold is missed with a chance under 1e-13. Within a cluster,
-classes are laid out in blocks of bounded size by size range, and blocks whose size ranges
-allow a link are joined by a dual traversal of two signature trees: a node holds the OR of
-its members' token bitmaps, their size range and their largest excess of tokens over bits,
-and a pair of nodes is left as soon as the common bits cannot hold the overlap that a link
-needs, or all its members are linked already. Surviving pairs are verified on whole sets.
+Texts with one shingle set form a class. The search descends a tree whose nodes hold the OR of
+their sets' token bitmaps. Its root, the bitmap of all tokens, is spread over the cluster: of
+each class it tells which tokens any other class has. A link needs most of a set, so a class
+with too many tokens of its own is left at once, whatever boilerplate it shares. The others
+take routes down: one for each shared token that a link could have first, in one order of all
+tokens. Classes that routes connect meet in blocks of bounded size by size range, where two
+signature trees are traversed together: a node holds its members' bitmap, their size range and
+their largest excess of tokens over bits, and a pair of nodes is left as soon as the common
+bits cannot hold the overlap that a link needs, or all its members are linked already.
+Surviving pairs are verified on their tokens.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import combine, mix
+from .anchors import blocks_of, combine, mix
 from .common import SPACES, materialise, release
 from .components import connected_components
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-BANDS, ROWS = 45, 3
 #: Classes in a block of a large cluster, on average.
 BLOCK_CLASSES = 256
 LEAF = 8
@@ -41,26 +43,6 @@ def shingles_of(text: str, n: int = SHINGLE) -> np.ndarray:
     return np.unique(combine(h, min(n, len(h)), 3 + min(n, len(h)))) if len(h) else h
 
 
-def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band: the band's number and its minhashes of the set s."""
-    n = bands * rows
-    turn = mix(np.arange(1, n + 1, dtype=np.uint64))
-    low = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
-    x = (s >> np.uint64(32)).astype(np.uint32)
-    flip, times = (turn >> np.uint64(32)).astype(np.uint32), turn.astype(np.uint32) | np.uint32(1)
-    for k in range(0, len(x), 256):
-        y = x[k : k + 256, None] ^ flip
-        y *= times
-        y ^= y >> np.uint32(15)
-        y *= np.uint32(0x2C1B3C6D)
-        np.minimum(low, y.min(axis=0), out=low)
-    band = low.reshape(bands, rows).astype(np.uint64)
-    key = np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + band[:, r])
-    return key
-
-
 class Forest:
     """Union-find of a block pair's members."""
 
@@ -91,17 +73,17 @@ def signature(s: np.ndarray, n_bits: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def build_tree(members: list[int], sets: list[np.ndarray], signatures: list[int]) -> Node:
-    """A tree over the members, neighbours by size and least hash."""
-    order = sorted(members, key=lambda k: (len(sets[k]), int(sets[k][0])))
+def build_tree(members: list[int], sets: list[np.ndarray], sizes: list[int], signatures: dict[int, int]) -> Node:
+    """A tree over the members, neighbours by size and least hash. sizes: of the whole sets, of
+    which `sets` holds the tokens that any other set has."""
+    order = sorted(members, key=lambda k: (sizes[k], int(sets[k][0]) if len(sets[k]) else 0))
     level = []
     for k in range(0, len(order), LEAF):
         m = order[k : k + LEAF]
         bits = 0
         for x in m:
             bits |= signatures[x]
-        sizes = [len(sets[x]) for x in m]
-        level.append(Node(m, [], bits, min(sizes), max(sizes), max(len(sets[x]) - signatures[x].bit_count() for x in m)))
+        level.append(Node(m, [], bits, min(sizes[x] for x in m), max(sizes[x] for x in m), max(len(sets[x]) - signatures[x].bit_count() for x in m)))
     while len(level) > 1:
         above = []
         for k in range(0, len(level), LEAF):
@@ -123,16 +105,17 @@ def possible(a: Node, b: Node, percent: int = PERCENT) -> bool:
     return (100 + percent) * most >= percent * (a.low + b.low)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int = PERCENT) -> bool:
+    """a, b: what other sets have of two sets of na and nb tokens."""
+    if 100 * min(na, nb) < percent * max(na, nb):
         return False
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    both = int((b[at] == a).sum()) if len(b) else 0
+    return 100 * both >= percent * (na + nb - both)
 
 
-def dual_join(left: Node, right: Node, sets: list[np.ndarray], signatures: list[int], forest: Forest, percent: int = PERCENT) -> None:
+def dual_join(left: Node, right: Node, sets: list[np.ndarray], sizes: list[int], signatures: dict[int, int], forest: Forest, percent: int = PERCENT) -> None:
     """Join all linked pairs of the two trees in the forest; the trees may be the same."""
     stack = [(left, right)]
     while stack:
@@ -151,36 +134,159 @@ def dual_join(left: Node, right: Node, sets: list[np.ndarray], signatures: list[
             for y in a.members[k + 1 :] if a is b else b.members:
                 if forest.root(x) == forest.root(y):
                     continue
-                nx, ny = len(sets[x]), len(sets[y])
-                most = min(nx - (signatures[x] & ~signatures[y]).bit_count(), ny - (signatures[y] & ~signatures[x]).bit_count())
-                if (100 + percent) * most >= percent * (nx + ny) and linked(sets[x], sets[y], percent):
+                most = min(len(sets[x]) - (signatures[x] & ~signatures[y]).bit_count(), len(sets[y]) - (signatures[y] & ~signatures[x]).bit_count())
+                if (100 + percent) * most >= percent * (sizes[x] + sizes[y]) and linked(sets[x], sets[y], sizes[x], sizes[y], percent):
                     forest.join(x, y)
 
 
+def tree_join(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> Forest:
+    """The linked pairs of the sets, united.
+
+    Sets are taken by size range, as only those of one range or of neighbouring ones can link,
+    and each two ranges get bitmaps of the length that their sets ask for: a bitmap is never
+    longer than a few times its own set.
+    """
+    forest = Forest(len(sets))
+    step = np.log(100 / percent)
+    ranges: dict[int, list[int]] = {}
+    for k, n in enumerate(sizes):
+        ranges.setdefault(int(np.log(n) / step + 1e-9), []).append(k)
+    for r in sorted(ranges):
+        for other in (r, r + 1):
+            if other not in ranges:
+                continue
+            members = ranges[r] + (ranges[other] if other != r else [])
+            n_bits = 1 << int(4 * max(sizes[k] for k in members)).bit_length()
+            signs = {k: signature(sets[k], n_bits) for k in members}
+            left = build_tree(ranges[r], sets, sizes, signs)
+            dual_join(left, left if other == r else build_tree(ranges[other], sets, sizes, signs), sets, sizes, signs, forest, percent)
+    return forest
+
+
 def described(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(id, n_shingles, class_key, bands) of every row; a row without shingles has nulls."""
+    """(id, n_shingles, class_key) of every row; a row without shingles has no class."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, bands = [], [], []
-            known: dict[bytes, np.ndarray] = {}
+            sizes, keys = [], []
             for t in b.column(1):
                 s = shingles_of(t.as_py() or "", n)
                 sizes.append(len(s))
-                keys.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
-                if keys[-1] is None:
-                    bands.append(None)
-                elif keys[-1] in known:
-                    bands.append(known[keys[-1]])
-                else:
-                    bands.append(band_keys(s).view(np.int64))
-                    known[keys[-1]] = bands[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "class_key", "bands"])
+                keys.append(class_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["id", "n_shingles", "class_key"])
         release()
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        describe, "id long, n_shingles long, class_key binary, bands array<long>"
-    )
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(describe, "id long, n_shingles long, class_key binary")
+
+
+def class_of(s: np.ndarray) -> bytes:
+    return hashlib.sha256(s.tobytes()).digest()[:16]
+
+
+def class_name(key: bytes) -> int:
+    """The first half of a class's key, as a signed number."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Two sets that link share one of the first so many tokens of either, in any one order of all tokens."""
+    return n - -(-percent * n // 100) + 1
+
+
+def in_two(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, two) of (class, token) entries: their order by token and class, where a
+    token begins in it, and whether its entries are of two classes at least."""
+    order = np.lexsort((names, tokens))
+    t, c = tokens[order], names[order]
+    start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))[: len(t)]
+    stop = np.concatenate((start[1:], [len(t)])).astype(np.int64)
+    return order, start, c[start] != c[stop - 1] if len(t) else np.zeros(0, dtype=bool)
+
+
+def _by_class(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The classes, and the list of each one's tokens, entries counted once."""
+    order = np.lexsort((tokens, names))
+    c, t = names[order], tokens[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))[: len(c)]
+    c, t = c[new], t[new]
+    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))[: len(c)]
+    return c[first], pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(c)])), pa.int32()), pa.array(t.view(np.int64)))
+
+
+#: Tokens that one part of the token space holds on average.
+PART_TOKENS = 1 << 21
+
+
+def shared_tokens(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
+    """(class, tokens): of every class the tokens that other classes have, too, in some pieces.
+
+    This is the tree's root: its bitmap, of a bit for each token there is, lies spread over
+    parts by token. A block of texts asks the parts for its tokens. Tokens that the block
+    holds in two classes are known at once, and only two entries of each go to its part, so a
+    very common token does not gather.
+    """
+    parts = max(1, -(-total // PART_TOKENS))
+    kinds = "part int, known boolean, classes array<long>, counts array<int>, tokens array<long>"
+    columns = ["part", "known", "classes", "counts", "tokens"]
+
+    def rows(part: np.ndarray, known: bool, names: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+        """Entries as a row for each part: its classes, how many entries each has, their tokens."""
+        order = np.lexsort((names, part))
+        part, names, tokens = part[order], names[order], tokens[order]
+        new_part = np.concatenate(([True], part[1:] != part[:-1]))[: len(part)]
+        run = np.flatnonzero(new_part | np.concatenate(([True], names[1:] != names[:-1]))[: len(part)])
+        first = np.flatnonzero(new_part)
+        at = np.concatenate((np.searchsorted(run, first), [len(run)])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (names[run], np.diff(np.concatenate((run, [len(part)]))).astype(np.int32))]
+        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(part)])), pa.int32()), pa.array(tokens.view(np.int64))))
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array([known] * len(first), pa.bool_()), *lists], columns)
+
+    def place(x: np.ndarray) -> np.ndarray:
+        return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for part in blocks_of(texts, lambda t: len(t or "")):
+                sets, own = [], []
+                for t in texts[part]:
+                    s = shingles_of(t or "", n)
+                    if len(s) and (key := class_of(s)) not in seen:
+                        seen.add(key)
+                        sets.append(s)
+                        own.append(class_name(key))
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if not sets:
+                    continue
+                names, tokens = np.repeat(np.array(own, dtype=np.int64), [len(s) for s in sets]), np.concatenate(sets)
+                order, start, two = in_two(names, tokens)
+                stop = np.concatenate((start[1:], [len(order)]))
+                known = np.repeat(two, stop - start)
+                asked = np.concatenate((order[~known], order[start[two]], order[stop[two] - 1]))
+                yield rows(place(tokens[asked]), False, names[asked], tokens[asked])
+                if known.any():
+                    told = order[known]
+                    yield rows(place(mix(names[told].view(np.uint64))), True, names[told], tokens[told])
+        release()
+
+    def answer(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        known = np.asarray(t.column("known"))
+        lists = [t.column(c).combine_chunks() for c in ("classes", "counts", "tokens")]
+        names = np.repeat(np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten()))
+        tokens = np.asarray(lists[2].flatten()).view(np.uint64)
+        known = np.repeat(known, np.diff(np.asarray(lists[2].offsets)))
+        use = np.flatnonzero(~known)
+        order, start, two = in_two(names[use], tokens[use])
+        found = use[order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]]
+        at = np.concatenate((found, np.flatnonzero(known)))
+        classes, own = _by_class(names[at], tokens[at])
+        return pa.table({"class": pa.array(classes), "tokens": own})
+
+    asked = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(ask, kinds)
+    return asked.groupBy("part").applyInArrow(answer, "class long, tokens array<long>")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -188,23 +294,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     A null text or one without words has no shingles and links with nothing: its component
     is its own id. A text of fewer than n words is one shingle. Equal sets link. A row with a
-    null id takes part and its component is the smallest id there is in it, or null. An empty
-    table gives an empty result; other columns are ignored.
+    null id takes part and its component is the smallest id there is in it, or null. A very
+    long text is one set, as long as its text. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
     rows = materialise(described(docs, key, text, n), "shingles")
     # A class is known by its smallest id; if it has none, by a negative number of its key.
     classes = rows.filter("class_key is not null").groupBy("class_key").agg(
         F.min("id").alias("owner"), F.max("n_shingles").alias("n"), F.coalesce(F.min("id"), -F.abs(F.xxhash64("class_key")) - 1).alias("node")
     )
-    classes = materialise(classes, "classes")
-    banded = rows.filter("class_key is not null").join(classes.select("node", F.col("class_key").alias("k2"), "owner"), (F.col("class_key") == F.col("k2")) & F.col("id").eqNullSafe(F.col("owner")))
-    exploded = banded.select("node", F.explode("bands").alias("band"))
-    hubs = exploded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("band", "hub")
-    stars = exploded.join(hubs, "band").filter("node > hub").select("node", "hub").distinct()
+    name = F.conv(F.hex(F.substring("class_key", 1, 8)), 16, -10).cast("long")
+    classes = materialise(classes.withColumn("name", name), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes that the root does not rule out, their shared tokens and the routes to take.
+
+        Tokens that no other class has come first in the order of tokens, so a class whose
+        whole prefix is such tokens links with nothing.
+        """
+        for b in batches:
+            out = []
+            for node, size, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = np.unique(np.concatenate([np.asarray(x.values) for x in lists]).view(np.uint64))
+                routes = prefix_length(size, percent) - (size - len(s))
+                if routes > 0:
+                    out.append((node, size, s.tobytes(), s[:routes].view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["node", "n", "tokens", "routes"])
+
+    found = shared_tokens(docs, text, n, total).groupBy("class").agg(F.collect_list("tokens").alias("lists"))
+    met = classes.select("node", "n", "name").join(found, F.col("name") == F.col("class")).select("node", "n", "lists")
+    left = materialise(met.mapInArrow(routed, "node long, n long, tokens binary, routes array<long>"), "routed")
+    # Classes on one route may link; only those that routes connect meet.
+    exploded = left.select("node", F.explode("routes").alias("route"))
+    hubs = exploded.groupBy("route").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("route", "hub")
+    stars = exploded.join(hubs, "route").filter("node > hub").select("node", "hub").distinct()
     clusters = materialise(connected_components(stars, "node", "hub").withColumnRenamed("component", "cluster"), "clusters")
     # Blocks: a size band (neighbouring bands can link, others cannot) and a salt.
     step = float(np.log(100 / percent))
-    sized = clusters.join(classes.select("node", "n", "owner", "class_key"), "node").withColumn("band", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("int"))
+    sized = clusters.join(left.select("node", "n"), "node").withColumn("band", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("int"))
     salts = sized.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)).cast("int").alias("salts"))
     above = salts.select("cluster", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
     below = salts.select("cluster", (F.col("band") + 1).alias("band"), F.col("salts").alias("below"))
@@ -220,39 +349,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     totals = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     one = F.expr("array(struct(0 as lo, 0 as i, 0 as hi, 0 as j))")
     laid = laid.join(totals, "cluster").withColumn("salt", salt).withColumn("pairs", F.when(F.col("members") <= BLOCK_CLASSES, one).otherwise(pairs))
-    jobs = materialise(laid.select("node", "owner", "class_key", "cluster", "pairs"), "blocks")
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles_of(t.as_py() or "", n).tobytes() for t in b.column(0)]
-            good = [k for k, s in enumerate(sets) if hashlib.sha256(s).digest()[:16] == b.column(1)[k].as_py()]
-            take = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(take), b.column(3).take(take), b.column(4).take(take), pa.array([sets[k] for k in good], pa.binary())], ["node", "cluster", "pairs", "tokens"])
-        release()
-
-    content = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("content"))
-    own = content.join(jobs.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("owner"))).select("content", "class_key", "node", "cluster", "pairs")
-    kind = "array<struct<lo:int,i:int,hi:int,j:int>>"
-    sets = own.mapInArrow(with_sets, f"node long, cluster long, pairs {kind}, tokens binary").select("node", "cluster", "tokens", F.explode("pairs").alias("p"))
+    dealt = laid.select("node", "cluster", F.explode("pairs").alias("p")).join(left.select("node", "n", "tokens"), "node")
 
     def join_blocks(t: pa.Table) -> pa.Table:
-        by_node = dict(zip(t.column("node").to_pylist(), t.column("tokens").to_pylist(), strict=True))  # a repeated row counts once
-        nodes = sorted(by_node)
-        tokens = [np.frombuffer(by_node[k], dtype=np.uint64) for k in nodes]
-        n_bits = 1 << int(4 * max(map(len, tokens))).bit_length()
-        signs = [signature(s, n_bits) for s in tokens]
-        forest, tree = Forest(len(nodes)), build_tree(list(range(len(nodes))), tokens, signs)
-        dual_join(tree, tree, tokens, signs, forest, percent)
-        roots = [forest.root(k) for k in range(len(nodes))]
-        out = [(nodes[k], nodes[r]) for k, r in enumerate(roots) if r != k]
+        nodes, sizes = t.column("node").to_pylist(), t.column("n").to_pylist()
+        forest = tree_join([np.frombuffer(x, dtype=np.uint64) for x in t.column("tokens").to_pylist()], sizes, percent)
+        out = [(nodes[k], nodes[r]) for k in range(len(nodes)) if (r := forest.root(k)) != k]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    links = sets.groupBy("cluster", "p").applyInArrow(join_blocks, "a long, b long")
+    links = dealt.groupBy("cluster", "p").applyInArrow(join_blocks, "a long, b long")
     components = connected_components(links)
     told = classes.join(components, "node", "left").select("class_key", F.coalesce("component", "node").alias("component"), "owner")
     named = told.groupBy("component").agg(F.min("owner").alias("least"))
     told = told.join(named, "component").select(F.col("class_key").alias("k2"), "least")
-    out = rows.select("id", "n_shingles", "class_key").join(told, F.col("class_key") == F.col("k2"), "left")
+    out = rows.join(told, F.col("class_key") == F.col("k2"), "left")
     return out.select("id", "n_shingles", F.when(F.col("class_key").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
@@ -264,10 +374,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_by_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is their component's smallest, with their columns.
 
-    Rows without shingles, and rows of a component without any id, all stay.
+    Rows without shingles, and rows of a component without any id, all stay; an empty table
+    stays empty; columns may have any names.
     """
-    names = docs.columns
-    gone = jaccard_components(docs, key, text, n, percent).filter("not (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
+    gone = jaccard_components(docs, key, text, n, percent).filter("not (id <=> component_id)").select("id").distinct()
     # Not the kept ones but the dropped ones are looked up: they are few, and no text is shuffled twice.
-    own = docs.withColumn("__key", F.col(key).cast("long"))
-    return own.join(gone.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")), "left_anti").select(*names)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("own"))
+    return own.join(gone.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("id")), "left_anti").select("row.*")
