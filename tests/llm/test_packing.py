@@ -60,7 +60,7 @@ def test_pack(docs, no_docs):
 
 
 def test_several_groups_number_their_sequences_apart(docs):
-    got = pack(docs, PATH, group_docs=4).collect()
+    got = pack(docs, PATH, group_pieces=4).collect()
     fill = {}
     for r in got:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
@@ -81,8 +81,49 @@ def test_sum_of_squares_places_everything(lengths):
 
 def test_packed_ids_come_out(docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
-    for r in pack(docs, PATH, group_docs=4).collect():
+    for r in pack(docs, PATH, group_pieces=4).collect():
         ids = np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist()
         assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
         if r["id"] is not None:
             assert ids == [*plain(texts[r["id"]]), END][r["start"] : r["start"] + r["length"]]
+
+
+def plain_sum_of_squares(lengths, capacity):
+    """Each length to the place after which the squares sum to the least, by trying them all."""
+    count, gaps, out = [0] * (capacity + 1), [], []
+    for s in lengths:
+        best = None
+        for gap in [*range(s, capacity), None]:  # an open gap, smallest first, or a new bin
+            if gap is not None and not count[gap]:
+                continue
+            after = list(count)
+            left = (capacity if gap is None else gap) - s
+            if gap is not None:
+                after[gap] -= 1
+            if left:
+                after[left] += 1
+            total = sum(x * x for x in after)
+            if best is None or total < best[0]:
+                best = (total, gap, after)
+        count = best[2]
+        if best[1] is None:
+            gaps.append(capacity - s)
+            out.append((capacity, capacity - s))
+        else:
+            out.append((best[1], best[1] - s))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=60))
+def test_each_piece_goes_where_the_squares_sum_to_the_least(lengths):
+    where, offset = sum_of_squares(np.array(lengths), 16)
+    assert [(16 - o, 16 - o - n) for o, n in zip(offset.tolist(), lengths, strict=True)] == plain_sum_of_squares(lengths, 16)
+
+
+def test_full_pieces_are_sequences_of_their_own(spark):
+    df = spark.createDataFrame([(1, "word " * 9000), (2, "word " * 4095), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    got = pack(df, PATH, group_pieces=2).collect()
+    full = [r["sequence_id"] for r in got if r["length"] == 4096]
+    assert len(full) == 3 and len(set(full)) == 3 and not set(full) & {r["sequence_id"] for r in got if r["length"] < 4096}
+    check([(1, "word " * 9000), (2, "word " * 4095)], got, 4096)

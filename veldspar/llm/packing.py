@@ -2,8 +2,9 @@
 
 Each document is tokenized and cut into pieces of at most `capacity` ids. A piece goes to
 the place (an open bin of some gap, or a new bin) after which the squared counts of open
-bins per gap sum to the least; equal places prefer the smallest gap. Pieces are packed in
-groups of a bounded expected number, longest first; a group leaves a few bins partly empty.
+bins per gap sum to the least; equal places prefer the smallest gap. Full pieces are sequences
+of their own. The others are packed in groups of a bounded expected number, longest first; a
+group leaves a few bins partly empty.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import materialise, release
 
 CAPACITY = 4096
 END = 1
-#: Documents that one packing group holds on average.
-GROUP_DOCS = 1 << 17
+#: Pieces, full ones apart, that one packing group holds on average.
+GROUP_PIECES = 1 << 17
 
 #: Characters for which the fast path is exact: printable ASCII, tab and newlines, Latin
 #: letters whose lower case is one letter, and common typographic marks.
@@ -131,7 +132,7 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         coder = None
         release()
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
         cut, "id long, piece int, start long, length long, ids_crc32 long, ids binary"
     )
 
@@ -170,7 +171,7 @@ def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarra
     return where, offset
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, ids.
 
     ids: the piece's token ids, 4 bytes each, least first; a sequence is its pieces' ids by
@@ -178,22 +179,25 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
 
     A null text counts as empty and still has its end id; repeated rows are packed each for
     itself; a null identifier stays null. Pieces of very long texts may meet in different
-    sequences. An empty table gives an empty result; other columns are ignored. Groups are
-    dealt by a hash of the piece's values, so a source or length that holds many rows spreads.
+    sequences; their full pieces move nowhere. An empty table gives an empty result; other
+    columns, whatever their names, are ignored. Groups are dealt by a hash of the piece's
+    values and row, so a source, length or text that holds many rows spreads.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    columns = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
     parts = materialise(pieces_of(docs, path, key, text, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    # Full pieces need no packing: each is a sequence of its own, numbered by the group step too.
-    dealt = parts.drop("ids").withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    full = parts.filter(F.col("length") == capacity).withColumn("sequence_id", -F.col("row") - 1).withColumn("offset", F.lit(0).cast("long"))
+    rest = parts.filter(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_pieces))
+    dealt = rest.drop("ids").withColumn("g", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "row"), F.lit(groups)))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
         where, offset = pack_group(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"], pdf["offset"] = where * groups + pdf["g"], offset
         return pdf[["row", "sequence_id", "offset"]]
 
     placed = dealt.groupBy("g").applyInPandas(fill, "row long, sequence_id long, offset long")
-    return parts.join(placed, "row").select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
+    return full.select(*columns).unionByName(rest.join(placed, "row").select(*columns))
 
 
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
