@@ -122,3 +122,30 @@ def test_few_very_long_documents_come_nearest_the_budget():
         take = knapsack(budget, lengths, spare)
         assert all(0 <= n <= m for n, m in zip(take, spare, strict=True))
         assert sum(z * n for z, n in zip(lengths, take, strict=True)) == best_sum(budget, lengths, spare)
+
+
+def test_large_sources_are_mended(monkeypatch):
+    """More sums than may be held: the plan is still as good as it gets."""
+    from veldspar.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_SUMS", 500)
+    monkeypatch.setattr(mixing, "DP_WORDS", 8)
+    rng = random.Random(5)
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(5, 90), 6))
+        spare = [rng.randint(1, 9) for _ in lengths]
+        total = sum(z * n for z, n in zip(lengths, spare, strict=True))
+        budget = rng.randint(total // 3, total - 1)
+        take = knapsack(budget, lengths, spare)
+        got = sum(z * n for z, n in zip(lengths, take, strict=True))
+        assert all(0 <= n <= m for n, m in zip(take, spare, strict=True)) and got <= budget
+        assert budget - got <= budget - best_sum(budget, lengths, spare) + 2
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, "w " * k, "s", f"k{k}", 1.5, "x") for k in range(1, 12)]
+    df = spark.createDataFrame([*rows, (None, None, None, None, None, None)], "doc_id long, text string, source string, __key string, `a.b` double, passes string")
+    for out in (mixed_documents(df), distinct_documents(df)):
+        assert out.schema == df.schema
+        assert set(map(tuple, out.collect())) <= {*rows, (None,) * 6}
+    assert sum(len((r["text"] or "").split()) for r in mixed_documents(df).collect()) == mix(df).agg(F.sum("taken")).first()[0]

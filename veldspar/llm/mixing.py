@@ -4,7 +4,8 @@ Documents are counted by source, exact length and a slot of their seeded hash. E
 source's budget is split into whole passes over the source and a remainder. The remainder
 takes the same share of every length first; what is left, smaller than the number of
 lengths times their size, is met by a bounded-knapsack dynamic programme over the lengths'
-spare counts, whatever their size. The counts are turned back into documents by their seeded hash order, slot
+spare counts, whatever their size: over all reachable sums where there are few enough, else
+over those around the quick plan. The counts are turned back into documents by their seeded hash order, slot
 by slot, so only the one slot a count ends in is ranked.
 """
 
@@ -28,11 +29,17 @@ SLOTS = 256
 DP_WORDS = 1 << 16
 
 
+#: Reachable sums that a plan may hold: 48 MiB of them.
+MAX_SUMS = 1 << 22
+
+
 def knapsack(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
     """How many of each length (at most spare) come nearest below or at budget; lengths are positive.
 
-    The quick plan stands if it meets the budget up to the lengths' common divisor, else the
-    whole budget is planned by reachable sums.
+    The quick plan stands if it meets the budget up to the lengths' common divisor. Else, if no
+    more than MAX_SUMS sums can be reached, all are and the best is taken: that is exact. A
+    larger source's quick plan is mended: some of what it takes goes back, and that much is
+    planned by sums again.
     """
     if sum(z * n for z, n in zip(lengths, spare, strict=True)) <= budget:
         return list(spare)
@@ -41,7 +48,32 @@ def knapsack(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
     take = _quick(goal, small, spare)
     if sum(z * n for z, n in zip(small, take, strict=True)) == goal:
         return take
-    return _by_sums(goal, small, spare)
+    choices = 1
+    for n in spare:
+        choices = min(choices * (n + 1), MAX_SUMS + 1)
+    return _by_sums(goal, small, spare) if min(goal, choices) <= MAX_SUMS else _mended(goal, small, spare, take)
+
+
+def _mended(budget: int, lengths: list[int], spare: list[int], take: list[int]) -> list[int]:
+    """A better plan near `take`: the copies that go back grow in number while the sums they
+    can make stay within MAX_SUMS and the budget isn't met."""
+    best, k = list(take), 1
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    while True:
+        freed, room = [0] * len(lengths), budget - sum(z * n for z, n in zip(lengths, best, strict=True))
+        if room == 0:
+            return best
+        for i in order:
+            n = min(best[i], k)
+            if n and room + n * lengths[i] <= MAX_SUMS * max(1, min(lengths)):
+                freed[i], room = n, room + n * lengths[i]
+        open_ = [min(spare[i] - best[i] + freed[i], freed[i] + k) for i in range(len(lengths))]
+        plan = _by_sums(room, lengths, open_)
+        after = [best[i] - freed[i] + plan[i] for i in range(len(lengths))]
+        if k > 64 or not any(freed):
+            return max(best, after, key=lambda x: sum(z * n for z, n in zip(lengths, x, strict=True)))
+        best = max(best, after, key=lambda x: sum(z * n for z, n in zip(lengths, x, strict=True)))
+        k *= 4
 
 
 def _by_sums(budget: int, lengths: list[int], spare: list[int]) -> list[int]:
@@ -154,11 +186,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     size: words `[^\\x20\\x09-\\x0D]+` (null text: 0). taken: words the mix takes of the row,
     repeats counted, at most MAX_REPEATS times its size. Null sources form one source, placed
     last. Rows of equal hash (repeated rows) are told apart arbitrarily but in number exactly.
-    An empty table gives an empty result; other columns are ignored.
+    A very long text is one number here, however long. An empty table gives an empty result;
+    other columns, whatever their names, are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    mark = F.xxhash64(F.lit(seed), F.col(key).cast("long"), F.col(source))
-    rows = materialise(docs.select(F.col(key).cast("long").alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), mark.alias("mark")), "sizes")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    mark = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("long"), F.col(f"`{source}`"))
+    rows = materialise(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), mark.alias("mark")), "sizes")
     rows = rows.withColumn("slot", F.pmod(F.shiftright("mark", 40), F.lit(SLOTS)).cast("int"))
     counts = rows.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n"))
     goal = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
@@ -204,20 +237,18 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """The rows of docs with their columns, each as often as the mix takes it (0 to MAX_REPEATS).
 
     Rows that share identifier, source and size are alike to the mix: what it takes of them
-    together is dealt out among them as evenly as it goes.
+    together is dealt out among them as evenly as it goes. Nulls as in mix(); an empty table
+    stays empty; columns may have any names.
     """
-    names = docs.columns
-    alike = ("__key", "__source", "__size")
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    plan = mix(docs, key, text, source, seed).select(F.col("id").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), "passes")
-    plan = plan.groupBy(*alike).agg(F.sum("passes").alias("__all"), F.count(F.lit(1)).alias("__rows")).filter("__all > 0")
-    plan = plan.select(*[F.col(c).alias(f"{c}2") for c in alike], "__all", "__rows")
-    own = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__source", F.col(source).cast("string")).withColumn("__size", size)
-    same = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in alike]
-    taken = own.join(plan.hint("shuffle_hash"), same[0] & same[1] & same[2])
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    alike = ("k2", "s2", "z2")
+    plan = mix(docs, key, text, source, seed).select(F.col("id").alias("k2"), F.col("source").alias("s2"), F.col("size").alias("z2"), "passes")
+    plan = plan.groupBy(*alike).agg(F.sum("passes").alias("all"), F.count(F.lit(1)).alias("rows")).filter("all > 0")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{source}`").cast("string").alias("s"), size.alias("z"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    taken = own.join(plan.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("k2")) & F.col("s").eqNullSafe(F.col("s2")) & F.col("z").eqNullSafe(F.col("z2")))
     # Nearly always one row: only repeated identifiers are numbered.
-    one = taken.filter("__rows = 1").withColumn("__n", F.lit(1))
-    more = taken.filter("__rows > 1").withColumn("__n", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64(text))))
-    passes = F.expr("cast(__all div __rows + if(__n <= __all % __rows, 1, 0) as int)")
-    both = one.unionByName(more).withColumn("__passes", passes).filter("__passes > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__passes"))).select(*names)
+    one = taken.filter("rows = 1").withColumn("n", F.lit(1))
+    more = taken.filter("rows > 1").withColumn("n", F.row_number().over(Window.partitionBy("k", "s", "z").orderBy("h")))
+    both = one.unionByName(more).withColumn("times", F.expr("cast(all div rows + if(n <= all % rows, 1, 0) as int)")).filter("times > 0")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
