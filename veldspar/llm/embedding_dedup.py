@@ -29,7 +29,9 @@ WINDOW = 32
 #: Chance to find a pair right at the threshold over all passes.
 TARGET = 0.99
 BITS = 62
-BLOCK = 256
+#: Vectors of a block; a member of a component of m vectors is copied m / BLOCK times, and two
+#: blocks' cosines take 32 MiB.
+BLOCK = 2048
 #: Crowded vectors are compared in full once there are no more than this, and in blocks of it.
 CROWD = 4096
 #: The largest window of the passes over crowded vectors.
