@@ -59,3 +59,10 @@ def test_template_spans_come_out(spark):
     n = len(notice.split())
     assert [(s["first_word"], s["last_word"]) for s in r["spans"] if s["label"] == "gpl-notice"] == [(2, n + 1), (n + 62, 2 * n + 61)]
     assert {s["label"] for s in r["spans"]} <= set(r["labels"].split(","))
+
+
+def test_short_templates_must_be_whole():
+    from veldspar.llm.license_scan import Scanner
+
+    labels = [r[5] for r in Scanner().scan(["The book was released under the MIT Press imprint", "It is released under the MIT License.", "Licensed under the Apache License, Version 2.1"])]
+    assert labels == ["", "mit,mit-notice", "apache"]

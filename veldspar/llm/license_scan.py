@@ -43,8 +43,9 @@ TEMPLATES = {
     "all-rights-reserved": "all rights reserved no part of this publication may be reproduced",
 }
 
-#: A chain is a licence from this covered share of its template on.
-COVERED = 0.8
+#: A chain is a licence from this covered share of its template on; of a template of fewer than
+#: SHORT words, all must be covered.
+COVERED, SHORT = 0.8, 10
 #: Matches shorter than this don't join chains.
 MIN_MATCH = 2
 #: Template and document may drift apart by so many tokens between chained matches.
@@ -126,6 +127,11 @@ class SuffixAutomaton:
             yield state, length
 
 
+def needed(n: int) -> float:
+    """The covered share that a template of n words asks for."""
+    return 1.0 if n < SHORT else COVERED
+
+
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES):
         self.names = [*base, *templates]
@@ -215,9 +221,9 @@ class Scanner:
             best: dict[int, float] = {}
             for k, _, _, share in chains:
                 best[k] = max(best.get(k, 0.0), share)
-            spans = sorted(({"label": self.names[k], "first_word": x, "last_word": y, "covered": v} for k, x, y, v in chains if v >= COVERED), key=lambda x: (x["first_word"], x["last_word"], x["label"]))
+            spans = sorted(({"label": self.names[k], "first_word": x, "last_word": y, "covered": v} for k, x, y, v in chains if v >= needed(len(self.seqs[k]))), key=lambda x: (x["first_word"], x["last_word"], x["label"]))
             base = sorted({self.names[p] for p, _ in places})
-            labels = sorted({*base, *(self.names[k] for k, v in best.items() if v >= COVERED)})
+            labels = sorted({*base, *(self.names[k] for k, v in best.items() if v >= needed(len(self.seqs[k])))})
             score = 1.0 if base else min(1.0, max(best.values(), default=0.0))
             where = [w for _, w in places]
             out.append((int(stops[d] - starts[d]), len(where), min(where, default=None), max(where, default=None), ",".join(base), ",".join(labels), score, spans))
