@@ -107,11 +107,12 @@ def repetitive(seed, n):
 
 
 def test_repetitive_texts_in_small_blocks(spark, monkeypatch):
-    from veldspar.llm import anchors, byte_spans
+    from veldspar.llm import anchors, byte_spans, word_spans
 
     monkeypatch.setattr(anchors, "BLOCK", 400)
     monkeypatch.setattr(byte_spans, "PART_BYTES", 1000)
     monkeypatch.setattr(byte_spans, "BUCKET_ANCHORS", 20)
+    monkeypatch.setattr(word_spans, "PART_NODES", 50)
     rows = repetitive(1, 160)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["id"]: r for r in dedup_word_spans(df, window=8).collect()}
@@ -146,3 +147,67 @@ def test_sliding_argmin_of_more_values_than_positions_fit(monkeypatch):
     h = np.random.default_rng(2).integers(0, 40, 500).astype(np.uint64) << np.uint64(40)
     for w in (1, 3, 20, 31):
         assert sliding_argmin(h, w).tolist() == [int(np.argmin(h[k : k + w])) + k for k in range(len(h) - w + 1)]
+
+
+def test_ranks_order_windows_as_their_text():
+    import random
+
+    from veldspar.llm.byte_spans import window_ranks
+
+    rng = random.Random(3)
+    for window in (8, 20, 64, 100):
+        data = bytes(rng.choice(b"ab\xff") for _ in range(300)) * 2
+        digits = window_ranks(data, window)
+        keys = list(zip(*(d.tolist() for d in digits), strict=True))
+        texts = [data[k : k + window] for k in range(len(data) - window + 1)]
+        assert len(keys) == len(texts)
+        for a in range(0, len(texts), 7):
+            for b in range(0, len(texts), 5):
+                assert (keys[a] < keys[b], keys[a] == keys[b]) == (texts[a] < texts[b], texts[a] == texts[b])
+
+
+def test_repeated_spans_stand_at_their_sources(spark):
+    from veldspar.llm.word_spans import repeated_spans
+
+    rows = repetitive(4, 60)
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in rows}
+    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), window=8).collect()
+    assert got
+    for r in got:
+        own, n = words[r["id"]], r["beyond"] - r["first"]
+        assert n >= 8 and words[r["source_id"]][r["source_first"] : r["source_first"] + n] == own[r["first"] : r["beyond"]]
+        assert (r["source_id"], r["source_first"]) < (r["id"], r["first"])
+    # One long passage taken whole is one path, whatever anchors it has.
+    a, b = " ".join(f"x{k}" for k in range(400)), " ".join(f"y{k}" for k in range(50))
+    one = repeated_spans(spark.createDataFrame([(1, a), (2, f"{b} {a} {b}z")], "doc_id long, text string"), window=8).collect()
+    assert [(r["id"], r["first"], r["beyond"], r["source_id"], r["source_first"]) for r in one if r["beyond"] - r["first"] > 100] == [(2, 50, 450, 1, 0)]
+
+
+def test_hot_copies(spark, monkeypatch):
+    """A text in most rows, short and long, with ids repeated and null."""
+    from veldspar.llm import anchors
+
+    monkeypatch.setattr(anchors, "LEAST", 5)
+    monkeypatch.setattr(anchors, "SHARE", 4)
+    long = " ".join(f"w{k}" for k in range(300))
+    rows = [(k, long) for k in range(40)] + [(k, "short text") for k in range(50, 90)] + [(3, long), (None, long), (None, "short text"), (100, long + " more"), (101, "own"), (50, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_word_spans(df).collect())
+    assert got == sorted(brute_words(rows, 20))
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in dedup_byte_spans(df).collect())
+    assert got == sorted(brute_bytes(rows, 400))
+
+
+def test_a_very_long_text(spark):
+    """One text of a million words with passages of others, read in blocks."""
+    import random
+
+    rng = random.Random(9)
+    parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(3)]
+    filler = lambda n, k: " ".join(f"f{k}x{j}" for j in range(n))
+    rows = [(1, parts[0]), (2, parts[1]), (5, f"{filler(400_000, 1)} {parts[0]} {filler(300_000, 2)} {parts[1]} {filler(300_000, 3)} {parts[2]}"), (7, parts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r for r in dedup_word_spans(df).collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: 0, 5: 240, 7: 120}
+    got = {r["id"]: r for r in dedup_byte_spans(df).collect()}
+    assert [got[i]["n_removed"] >= len(t) for i, t in ((1, parts[0]), (2, parts[1]), (7, parts[2]))] == [True] * 3 and sum(map(len, parts)) <= got[5]["n_removed"] <= sum(map(len, parts)) + 12

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Bucketed, materialise, shuffle_partitions
+
 #: Characters of one vectorised block, unless one text is longer; a block's arrays take about
 #: a hundred bytes for each.
 BLOCK = 1 << 21
@@ -85,12 +87,83 @@ def row_key(content: Column) -> tuple[Column, Column]:
     return F.conv(F.substring(hexed, 1, 16), 16, -10).cast("long"), F.conv(F.substring(hexed, 17, 8), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, content, r1, r2) of every row; a null text is empty."""
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("id"), content.alias("content"))
-    r1, r2 = row_key(F.col("content"))
-    return rows.select("id", "content", r1.alias("r1"), r2.alias("r2"))
+#: Texts of more than 1 / SHARE of all rows (and more than LEAST) are hot; there are SHARE at most.
+SHARE, LEAST = 2048, 1000
+
+
+class Texts:
+    """A table's rows (id, r1, r2), and each distinct text once, in buckets by its identity.
+
+    Texts move once, copies combined before; what is found out about them comes to them.
+    owners: (r1, r2, owner, m, copies), the smallest id of a text (null if there is none), how
+    many rows have it, and how many rows the text has. A null text is empty.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        spark = docs.sparkSession
+        rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("content"))
+        r1, r2 = row_key(F.col("content"))
+        keyed = rows.select("id", "content", r1.alias("r1"), r2.alias("r2"))
+        self.rows = materialise(keyed.select("id", "r1", "r2"), "rows")
+        self.buckets = shuffle_partitions(spark)
+        self.contents = Bucketed(keyed.groupBy("r1", "r2").agg(F.first("content").alias("content")), self.buckets, "r1", "r2")
+        alike = self.rows.groupBy("r1", "r2", "id").agg(F.count(F.lit(1)).alias("m"))
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "m")).alias("least")
+        owners = alike.groupBy("r1", "r2").agg(least, F.sum("m").alias("copies"))
+        self.owners = materialise(owners.select("r1", "r2", F.col("least.id").alias("owner"), F.col("least.m").alias("m"), "copies"), "owners")
+
+    def table(self) -> DataFrame:
+        """(r1, r2, content)"""
+        return self.contents.table()
+
+    def met(self, *others: DataFrame) -> DataFrame:
+        """The texts joined with tables that have r1 and r2: inner the first, left the others."""
+        out = self.table()
+        for k, other in enumerate(others):
+            out = out.join(other.hint("shuffle_hash"), ["r1", "r2"], "left" if k else "inner")
+        return out
+
+    def told(self, info: DataFrame) -> DataFrame:
+        """All rows of the texts of info (r1, r2, copies, ..), a hot text's where they are: hot
+        texts are few, and what info tells of them must be short."""
+        limit = max(LEAST, self.rows.count() // SHARE)
+        names = [c for c in info.columns if c not in ("r1", "r2")]
+        hot = info.filter(F.col("copies") > limit)
+        hot = hot.select("r1", "r2", F.struct(*names).alias("hot"))
+        tried = self.rows.join(F.broadcast(hot), ["r1", "r2"], "left")
+        rest = tried.filter("hot is null").select("id", "r1", "r2").join(info.filter(F.col("copies") <= limit), ["r1", "r2"])
+        return tried.filter("hot is not null").select("id", "r1", "r2", "hot.*").unionByName(rest)
+
+
+def by_gram(handle: Callable[[pa.Table], pa.Table], limit: int, size: Callable[[pa.RecordBatch], int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Feeds rows that come in the order of their `gram` to handle, whole grams at a time, about
+    `limit` of size together (more only where one gram has more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        have, due = 0, limit
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            have += size(b)
+            if have < due:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            g = t.column("gram").to_numpy()
+            other = np.flatnonzero(g != g[-1])
+            if not len(other):
+                due = 2 * have
+                continue
+            cut = int(other[-1]) + 1
+            yield from handle(t.slice(0, cut)).to_batches()
+            held = t.slice(cut).to_batches()
+            have, due = sum(map(size, held)), limit
+            due = max(due, 2 * have)
+        if held:
+            yield from handle(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
 
 
 def blocks_of(texts: list, weight: Callable[[object], int]) -> Iterator[slice]:
@@ -128,28 +201,19 @@ def asked(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, kinds
 
 
-def repeated_anchors(rows: DataFrame, grams: Grams, window: int, gram: int) -> DataFrame:
+def repeated_anchors(texts: DataFrame, grams: Grams, window: int, gram: int) -> DataFrame:
     """(gram, lead, r1, loc) of every anchor whose gram stands in two places at least.
 
-    loc: r2 in the upper, the anchor's position in the text in the lower 32 bits. Copies of a
-    text within a task are looked at once. Of a gram that a block of texts holds more than
+    loc: r2 in the upper, the anchor's position in the text in the lower 32 bits. Of a gram that a block of texts holds more than
     once, only two rows go to the gram's partition, the others to partitions of their own
     place: a very common gram does not gather. Equal rows may come more than once.
+    texts: (content, r1, r2), each once.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for b in batches:
-            r1, r2 = b.column(1).to_pylist(), b.column(2).to_pylist()
-            fresh = []
-            for k, r in enumerate(zip(r1, r2, strict=True)):
-                if r not in seen:
-                    seen.add(r)
-                    fresh.append(k)
-            if len(seen) > 1 << 20:
-                seen.clear()
-            texts = [b.column(0)[k].as_py() for k in fresh]
-            own1, own2 = np.array(r1, dtype=np.int64)[fresh], np.array(r2, dtype=np.int64)[fresh]
+            texts = b.column(0).to_pylist()
+            own1, own2 = b.column(1).to_numpy(), b.column(2).to_numpy()
             for part in blocks_of(texts, len):
                 h, lead, starts, lengths = grams(texts[part])
                 text, a, _, _ = runs_of(h, starts, lengths, window, gram)
@@ -187,6 +251,6 @@ def repeated_anchors(rows: DataFrame, grams: Grams, window: int, gram: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols[1:]], names)
 
     kinds = "gram long, lead long, r1 long, loc long"
-    found = rows.select("content", "r1", "r2").mapInArrow(emit, f"to long, kind int, {kinds}")
+    found = texts.select("content", "r1", "r2").mapInArrow(emit, f"to long, kind int, {kinds}")
     dealt = found.repartition("to").sortWithinPartitions(F.col("kind") == KNOWN, "gram", "r1", "loc", "kind")
     return dealt.mapInArrow(repeated, kinds)

@@ -1,11 +1,13 @@
 """Substring dedup of byte windows with a range-partitioned suffix array.
 
 Only suffixes that can start a repeated window enter the array: those whose anchor gram is
-repeated. Sampled splitters on the gram's leading bytes deal fragments of text to buckets,
-so equal windows meet in one bucket and none spans a boundary. A bucket orders its suffixes
-by a multikey sort, digit after digit with ties refined, and equal neighbours are repeats.
-A digit stands for 256, 128 or 16 bytes: names doubled from 8-byte words, as in prefix
-doubling, and kept apart by the anchor gram and the offset from it.
+repeated. Sampled splitters on the gram's leading bytes deal stretches of text with such
+suffixes to buckets, so equal windows meet in one bucket and no run of equal ones spans a
+boundary. A bucket puts its suffixes in the order of their text: stretches of 8 bytes get
+their rank among all, twice as long ones the rank of their two halves, as in prefix doubling,
+and a multikey sort by the ranks that make up a window, longest stretch first, refines ties.
+Ranks are exact, so equal neighbours are equal in every byte. Hashes only find out beforehand
+which stretches can have an equal at all.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import blocks_of, keyed, mix, repeated_anchors, runs_of
-from .common import materialise
+from .anchors import Texts, blocks_of, by_gram, mix, repeated_anchors, runs_of
+from .common import materialise, shuffle_partitions
 from .word_spans import PART_ROWS, REMOVED, REMOVED_DDL, gaps, listed, merged
 
 WINDOW = 400
 GRAM = 32
-#: Repeated anchors that one bucket holds on average.
-BUCKET_ANCHORS = 8_000
-MAX_BUCKETS = 1 << 14
+#: Repeated anchors that one bucket holds on average, where the cluster's shuffle partitions are
+#: too few. A bucket of any size is read in parts of whole grams.
+BUCKET_ANCHORS = 1 << 17
 #: Bytes of fragments whose windows a bucket compares at a time, unless one gram has more.
 PART_BYTES = 1 << 21
 
@@ -88,6 +90,30 @@ def window_digits(data: bytes, window: int) -> list[np.ndarray]:
     return digits
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The place of each key among the distinct keys, in order."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+def window_ranks(data: bytes, window: int) -> list[np.ndarray]:
+    """As window_digits(), but ranks in the order of the text instead of names: exact."""
+    rank, ranks, step = _ranks(words8(data, ">")), {}, 8
+    while True:
+        ranks[step] = rank
+        if 2 * step > window or len(rank) <= step:
+            break
+        rank = _ranks(rank[:-step] * np.int64(len(rank) + 1) + rank[step:])
+        step *= 2
+    digits, at, n = [], 0, max(0, len(data) - window + 1)
+    for size in sorted(ranks, reverse=True):
+        while at + size <= window:
+            digits.append(ranks[size][at : at + n])
+            at += size
+    if at < window:
+        digits.append(ranks[8][window - 8 : window - 8 + n])
+    return digits
+
+
 def multikey_ties(digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(members, group): the items whose digits all equal another item's, ordered by digits.
 
@@ -124,18 +150,16 @@ def repeated_fragments(gram: np.ndarray, off: np.ndarray, cut: list[bytes], r1:
     return state
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_windows(texts: Texts, window: int = WINDOW) -> DataFrame:
     """(r1, r2, spans) of every text with bytes to go; spans: [first, beyond) byte positions.
 
-    rows: (id, content, r1, r2); copies of a text count as one place.
+    Copies of a text count as one place.
     """
-    anchors = materialise(repeated_anchors(rows, _grams, window, GRAM), "anchors")
-    buckets = min(MAX_BUCKETS, max(1, -(-anchors.count() // BUCKET_ANCHORS)))
+    anchors = materialise(repeated_anchors(texts.table(), _grams, window, GRAM), "anchors")
+    buckets = min(100_000, max(shuffle_partitions(anchors.sparkSession), -(-anchors.count() // BUCKET_ANCHORS)))
     cuts = anchors.agg(F.percentile_approx("lead", [k / buckets for k in range(1, buckets)] or [0.5], 20 * buckets)).first()[0] or []
     cuts = np.array(sorted(set(cuts)), dtype=np.int64)
-    owners = rows.groupBy("r1", "r2").agg(F.min("id").alias("owner"))
-    places = listed(anchors).join(owners, ["r1", "r2"])
-    own = rows.join(places.hint("shuffle_hash"), ["r1", "r2"]).filter(F.col("id").eqNullSafe(F.col("owner"))).select("content", "r1", "r2", "places")
+    own = texts.met(listed(anchors)).select("content", "r1", "r2", "places")
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text under the windows of each repeated anchor."""
@@ -171,19 +195,28 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def bucket_rows(t: pa.Table) -> pa.Table:
         told = t.filter(pc.equal(t.column("state"), TOLD))
-        t = t.filter(pc.not_equal(t.column("state"), TOLD))
+        t = t.filter(pc.not_equal(t.column("state"), TOLD)).combine_chunks()
         rest = {c: told.column(c).to_numpy() for c in ("r1", "r2", "start", "off")}
         known = pa.table({"r1": rest["r1"], "r2": rest["r2"], "first": pa.array(rest["start"], pa.int32()), "beyond": pa.array(rest["start"] + rest["off"] - 1 + window, pa.int32())})
-        if not t.num_rows:
-            return known
-        # Whole grams at a time, so that the arrays stay small whatever the bucket holds.
-        t = t.take(pc.sort_indices(t, [("gram", "ascending")])).combine_chunks()
-        size = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy())
-        g = t.column("gram").to_numpy()
-        new = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        part = size[new] // PART_BYTES
-        cuts = [*new[np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))].tolist(), t.num_rows]
-        return pa.concat_tables([known, *(equal_neighbours(t.slice(x, y - x)) for x, y in zip(cuts, cuts[1:], strict=False))])
+        t = t.take(pa.array(can_repeat(t)))
+        return pa.concat_tables([known, equal_neighbours(t.combine_chunks())]) if t.num_rows else known
+
+    def can_repeat(t: pa.Table) -> np.ndarray:
+        """The fragments with a window whose name another window has, or that are known to repeat."""
+        parts = t.column("bytes").to_pylist()
+        n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) - window + 1
+        row = np.repeat(np.arange(len(parts)), n)
+        if not len(row):
+            return row
+        pos = np.arange(len(row)) + row * (window - 1)
+        name = np.zeros(len(row), dtype=np.uint64)
+        for d in window_digits(b"".join(parts), window):
+            name = mix(name * np.uint64(0x9E3779B97F4A7C15) + d[pos])
+        order = np.argsort(name)
+        same = name[order][1:] == name[order][:-1]
+        tied = np.zeros(len(parts), dtype=bool)
+        tied[row[order[1:][same]]] = tied[row[order[:-1][same]]] = True
+        return np.flatnonzero(tied | (t.column("state").to_numpy() == TWICE))
 
     def equal_neighbours(t: pa.Table) -> pa.Table:
         col = {c: t.column(c).to_numpy() for c in ("state", "gram", "r1", "r2", "start", "off")}
@@ -193,9 +226,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         row = np.repeat(np.arange(len(parts)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         pos = begin[row] + inside
-        place = mix(col["gram"][row].view(np.uint64) + (col["off"][row] - inside).astype(np.uint64))
-        digits = [d[pos] for d in window_digits(b"".join(parts), window)]
-        digits[0] = digits[0] ^ place
+        digits = [d[pos] for d in window_ranks(b"".join(parts), window)]
         items, group = multikey_ties(digits)
         start = col["start"][row[items]] + inside[items]
         # The same place twice (a repeated row) is no repeat: count distinct places of a group.
@@ -216,7 +247,9 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         r = row[first]
         return pa.table({"r1": col["r1"][r], "r2": col["r2"][r], "first": pa.array(col["start"][r] + inside[first], pa.int32()), "beyond": pa.array(col["start"][r] + inside[last] + window, pa.int32())})
 
-    found = dealt.groupBy("bucket").applyInArrow(bucket_rows, "r1 long, r2 long, first int, beyond int")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "gram")
+    spans = by_gram(bucket_rows, PART_BYTES, lambda b: pc.sum(pc.binary_length(b.column("bytes"))).as_py() or 0)
+    found = ordered.mapInArrow(spans, "r1 long, r2 long, first int, beyond int")
     return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("first", "beyond"))).alias("spans"))
 
 
@@ -226,28 +259,36 @@ def dedup_byte_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     kept: the bytes that stay; removed: the (first, beyond) byte stretches that went.
     A byte goes if a window over it also starts anywhere else. A null text is empty. Texts
     shorter than the window lose nothing; a text with a copy (a repeated row counts as one)
-    goes whole, if long enough. An empty table gives an empty result; a null id stays null;
-    other columns are ignored.
+    goes whole, if long enough. Very long texts are read whole, in blocks. An empty table
+    gives an empty result; a null id stays null; other columns, whatever their names, are
+    ignored.
     """
-    rows = keyed(docs, key, text)
-    copies = rows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("copies"))
-    spans = repeated_windows(rows, window).join(copies, ["r1", "r2"], "right")
-    told = rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("id", "content", "spans", (F.col("copies") > 1).alias("copy"))
+    texts = Texts(docs, key, text)
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+    alone = texts.met(texts.owners.filter("copies = 1"), repeated_windows(texts, window)).select(F.col("owner").alias("id"), "content", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), REMOVED]
         for b in (x.slice(k, PART_ROWS) for x in batches for k in range(0, x.num_rows, PART_ROWS)):
             out = []
-            for t, spans, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+            for t, spans in zip(b.column(1), b.column(2), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
-                runs = merged(spans.as_py(), copy and len(data) >= window, len(data))
+                runs = merged(spans.as_py(), False, len(data))
                 kept = b"".join(data[x:y] for x, y in gaps(runs, len(data)))
                 out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
 
-    return told.mapInArrow(cut, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, {REMOVED_DDL}")
+    single = alone.mapInArrow(cut, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, {REMOVED_DDL}")
+    # A text with a copy goes whole or, if shorter than the window, stays whole.
+    n, gone = F.octet_length("content").cast("long"), F.octet_length("content") >= window
+    kept = F.when(gone, F.lit(b"")).otherwise(F.col("content").cast("binary"))
+    whole = F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("first"), n.alias("beyond")))).otherwise(F.array().cast("array<struct<first: long, beyond: long>>"))
+    info = texts.met(texts.owners.filter("copies > 1")).select(
+        "r1", "r2", "copies", n.alias("n_bytes"), F.when(gone, n).otherwise(F.lit(0)).cast("long").alias("n_removed"), gone.cast("long").alias("n_spans"), kept.alias("kept"), whole.alias("removed")
+    )
+    several = texts.told(materialise(info.withColumn("kept_sha256", F.sha2("kept", 256)), "copies"))
+    return single.unionByName(several.select(*names))
 
 
 def op2_dedup_byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,35 @@ def clean(spark: SparkSession) -> None:
     """Delete the tables that this application's operators left in the shared folder, and no
     other's; results must be stored by then."""
     delete(spark, session_folder(spark))
+
+
+class Bucketed:
+    """A table in the shared folder, dealt to buckets by a hash of its keys: joins on the keys
+    read it without a shuffle, and where it is sorted, merge it without a sort.
+
+    rows should come dealt by these keys to as many partitions, as a groupBy() on them does
+    where `buckets` is the number of shuffle partitions; else a bucket has several files.
+    """
+
+    def __init__(self, rows: DataFrame, buckets: int, *keys: str, ordered: bool = False):
+        self.spark, self.schema, self.buckets = rows.sparkSession, rows.schema, buckets
+        self.name = f"veldspar_{uuid.uuid4().hex}"
+        self.path = f"{session_folder(self.spark)}/{self.name}"
+        out = rows.write.bucketBy(buckets, *keys)
+        (out.sortBy(*keys) if ordered else out).option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The rows as a plain table, known to the catalogue no more."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete(self.spark, self.path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,14 +11,13 @@ text of the row that stays. Rows that only share the digest are regrouped by the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, materialise, session_folder
+from .common import Bucketed, materialise, shuffle_partitions
 
 #: Memtables, and so runs of the lowest level; a power of two.
 MEMTABLES = 4
@@ -46,35 +45,14 @@ def _sorted_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-class Run:
-    """A run: (digest, keep_id, n), bucketed and sorted by digest, in the shared folder."""
-
-    def __init__(self, rows: DataFrame, buckets: int):
-        self.spark, self.schema, self.buckets = rows.sparkSession, rows.schema, buckets
-        self.name = f"veldspar_run_{uuid.uuid4().hex}"
-        self.path = f"{session_folder(self.spark)}/{self.name}"
-        rows.write.bucketBy(buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def close(self) -> DataFrame:
-        """The run's rows, known to the catalogue no more."""
-        self.spark.sql(f"DROP TABLE {self.name}")
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        delete(self.spark, self.path)
-
-
-def flush(rows: DataFrame, best: Callable[[str], Column], buckets: int) -> Run:
+def flush(rows: DataFrame, best: Callable[[str], Column], buckets: int) -> Bucketed:
     """A memtable's run from its rows (id, digest): copies are combined before they move."""
     combined = rows.groupBy("digest").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    return Run(combined.repartition(buckets, "digest"), buckets)
+    dealt = combined if buckets == shuffle_partitions(rows.sparkSession) else combined.repartition(buckets, "digest")
+    return Bucketed(dealt, buckets, "digest", ordered=True)
 
 
-def merged_rows(a: Run, b: Run, keep: str) -> DataFrame:
+def merged_rows(a: Bucketed, b: Bucketed, keep: str) -> DataFrame:
     """The rows of two runs merged in the order of their digests."""
     left, right = a.table(), b.table().select(F.col("digest").alias("d"), F.col("keep_id").alias("k"), F.col("n").alias("m"))
     best = F.greatest if keep == "max" else F.least  # both pass over nulls
@@ -83,13 +61,13 @@ def merged_rows(a: Run, b: Run, keep: str) -> DataFrame:
     return both.select(F.coalesce("digest", "d").alias("digest"), best("keep_id", "k").alias("keep_id"), (F.coalesce("n", zero) + F.coalesce("m", zero)).alias("n"))
 
 
-def compact(runs: list[Run], keep: str) -> Run:
+def compact(runs: list[Bucketed], keep: str) -> Bucketed:
     """Level by level, two runs of a level become one of the next."""
     while len(runs) > 1:
         above = []
         for a, b in zip(runs[::2], runs[1::2], strict=True):
             with _sorted_buckets(a.spark):
-                above.append(Run(merged_rows(a, b, keep), a.buckets))
+                above.append(Bucketed(merged_rows(a, b, keep), a.buckets, "digest", ordered=True))
             a.drop()
             b.drop()
         runs = above
@@ -102,7 +80,7 @@ def index(docs: DataFrame, key: str, text: str, keep: str, digest: Callable[[Col
     share = F.pmod(F.spark_partition_id(), F.lit(MEMTABLES))
     rows = materialise(docs.select(F.col(key).cast("long").alias("id"), digest(content).alias("digest"), share.alias("memtable")), "digests", "memtable")
     spark, n = docs.sparkSession, rows.count()
-    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_ROWS)))
+    buckets = min(100_000, max(shuffle_partitions(spark), -(-n // BUCKET_ROWS)))
     best = F.max if keep == "max" else F.min
     return compact([flush(rows.filter(F.col("memtable") == k).select("id", "digest"), best, buckets) for k in range(MEMTABLES)], keep).close()
 

@@ -1,11 +1,14 @@
 """Substring dedup of word windows by De Bruijn compaction.
 
-The graph's edges are word k-mers (windows of 20 words). Anchor grams find the edges that
-can repeat; a run of consecutive edges with one anchor is a path without branches inside
-its source, and is kept as one row. Paths meet in buckets by their anchor gram, where the
-earliest source of every edge is found; the later ones come back as stretches of their own
-source. Stretches of a text are compacted into maximal paths by a join on the text, and
-source coordinates (text, word position) say which words go.
+Nodes of the graph are the sequences of one word less than a window, edges the windows: an
+edge leads from its first words to its last. Anchor grams find the edges that can repeat; a
+run of consecutive edges with one anchor travels as one row, the path of its nodes. Paths meet
+in buckets by their anchor gram, where every edge has all its sources. There each node's
+distinct edges in and out are counted, and edges of one source that follow each other over a
+node of one edge in and one out, with as many sources each, become one piece. Each later
+source of a piece is told with the coordinates (text, word) of the earliest. Pieces of a text
+whose sources go on without a gap, too, are compacted into maximal paths across buckets, and
+the coordinates say which words go.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchors import blocks_of, combine, keyed, mix, repeated_anchors, runs_of
-from .common import SPACES, materialise
+from .anchors import Texts, blocks_of, by_gram, combine, mix, repeated_anchors, runs_of
+from .common import SPACES, materialise, shuffle_partitions
 
 WINDOW = 20
 #: Rows whose kept text is built at a time.
@@ -28,8 +31,8 @@ PART_ROWS = 500
 REMOVED = pa.list_(pa.struct([("first", pa.int64()), ("beyond", pa.int64())]))
 REMOVED_DDL = "removed array<struct<first: long, beyond: long>>"
 GRAM = 5
-#: Repeated anchors that one bucket holds on average.
-BUCKET_ANCHORS = 50_000
+#: Nodes that a bucket compares at a time, unless one gram has more.
+PART_NODES = 1 << 19
 
 _SPLIT = bytes(32 if b in SPACES else b for b in range(256))
 
@@ -60,33 +63,86 @@ def listed(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("r1", r2.alias("r2")).agg(F.sort_array(F.array_distinct(F.collect_list(place))).alias("places"))
 
 
-def repeated_paths(gram: np.ndarray, off: np.ndarray, edges: np.ndarray, ends: np.ndarray, owner: pa.Array, r1: np.ndarray, r2: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which paths of a block have all their edges in an earlier path of the block."""
+def repeated_paths(gram: np.ndarray, off: np.ndarray, nodes: np.ndarray, ends: np.ndarray, owner: pa.Array, r1: np.ndarray, r2: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of each path of a block the number of the earliest equal one in the block."""
     nulls = np.asarray(owner.is_null()).astype(np.int8)
     order = np.lexsort((start, r2, r1, np.asarray(owner.fill_null(0)), nulls))
-    raw, cut = edges.tobytes(), (ends * 8).tolist()
-    later, seen = np.zeros(len(gram), dtype=bool), {}
+    raw, cut = nodes.tobytes(), (ends * 8).tolist()
+    source, seen = np.arange(len(gram)), {}
     for k, g, o in zip(order.tolist(), gram[order].tolist(), off[order].tolist(), strict=True):
-        place = (r1[k], r2[k], start[k])
-        if seen.setdefault((g, o, raw[cut[k] : cut[k + 1]]), place) != place:
-            later[k] = True
-    return later
+        source[k] = seen.setdefault((g, o, raw[cut[k] : cut[k + 1]]), k)
+    same = (r1[source] == r1) & (r2[source] == r2) & (start[source] == start)
+    return np.where(same, np.arange(len(gram)), source)
 
 
-def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(r1, r2, spans) of every text with words to go; spans: [first, beyond) word positions.
+PIECE = "r1 long, r2 long, first int, n int, s1 long, s2 long, at int"
 
-    rows: (id, content, r1, r2). Of a text in several rows the one of smallest id counts.
+
+def pieces(t: pa.Table) -> pa.Table:
+    """The repeated pieces of a bucket's paths in their later sources, each with the earliest.
+
+    t: (told, gram, r1, r2, owner, start, off, s1, s2, at, nodes); of told paths the whole is
+    later than (s1, s2, at).
     """
-    anchors = materialise(repeated_anchors(rows, _grams, window, GRAM), "anchors")
-    buckets = max(1, -(-anchors.count() // BUCKET_ANCHORS))
-    owners = rows.groupBy("r1", "r2").agg(F.min("id").alias("owner"))
-    places = listed(anchors).join(owners, ["r1", "r2"])
-    own = rows.join(places.hint("shuffle_hash"), ["r1", "r2"]).filter(F.col("id").eqNullSafe(F.col("owner"))).select("content", "r1", "r2", "owner", "places")
+    col = {c: t.column(c).to_numpy() for c in ("told", "gram", "r1", "r2", "start", "off", "s1", "s2", "at")}
+    owner = t.column("owner").combine_chunks()
+    nulls, owner = np.asarray(owner.is_null()).astype(np.int8), np.asarray(owner.fill_null(0))
+    lists = t.column("nodes").combine_chunks()
+    nodes, many = np.asarray(lists.flatten()).view(np.uint64), np.diff(np.asarray(lists.offsets))
+    n = many - 1  # edges of each path
+    row = np.repeat(np.arange(t.num_rows), n)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    tail = np.repeat(np.cumsum(many) - many, n) + inside
+    start, told = col["start"][row] + inside, col["told"][row]
+    # Equal edges have one anchor at one offset.
+    place = mix(col["gram"][row].view(np.uint64) + (col["off"][row] - inside).astype(np.uint64))
+    name = mix(nodes[tail] * np.uint64(3) + nodes[tail + 1]) ^ place
+    use = np.flatnonzero(~told)
+    by = row[use]
+    order = use[np.lexsort((start[use], col["r2"][by], col["r1"][by], owner[by], nulls[by], name[use]))]
+    run = np.concatenate(([True], name[order][1:] != name[order][:-1]))[: len(order)]
+    edge = np.full(len(row), -1, dtype=np.int64)
+    edge[order] = np.cumsum(run) - 1
+    first = order[run]  # each edge's earliest source
+    # An equal row again (the same place) is no other source.
+    alike = lambda x, y: (col["r1"][row[x]] == col["r1"][row[y]]) & (col["r2"][row[x]] == col["r2"][row[y]]) & (start[x] == start[y])
+    sources = np.bincount(edge[order], weights=run | ~alike(order, np.concatenate((order[:1], order[:-1]))), minlength=len(first)).astype(np.int64)
+    earliest = first[edge[use]]
+    s1, s2, at = (np.zeros(len(row), dtype=np.int64) for _ in range(3))
+    s1[use], s2[use], at[use] = col["r1"][row[earliest]], col["r2"][row[earliest]], start[earliest]
+    later = told.copy()
+    later[use] = ~alike(use, earliest)
+    t_at = np.flatnonzero(told)
+    s1[t_at], s2[t_at], at[t_at] = col["s1"][row[t_at]], col["s2"][row[t_at]], col["at"][row[t_at]] + inside[t_at]
+    # Distinct edges into and out of each node.
+    names, flat = np.unique(nodes, return_inverse=True)
+    out, into = (np.bincount(flat[x], minlength=len(names)) for x in (tail[first], tail[first] + 1))
+    plain = (out == 1) & (into == 1)
+    goes_on = np.zeros(len(row), dtype=bool)
+    if len(row):
+        count = sources[np.maximum(edge, 0)]
+        smooth = plain[flat[tail[1:]]] & (count[1:] == count[:-1])
+        follows = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1]) & (at[1:] == at[:-1] + 1)
+        goes_on[1:] = (row[1:] == row[:-1]) & later[1:] & later[:-1] & follows & (told[1:] | smooth)
+    begin = np.flatnonzero(later & ~goes_on)
+    length = np.diff(np.concatenate((np.flatnonzero(~goes_on), [len(row)])))[later[~goes_on]] if len(row) else begin
+    r = row[begin]
+    return pa.table({
+        "r1": col["r1"][r], "r2": col["r2"][r], "first": pa.array(start[begin], pa.int32()), "n": pa.array(length, pa.int32()), "s1": s1[begin], "s2": s2[begin], "at": pa.array(at[begin], pa.int32()),
+    })
+
+
+def later_paths(texts: Texts, window: int = WINDOW) -> DataFrame:
+    """(r1, r2, first, beyond, s1, s2, at): the maximal stretches of a text's words [first, beyond)
+    that stand earlier, at word `at` of the text (s1, s2). Of a text in several rows the one of
+    smallest id counts."""
+    anchors = materialise(repeated_anchors(texts.table(), _grams, window, GRAM), "anchors")
+    own = texts.met(listed(anchors), texts.owners.select("r1", "r2", "owner")).select("content", "r1", "r2", "owner", "places")
+    buckets = 64 * shuffle_partitions(anchors.sparkSession)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of edges whose anchor is repeated, with the hash of each edge."""
-        names = ["bucket", "later", "gram", "r1", "r2", "owner", "start", "off", "edges"]
+        """Runs of edges whose anchor is repeated, as the nodes they go through."""
+        names = ["bucket", "told", "gram", "r1", "r2", "owner", "start", "off", "s1", "s2", "at", "nodes"]
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in blocks_of(texts, len):
@@ -99,71 +155,43 @@ def later_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 wanted[at] = True
                 use = np.flatnonzero(wanted[a])
                 text, a, lo, hi = text[use], a[use], lo[use], hi[use]
-                edge = combine(h, window, 2)
-                n = hi - lo + 1
+                node = combine(h, window - 1, 2)
+                n = hi - lo + 2
                 ends = np.concatenate(([0], np.cumsum(n)))
                 flat = np.arange(int(ends[-1])) - np.repeat(ends[:-1], n) + np.repeat(lo, n)
                 owner = b.column(3).slice(part.start, part.stop - part.start).take(pa.array(text))
                 r1, r2 = (b.column(k).to_numpy()[part][text] for k in (1, 2))
-                g, start, off, edges = grams[a], lo - starts[text], a - lo, edge[flat]
-                later = repeated_paths(g, off, edges, ends, owner, r1, r2, start)
+                g, start, off, nodes = grams[a], lo - starts[text], a - lo, node[flat]
+                source = repeated_paths(g, off, nodes, ends, owner, r1, r2, start)
+                told = source != np.arange(len(source))
                 # A path that stands earlier in this block needs no bucket of its gram.
-                bucket = np.where(later, mix(r1.view(np.uint64) + start.astype(np.uint64)), mix(g)) % np.uint64(buckets)
-                cols = [pa.array(bucket.astype(np.int64)), pa.array(later), pa.array(g.view(np.int64)), pa.array(r1), pa.array(r2), owner]
-                cols += [pa.array(start), pa.array(off), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(edges.view(np.int64)))]
+                bucket = np.where(told, mix(r1.view(np.uint64) + start.astype(np.uint64)), mix(g)) % np.uint64(buckets)
+                zero = lambda x: np.where(told, x, 0)
+                cols = [pa.array(bucket.astype(np.int64)), pa.array(told), pa.array(g.view(np.int64)), pa.array(r1), pa.array(r2), owner, pa.array(start), pa.array(off)]
+                cols += [pa.array(zero(r1[source])), pa.array(zero(r2[source])), pa.array(zero(start[source])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(nodes.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    dealt = own.mapInArrow(paths, "bucket long, later boolean, gram long, r1 long, r2 long, owner long, start long, off long, edges array<long>")
-
-    def earliest(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        lists = t.column("edges").combine_chunks() if t.num_rows else None
-        if lists is None:
-            return pa.table({"r1": pa.array([], pa.int64()), "r2": pa.array([], pa.int64()), "first": pa.array([], pa.int32()), "beyond": pa.array([], pa.int32())})
-        edges = np.asarray(lists.flatten())
-        n = np.diff(np.asarray(lists.offsets))
-        row = np.repeat(np.arange(t.num_rows), n)
-        inside = np.arange(len(edges)) - np.repeat(np.cumsum(n) - n, n)
-        col = {c: t.column(c).to_numpy() for c in ("gram", "r1", "r2", "start", "off")}
-        owner = t.column("owner").combine_chunks()
-        nulls = np.asarray(owner.is_null()).astype(np.int8)
-        owner = np.asarray(owner.fill_null(0))
-        edge = edges ^ mix(col["gram"][row].view(np.uint64) + (col["off"][row] - inside).astype(np.uint64)).view(np.int64)
-        start = col["start"][row] + inside
-        told = t.column("later").to_numpy()[row]
-        open_ = np.flatnonzero(~told)
-        by = row[open_]
-        order = open_[np.lexsort((start[open_], col["r2"][by], col["r1"][by], owner[by], nulls[by], edge[open_]))]
-        e = edge[order]
-        same = e[1:] == e[:-1]
-        # An equal row again (a text whose row is repeated) is no earlier source.
-        prev, cur = order[:-1], order[1:]
-        alike = same & (col["r1"][row[prev]] == col["r1"][row[cur]]) & (col["r2"][row[prev]] == col["r2"][row[cur]]) & (start[prev] == start[cur])
-        later = told.copy()
-        run_start = np.flatnonzero(np.concatenate(([True], ~same)))[: len(e)]
-        which = np.cumsum(np.concatenate(([0], ~same)))[: len(e)]
-        new = np.concatenate(([False], same & ~alike))[: len(e)]
-        seen = np.cumsum(new)
-        later[order] = seen - seen[run_start][which] > 0
-        edge_of_run = np.diff(np.concatenate(([0], later.view(np.int8), [0])))
-        edge_of_run = np.flatnonzero(edge_of_run == 1), np.flatnonzero(edge_of_run == -1)
-        # Stretches are cut where their path ends.
-        cuts = np.concatenate(([0], np.cumsum(n)))
-        first, beyond = edge_of_run
-        if len(first):
-            lo, hi = np.searchsorted(cuts, first, side="right"), np.searchsorted(cuts, beyond - 1, side="right")
-            pieces = hi - lo + 1
-            src = np.repeat(np.arange(len(first)), pieces)
-            path = np.arange(len(src)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + np.repeat(lo, pieces) - 1
-            f = np.maximum(first[src], cuts[path])
-            z = np.minimum(beyond[src], cuts[path + 1])
-        else:
-            path = f = z = np.zeros(0, dtype=np.int64)
-        base = col["start"][path] - cuts[path]
-        return pa.table({"r1": col["r1"][path], "r2": col["r2"][path], "first": pa.array(base + f, pa.int32()), "beyond": pa.array(base + z - 1 + window, pa.int32())})
-
-    found = dealt.groupBy("bucket").applyInArrow(earliest, "r1 long, r2 long, first int, beyond int")
-    return found.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("first", "beyond"))).alias("spans"))
+    kinds = "bucket long, told boolean, gram long, r1 long, r2 long, owner long, start long, off long, s1 long, s2 long, at long, nodes array<long>"
+    ordered = own.mapInArrow(paths, kinds).repartition("bucket").sortWithinPartitions("gram")
+    found = ordered.mapInArrow(by_gram(pieces, PART_NODES, lambda b: len(b.column(11).flatten())), PIECE)
+    # Across buckets: a piece that goes on where its predecessor ends, in the text and in the
+    # source, belongs to the same path.
+    w = Window.partitionBy("r1", "r2").orderBy("first")
+    before = [F.lag(c).over(w) for c in ("s1", "s2")]
+    on = (F.lag(F.col("first") + F.col("n")).over(w) == F.col("first")) & (F.lag(F.col("at") + F.col("n")).over(w) == F.col("at")) & (before[0] == F.col("s1")) & (before[1] == F.col("s2"))
+    starts = found.withColumn("new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("path", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = starts.groupBy("r1", "r2", "path").agg(F.min(F.struct("first", "s1", "s2", "at")).alias("f"), F.max(F.col("first") + F.col("n")).alias("end"))
+    return whole.select("r1", "r2", "f.first", (F.col("end") + (window - 1)).alias("beyond"), "f.s1", "f.s2", "f.at")
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(id, first, beyond, source_id, source_first): every maximal stretch of a text's words that
+    stands earlier, and where. Copies of a text are not told one by one."""
+    texts = Texts(docs, key, text)
+    ids = texts.owners.select("r1", "r2", F.col("owner").alias("id"))
+    found = later_paths(texts, window).join(ids, ["r1", "r2"])
+    source = ids.select(F.col("r1").alias("s1"), F.col("r2").alias("s2"), F.col("id").alias("source_id"))
+    return found.join(source, ["s1", "s2"]).select("id", "first", "beyond", "source_id", F.col("at").alias("source_first"))
 
 
 def merged(spans: list[dict] | None, whole: bool, n: int) -> list[dict]:
@@ -193,30 +221,41 @@ def dedup_word_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     A word goes if a window over it has the same words as a window that starts earlier
     (smaller id; null after all others; same id, earlier start). A null text has no words.
     Texts shorter than the window lose nothing; rows repeated with id and text are one
-    document and are treated alike; copies of a text under a larger id go whole. An empty
-    table gives an empty result; other columns are ignored.
+    document and are treated alike; copies of a text under a larger id go whole. Very long
+    texts are read whole, in blocks. An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
-    rows = keyed(docs, key, text)
-    owners = rows.groupBy("r1", "r2").agg(F.min("id").alias("owner"))
-    spans = later_windows(rows, window).join(owners, ["r1", "r2"], "right")
-    told = rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("id", "content", "spans", (~F.col("id").eqNullSafe(F.col("owner"))).alias("copy"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), REMOVED]
-        for b in (x.slice(k, PART_ROWS) for x in batches for k in range(0, x.num_rows, PART_ROWS)):
-            out = []
-            for t, spans, copy in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
-                words = words_of(t.as_py())
-                n = len(words)
-                runs = merged(spans.as_py(), copy and n >= window, n)
-                keep = [w for x, y in gaps(runs, n) for w in words[x:y]]
-                kept = b" ".join(keep)
-                out.append((n, n - len(keep), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
-
-    return told.mapInArrow(cut, f"id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string, {REMOVED_DDL}")
+    texts = Texts(docs, key, text)
+    spans = later_paths(texts, window).groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("first", "beyond"))).alias("spans"))
+    names = ["n_words", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), REMOVED]
+    ddl = f"n_words long, n_removed long, n_spans long, kept_sha256 string, kept string, {REMOVED_DDL}"
+
+    def cut(copies: bool):
+        """Rows (content, spans, ..) without the spans, or copies (content, ..), which go whole."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = 1 if copies else 2
+            for b in (x.slice(k, PART_ROWS) for x in batches for k in range(0, x.num_rows, PART_ROWS)):
+                out = []
+                for k, t in enumerate(b.column(0)):
+                    words = words_of(t.as_py())
+                    n = len(words)
+                    runs = merged(None if copies else b.column(1)[k].as_py(), copies and n >= window, n)
+                    keep = [w for x, y in gaps(runs, n) for w in words[x:y]]
+                    kept = b" ".join(keep)
+                    out.append((n, n - len(keep), len(runs), hashlib.sha256(kept).hexdigest(), kept, runs))
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([*b.columns[own:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names[own:], *names])
+
+        return run
+
+    first = texts.met(texts.owners, spans).select("content", "spans", F.col("owner").alias("id"), "m").mapInArrow(cut(False), f"id long, m long, {ddl}")
+    # A row repeated with its id is the same document again.
+    first = first.withColumn("again", F.explode(F.sequence(F.lit(1), "m"))).select("id", *names)
+    info = texts.met(texts.owners.filter("copies > m")).select("content", "r1", "r2", "copies", "owner").mapInArrow(cut(True), f"r1 long, r2 long, copies long, owner long, {ddl}")
+    others = texts.told(materialise(info, "copies")).filter(~F.col("id").eqNullSafe(F.col("owner")))
+    return first.unionByName(others.select("id", *names))
 
 
 def op6_dedup_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
