@@ -14,7 +14,7 @@ def test_names():
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("table, name", [("documents", n) for n in ("op1_license_scan", "op7_quality_classifier", "op8_mix_sources", "op10_exact_dedup")] + [("pages", "op9_html_extract"), ("embeddings", "op3_embedding_dedup")])
+@pytest.mark.parametrize("table, name", [("documents", n) for n in ("op1_license_scan", "op2_dedup_byte_spans", "op7_quality_classifier", "op8_mix_sources", "op10_exact_dedup")] + [("pages", "op9_html_extract"), ("embeddings", "op3_embedding_dedup")])
 def test_a_row_for_each_row(spark, sf_dir, table, name):
     assert entry.queries()[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
@@ -46,7 +46,7 @@ def test_pipeline(spark, sf_dir):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
-@pytest.mark.parametrize("name", ["op3_embedding_dedup", "op4_jaccard_join", "op6_dedup_word_spans", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_dedup_byte_spans", "op3_embedding_dedup", "op4_jaccard_join", "op6_dedup_word_spans", "op10_exact_dedup"])
 def test_equals_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -58,3 +58,17 @@ def test_equals_sql(spark, sf_dir, name):
     assert sorted(rel.columns) == names
     at = [rel.columns.index(c) for c in names]
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in rel.fetchall())
+
+
+def test_packed_table(spark, sf_dir):
+    """Every document's pieces are there, whole, and no sequence is over its capacity."""
+    got = entry.queries()["op5_pack_sequences"](spark, sf_dir).toPandas()
+    assert set(got["doc_id"]) == {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert got.groupby("sequence_id")["length"].sum().max() <= 4096
+    for _, own in got.groupby("doc_id"):
+        own = own.sort_values("piece")
+        assert own["piece"].tolist() == list(range(len(own))) and own["start"].tolist() == [4096 * k for k in range(len(own))] and (own["length"][:-1] == 4096).all()
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["offset"].tolist() == (own["length"].cumsum() - own["length"]).tolist()
+    assert got["sequence_id"].nunique() <= got["length"].sum() / 4096 + 6

@@ -1,5 +1,28 @@
 """SQL of operators that SQL can express, for tables small enough to compare all windows or pairs."""
 
+#: Names of 2, 4, .. 256 bytes from each position on, doubled; 256, 128 and 16 make a window of 400.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+     h2 AS (SELECT doc_id, b, [hash(b[i], b[i + 1]) for i in range(1, len(b))] AS x FROM d),
+     h4 AS (SELECT doc_id, b, [hash(x[i], x[i + 2]) for i in range(1, len(x) - 1)] AS x FROM h2),
+     h8 AS (SELECT doc_id, b, [hash(x[i], x[i + 4]) for i in range(1, len(x) - 3)] AS x FROM h4),
+     h16 AS (SELECT doc_id, b, [hash(x[i], x[i + 8]) for i in range(1, len(x) - 7)] AS x FROM h8),
+     h32 AS (SELECT doc_id, b, x AS x16, [hash(x[i], x[i + 16]) for i in range(1, len(x) - 15)] AS x FROM h16),
+     h64 AS (SELECT doc_id, b, x16, [hash(x[i], x[i + 32]) for i in range(1, len(x) - 31)] AS x FROM h32),
+     h128 AS (SELECT doc_id, b, x16, [hash(x[i], x[i + 64]) for i in range(1, len(x) - 63)] AS x FROM h64),
+     h256 AS (SELECT doc_id, b, x16, x AS x128, [hash(x[i], x[i + 128]) for i in range(1, len(x) - 127)] AS x FROM h128),
+     w AS (SELECT row_number() OVER () AS r, doc_id, b, [hash(x[i], x128[i + 256], x16[i + 384]) for i in range(1, len(b) - 398)] AS g FROM h256),
+     starts AS (SELECT r, unnest(g) AS g, unnest(range(len(g))) AS s FROM w WHERE len(g) > 0),
+     hit AS (SELECT r, s FROM starts WHERE g IN (SELECT g FROM starts GROUP BY g HAVING count(*) > 1)),
+     runs AS (SELECT r, s, s - coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -1000) AS step FROM hit),
+     spans AS (SELECT r, min(s) AS first, max(s) + 400 AS beyond FROM (SELECT r, s, sum((step > 400)::INT) OVER (PARTITION BY r ORDER BY s) AS k FROM runs) GROUP BY r, k),
+     gone AS (SELECT r, sum(beyond - first) AS n_removed, count(*) AS n_spans, list({'a': first, 'z': beyond} ORDER BY first) AS l FROM spans GROUP BY r),
+     kept AS (SELECT w.r, doc_id, len(b) AS n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+              CASE WHEN l IS NULL THEN array_to_string(b, '') ELSE array_to_string(flatten([b[(CASE WHEN i = 0 THEN 0 ELSE l[i].z END) + 1:CASE WHEN i = len(l) THEN len(b) ELSE l[i + 1].a END] for i in range(len(l) + 1)]), '') END AS t
+              FROM w LEFT JOIN gone ON w.r = gone.r)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256 FROM kept
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE
      v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),

@@ -12,7 +12,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .html_extract import op9_html_extract
 from .license_scan import op1_license_scan
 from .mixing import op8_mix_sources
-from .oracles import OP3_SQL, OP4_SQL, OP6_SQL
+from .oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP6_SQL
 from .packing import op5_pack_sequences
 from .quality import op7_quality_classifier
 from .shingle_join import op4_jaccard_join
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_dedup_word_spans": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_dedup_byte_spans": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_dedup_word_spans": OP6_SQL, "op10_exact_dedup": OP10_SQL}
