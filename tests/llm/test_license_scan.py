@@ -66,3 +66,32 @@ def test_short_templates_must_be_whole():
 
     labels = [r[5] for r in Scanner().scan(["The book was released under the MIT Press imprint", "It is released under the MIT License.", "Licensed under the Apache License, Version 2.1"])]
     assert labels == ["", "mit,mit-notice", "apache"]
+
+
+def test_matching_statistics_and_spans_equal_brute_force():
+    """Longest matches that end at each word, told by looking for them; and spans whose words are
+    those of their template."""
+    import random
+
+    from veldspar.llm.license_scan import Scanner, SuffixAutomaton, needed
+
+    rng = random.Random(8)
+    sequences = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(5)]
+    inside = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    tokens = [rng.randrange(5) for _ in range(400)]
+    for k, (_, length) in enumerate(SuffixAutomaton(sequences).stream(tokens)):
+        assert length == max((n for n in range(1, 13) if n <= k + 1 and tuple(tokens[k + 1 - n : k + 1]) in inside), default=0)
+    templates = {f"t{k}": " ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(4, 25))) for k in range(6)}
+    scanner = Scanner({"b": "zz yy"}, templates)
+    for _ in range(60):
+        name = rng.choice(sorted(templates))
+        own = templates[name].split()
+        cut = own[: rng.randint(1, len(own))]
+        text = [*(f"x{rng.randrange(50)}" for _ in range(rng.randint(0, 9))), *cut, *(f"q{rng.randrange(50)}" for _ in range(rng.randint(0, 9)))]
+        spans = scanner.scan([" ".join(text)])[0][7]
+        found = {s["label"] for s in spans}
+        if len(cut) >= 2 and len(cut) >= needed(len(own)) * len(own):
+            assert name in found
+        for s in spans:
+            covered = sum(w in templates[s["label"]].split() for w in text[s["first_word"] : s["last_word"] + 1])
+            assert s["covered"] >= needed(len(templates[s["label"]].split())) and covered >= round(s["covered"] * len(templates[s["label"]].split()))
