@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .anchors import blocks_of, combine, mix
 from .common import SPACES, materialise, release
-from .components import connected_components
+from .components import LEAST, SHARE, connected_components
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -203,47 +203,63 @@ def in_two(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, start, c[start] != c[stop - 1] if len(t) else np.zeros(0, dtype=bool)
 
 
-def _by_class(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The classes, and the list of each one's tokens, entries counted once."""
+def _by_class(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, ends, tokens): entries counted once, in the order of their class and token."""
     order = np.lexsort((tokens, names))
     c, t = names[order], tokens[order]
     new = np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))[: len(c)]
     c, t = c[new], t[new]
     first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))[: len(c)]
-    return c[first], pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(c)])), pa.int32()), pa.array(t.view(np.int64)))
+    return c[first], np.concatenate((first, [len(c)])), t
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(row, class, size, token) of all entries of rows with lists of classes, sizes, counts and tokens."""
+    lists = {c: t.column(c).combine_chunks() for c in ("classes", "sizes", "counts", "tokens")}
+    counts = np.asarray(lists["counts"].flatten())
+    names, sizes = (np.repeat(np.asarray(lists[c].flatten()), counts) for c in ("classes", "sizes"))
+    row = np.repeat(np.arange(t.num_rows), np.diff(np.asarray(lists["tokens"].offsets)))
+    return row, names, sizes, np.asarray(lists["tokens"].flatten()).view(np.uint64)
+
+
+def _dealt(place: np.ndarray, known: bool, names: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """Entries as a row for each place: its classes, their sizes and how many entries each has, the tokens."""
+    order = np.lexsort((names, place))
+    place, names, sizes, tokens = place[order], names[order], sizes[order], tokens[order]
+    new = np.concatenate(([True], place[1:] != place[:-1]))[: len(place)]
+    run = np.flatnonzero(new | np.concatenate(([True], names[1:] != names[:-1]))[: len(place)])
+    first = np.flatnonzero(new)
+    at = pa.array(np.concatenate((np.searchsorted(run, first), [len(run)])).astype(np.int32))
+    counts = np.diff(np.concatenate((run, [len(place)]))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (names[run], sizes[run].astype(np.int64), counts)]
+    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(place)])), pa.int32()), pa.array(tokens.view(np.int64))))
+    return pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int32)), pa.array([known] * len(first), pa.bool_()), *lists], ["place", "known", "classes", "sizes", "counts", "tokens"])
 
 
 #: Tokens that one part of the token space holds on average.
 PART_TOKENS = 1 << 21
 
 
-def shared_tokens(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
-    """(class, tokens): of every class the tokens that other classes have, too, in some pieces.
+def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> DataFrame:
+    """(name, n, tokens, routes) of every class that the root of the tree does not rule out: its
+    size, those of its tokens that other classes have, too, and the routes to take.
 
-    This is the tree's root: its bitmap, of a bit for each token there is, lies spread over
-    parts by token. A block of texts asks the parts for its tokens. Tokens that the block
-    holds in two classes are known at once, and only two entries of each go to its part, so a
-    very common token does not gather.
+    The root's bitmap, of a bit for each token there is, lies spread over parts by token. A
+    block of texts asks the parts for its tokens. Tokens that the block holds in two classes
+    are known at once, and only two entries of each go to their part, so a very common token
+    does not gather. What the parts answer meets again by class, a block of classes together.
+    Tokens that no other class has come first in the order of tokens, so a class whose whole
+    prefix is such tokens links with nothing.
     """
     parts = max(1, -(-total // PART_TOKENS))
-    kinds = "part int, known boolean, classes array<long>, counts array<int>, tokens array<long>"
-    columns = ["part", "known", "classes", "counts", "tokens"]
-
-    def rows(part: np.ndarray, known: bool, names: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
-        """Entries as a row for each part: its classes, how many entries each has, their tokens."""
-        order = np.lexsort((names, part))
-        part, names, tokens = part[order], names[order], tokens[order]
-        new_part = np.concatenate(([True], part[1:] != part[:-1]))[: len(part)]
-        run = np.flatnonzero(new_part | np.concatenate(([True], names[1:] != names[:-1]))[: len(part)])
-        first = np.flatnonzero(new_part)
-        at = np.concatenate((np.searchsorted(run, first), [len(run)])).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (names[run], np.diff(np.concatenate((run, [len(part)]))).astype(np.int32))]
-        lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(part)])), pa.int32()), pa.array(tokens.view(np.int64))))
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array([known] * len(first), pa.bool_()), *lists], columns)
-
-    def place(x: np.ndarray) -> np.ndarray:
+    kinds = "place int, known boolean, classes array<long>, sizes array<long>, counts array<int>, tokens array<long>"
+
+    def part_of(x: np.ndarray) -> np.ndarray:
         return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
+    def block_of(names: np.ndarray) -> np.ndarray:
+        return part_of(mix(names.view(np.uint64)))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
@@ -260,33 +276,56 @@ def shared_tokens(docs: DataFrame, text: str, n: int, total: int) -> DataFrame:
                     seen.clear()
                 if not sets:
                     continue
-                names, tokens = np.repeat(np.array(own, dtype=np.int64), [len(s) for s in sets]), np.concatenate(sets)
+                many = [len(s) for s in sets]
+                names, sizes, tokens = np.repeat(np.array(own, dtype=np.int64), many), np.repeat(many, many), np.concatenate(sets)
                 order, start, two = in_two(names, tokens)
                 stop = np.concatenate((start[1:], [len(order)]))
                 known = np.repeat(two, stop - start)
                 asked = np.concatenate((order[~known], order[start[two]], order[stop[two] - 1]))
-                yield rows(place(tokens[asked]), False, names[asked], tokens[asked])
+                yield _dealt(part_of(tokens[asked]), False, names[asked], sizes[asked], tokens[asked])
                 if known.any():
                     told = order[known]
-                    yield rows(place(mix(names[told].view(np.uint64))), True, names[told], tokens[told])
+                    yield _dealt(block_of(names[told]), True, names[told], sizes[told], tokens[told])
         release()
 
     def answer(t: pa.Table) -> pa.Table:
+        """The asked tokens of a part that are in two classes, and what is known, by block of classes."""
         t = t.combine_chunks()
-        known = np.asarray(t.column("known"))
-        lists = [t.column(c).combine_chunks() for c in ("classes", "counts", "tokens")]
-        names = np.repeat(np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten()))
-        tokens = np.asarray(lists[2].flatten()).view(np.uint64)
-        known = np.repeat(known, np.diff(np.asarray(lists[2].offsets)))
+        row, names, sizes, tokens = _entries(t)
+        known = np.asarray(t.column("known"))[row]
         use = np.flatnonzero(~known)
         order, start, two = in_two(names[use], tokens[use])
-        found = use[order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]]
-        at = np.concatenate((found, np.flatnonzero(known)))
-        classes, own = _by_class(names[at], tokens[at])
-        return pa.table({"class": pa.array(classes), "tokens": own})
+        at = np.concatenate((use[order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]], np.flatnonzero(known)))
+        return pa.Table.from_batches([_dealt(block_of(names[at]), True, names[at], sizes[at], tokens[at])]).select(["place", "classes", "sizes", "counts", "tokens"])
+
+    def route(t: pa.Table) -> pa.Table:
+        _, names, sizes, tokens = _entries(t.combine_chunks())
+        size_of = dict(zip(names.tolist(), sizes.tolist(), strict=True))
+        classes, ends, tokens = _by_class(names, tokens)
+        out = []
+        for k, c in enumerate(classes.tolist()):
+            s = tokens[ends[k] : ends[k + 1]]
+            routes = prefix_length(size_of[c], percent) - (size_of[c] - len(s))
+            if routes > 0:
+                out.append((c, size_of[c], s.tobytes(), s[:routes].view(np.int64)))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("name", "n", "tokens", "routes"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
     asked = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(ask, kinds)
-    return asked.groupBy("part").applyInArrow(answer, "class long, tokens array<long>")
+    answered = asked.groupBy("place").applyInArrow(answer, "place int, classes array<long>, sizes array<long>, counts array<int>, tokens array<long>")
+    return answered.groupBy("place").applyInArrow(route, "name long, n long, tokens binary, routes array<long>")
+
+
+def stars_of(routes: DataFrame) -> DataFrame:
+    """(node, hub) links that connect what (node, route) does: each node with its route's least.
+    Routes that many nodes take are few, and their hub is broadcast."""
+    hubs = materialise(routes.groupBy("route").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("d")).filter("hub < top"), "routes")
+    limit = max(LEAST, (hubs.agg(F.sum("d")).first()[0] or 0) // SHARE)
+    hot = hubs.filter(F.col("d") > limit).select("route", F.col("hub").alias("hot"))
+    tried = routes.join(F.broadcast(hot), "route", "left")
+    rest = tried.filter("hot is null").select("node", "route").join(hubs.filter(F.col("d") <= limit).select("route", "hub"), "route")
+    both = tried.filter("hot is not null").select("node", F.col("hot").alias("hub")).unionByName(rest.select("node", "hub"))
+    return both.filter("node > hub").distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -307,29 +346,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = materialise(classes.withColumn("name", name), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Classes that the root does not rule out, their shared tokens and the routes to take.
-
-        Tokens that no other class has come first in the order of tokens, so a class whose
-        whole prefix is such tokens links with nothing.
-        """
-        for b in batches:
-            out = []
-            for node, size, lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                s = np.unique(np.concatenate([np.asarray(x.values) for x in lists]).view(np.uint64))
-                routes = prefix_length(size, percent) - (size - len(s))
-                if routes > 0:
-                    out.append((node, size, s.tobytes(), s[:routes].view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["node", "n", "tokens", "routes"])
-
-    found = shared_tokens(docs, text, n, total).groupBy("class").agg(F.collect_list("tokens").alias("lists"))
-    met = classes.select("node", "n", "name").join(found, F.col("name") == F.col("class")).select("node", "n", "lists")
-    left = materialise(met.mapInArrow(routed, "node long, n long, tokens binary, routes array<long>"), "routed")
+    met = survivors(docs, text, n, percent, total).join(classes.select("node", "name"), "name").select("node", "n", "tokens", "routes")
+    left = materialise(met, "routed")
     # Classes on one route may link; only those that routes connect meet.
-    exploded = left.select("node", F.explode("routes").alias("route"))
-    hubs = exploded.groupBy("route").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("route", "hub")
-    stars = exploded.join(hubs, "route").filter("node > hub").select("node", "hub").distinct()
+    stars = stars_of(left.select("node", F.explode("routes").alias("route")))
     clusters = materialise(connected_components(stars, "node", "hub").withColumnRenamed("component", "cluster"), "clusters")
     # Blocks: a size band (neighbouring bands can link, others cannot) and a salt.
     step = float(np.log(100 / percent))

@@ -31,7 +31,7 @@ def _rounded(df: DataFrame, part: str, made: Column, digits: int = 4) -> DataFra
     return by_place(df.select("vec_id", made.alias(part)), "vec_id", part).withColumn("value", F.round("value", digits) + F.lit(0.0))
 
 
-@query(f"WITH {_SPECTRA} " + _told("magnitude", "SELECT vec_id, f AS k, sqrt(re * re + im * im) AS v FROM z"))
+@query(f"WITH {_SPECTRA} " + _told("magnitude", "SELECT vec_id, f AS k, sqrt(re::FLOAT::DOUBLE * re::FLOAT::DOUBLE + im::FLOAT::DOUBLE * im::FLOAT::DOUBLE) AS v FROM z"))
 def fft_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectrum = signal.column(signal.fft, matrix_out=True)(F.col("embedding"))
     return _rounded(t(spark, sf_dir, "embeddings"), "magnitude", signal.column(signal.magnitude, matrix_in=True)(spectrum))

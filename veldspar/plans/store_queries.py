@@ -74,7 +74,7 @@ def save_and_load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT * FROM rich")
 
 
-_STAT = "SELECT '{0}' AS column_name, count(*) FILTER ({0} IS NULL)::BIGINT AS null_count, round(min({0})::DOUBLE, 4) AS low, round(max({0})::DOUBLE, 4) AS high, round(avg({0})::DOUBLE, 4) AS mean FROM lineitem"
+_STAT = "SELECT '{0}' AS column_name, count(*) FILTER ({0} IS NULL)::BIGINT AS null_count, round(min({0})::DOUBLE, 4) AS low, round(max({0})::DOUBLE, 4) AS high, round(avg({0})::DOUBLE, 2) AS mean FROM lineitem"
 
 
 @query(" UNION ALL ".join(_STAT.format(c) for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")))
@@ -84,7 +84,7 @@ def package_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.script("DATASET li FROM lineitem SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount\nSAVE DATASET li")
     with open(s.folder("datasets", "li", "stats.json")) as f:
         stats = json.load(f)
-    rows = [(c, v["null_count"], *(round(v[k], 4) for k in ("min", "max", "mean"))) for c, v in stats.items() if not c.startswith("__")]
+    rows = [(c, v["null_count"], round(v["min"], 4), round(v["max"], 4), round(v["mean"], 2)) for c, v in stats.items() if not c.startswith("__")]
     return spark.createDataFrame(rows, "column_name string, null_count long, low double, high double, mean double")
 
 

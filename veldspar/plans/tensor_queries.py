@@ -37,7 +37,7 @@ def _rows(**values: str) -> str:
 tensors(
     "tensor_elementwise",
     _START + "VECTOR two = [10, 20]\nLET s = ADD a b\nLET i = a - b\nLET d = SUBTRACT a b\nLET m = MULTIPLY a b\nLET o = b + 1\nLET q = DIVIDE a o\nLET h = a / 2.0\nLET c = SCALE a BY 3\nLET r = a + two\nLET t = MULTIPLY a two",
-    f"WITH {_N} " + _rows(s="a + b", i="a - b", d="a - b", m="a * b", o="b + 1", q="round((a / (b + 1))::FLOAT, 4)::DOUBLE", h="a / 2", c="a * 3", r="a + CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 0 END", t="a * CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 1 END"),
+    f"WITH {_N} " + _rows(s="a + b", i="a - b", d="a - b", m="a * b", o="b + 1", q="round((a / (b + 1))::FLOAT::DOUBLE, 4)", h="a / 2", c="a * 3", r="a + CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 0 END", t="a * CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 1 END"),
     "s i d m o q h c r t",
 )
 tensors(
@@ -51,8 +51,8 @@ tensors(
     "tensor_linear",
     _START + "LET m = RESHAPE a TO [5, 5]\nLET t = TRANSPOSE m\nLET p = MATMUL m t\nLET dot = CORRELATE a WITH b\nLET cos = SIMILARITY a WITH b\nLET far = DISTANCE a TO b\nLET unit = NORMALIZE b",
     f"WITH {_N} SELECT 'p' AS name, ((x.k // 5) * 5 + y.k // 5)::INT AS k, sum(x.a * y.a) AS value FROM n x JOIN n y ON x.k % 5 = y.k % 5 GROUP BY x.k // 5, y.k // 5"
-    " UNION ALL SELECT 'dot', 0, sum(a * b) FROM n UNION ALL SELECT 'cos', 0, round((sum(a * b) / sqrt(sum(a * a) * sum(b * b)))::FLOAT, 4)::DOUBLE FROM n UNION ALL SELECT 'far', 0, round(sqrt(sum((a - b) * (a - b)))::FLOAT, 4)::DOUBLE FROM n"
-    " UNION ALL SELECT 'unit', k, round((b / (SELECT sqrt(sum(b * b)) FROM n))::FLOAT, 4)::DOUBLE FROM n",
+    " UNION ALL SELECT 'dot', 0, sum(a * b) FROM n UNION ALL SELECT 'cos', 0, round((sum(a * b) / sqrt(sum(a * a) * sum(b * b)))::FLOAT::DOUBLE, 4) FROM n UNION ALL SELECT 'far', 0, round(sqrt(sum((a - b) * (a - b)))::FLOAT::DOUBLE, 4) FROM n"
+    " UNION ALL SELECT 'unit', k, round((b / (SELECT sqrt(sum(b * b)) FROM n))::FLOAT::DOUBLE, 4) FROM n",
     "p dot cos far unit",
 )
 tensors(
