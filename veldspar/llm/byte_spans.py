@@ -92,7 +92,11 @@ def window_digits(data: bytes, window: int) -> list[np.ndarray]:
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """The place of each key among the distinct keys, in order."""
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))[: len(keys)]
+    return out
 
 
 def window_ranks(data: bytes, window: int) -> list[np.ndarray]:
@@ -197,17 +201,35 @@ def repeated_windows(texts: Texts, window: int = WINDOW) -> DataFrame:
         told = t.filter(pc.equal(t.column("state"), TOLD))
         t = t.filter(pc.not_equal(t.column("state"), TOLD)).combine_chunks()
         rest = {c: told.column(c).to_numpy() for c in ("r1", "r2", "start", "off")}
-        known = pa.table({"r1": rest["r1"], "r2": rest["r2"], "first": pa.array(rest["start"], pa.int32()), "beyond": pa.array(rest["start"] + rest["off"] - 1 + window, pa.int32())})
-        t = t.take(pa.array(can_repeat(t)))
-        return pa.concat_tables([known, equal_neighbours(t.combine_chunks())]) if t.num_rows else known
-
-    def can_repeat(t: pa.Table) -> np.ndarray:
-        """The fragments with a window whose name another window has, or that are known to repeat."""
+        known = spans_of(rest["r1"], rest["r2"], rest["start"], rest["start"] + rest["off"] - 1)
+        col = {c: t.column(c).to_numpy() for c in ("state", "gram", "r1", "r2", "start", "off")}
         parts = t.column("bytes").to_pylist()
         n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) - window + 1
+        # Equal fragments: all their windows repeat, and one of them stands for all.
+        seen: dict[tuple[int, int, bytes], int] = {}
+        same = np.fromiter((seen.setdefault(x, k) for k, x in enumerate(zip(col["gram"].tolist(), col["off"].tolist(), parts, strict=True))), dtype=np.int64, count=len(parts))
+        whole = (np.bincount(same, minlength=len(parts))[same] > 1) | (col["state"] == TWICE)
+        w = np.flatnonzero(whole)
+        tables = [known, spans_of(col["r1"][w], col["r2"][w], col["start"][w], col["start"][w] + n[w] - 1)]
+        one = np.flatnonzero(same == np.arange(len(parts)))
+        if len(one):
+            one = one[can_repeat([parts[k] for k in one])]
+        if not whole[one].all():
+            tables.append(equal_neighbours({c: v[one] for c, v in col.items()}, [parts[k] for k in one]))
+        return pa.concat_tables(tables)
+
+    def spans_of(r1: np.ndarray, r2: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
+        return pa.table({"r1": r1, "r2": r2, "first": pa.array(first, pa.int32()), "beyond": pa.array(last + window, pa.int32())})
+
+    def windows_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The part that each window is of, and its place in it."""
+        n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) - window + 1
         row = np.repeat(np.arange(len(parts)), n)
-        if not len(row):
-            return row
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+    def can_repeat(parts: list[bytes]) -> np.ndarray:
+        """The parts with a window whose name another window has."""
+        row, _ = windows_of(parts)
         pos = np.arange(len(row)) + row * (window - 1)
         name = np.zeros(len(row), dtype=np.uint64)
         for d in window_digits(b"".join(parts), window):
@@ -216,36 +238,22 @@ def repeated_windows(texts: Texts, window: int = WINDOW) -> DataFrame:
         same = name[order][1:] == name[order][:-1]
         tied = np.zeros(len(parts), dtype=bool)
         tied[row[order[1:][same]]] = tied[row[order[:-1][same]]] = True
-        return np.flatnonzero(tied | (t.column("state").to_numpy() == TWICE))
+        return np.flatnonzero(tied)
 
-    def equal_neighbours(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_numpy() for c in ("state", "gram", "r1", "r2", "start", "off")}
-        parts = t.column("bytes").to_pylist()
-        n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) - window + 1
-        begin = np.cumsum(n + window - 1) - (n + window - 1)
-        row = np.repeat(np.arange(len(parts)), n)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        pos = begin[row] + inside
-        digits = [d[pos] for d in window_ranks(b"".join(parts), window)]
-        items, group = multikey_ties(digits)
-        start = col["start"][row[items]] + inside[items]
-        # The same place twice (a repeated row) is no repeat: count distinct places of a group.
-        who = mix(col["r1"][row[items]].view(np.uint64) ^ mix(col["r2"][row[items]].astype(np.uint64) << np.uint64(32) | start.astype(np.uint64)))
-        high, low = np.zeros(len(n) and int(group.max(initial=-1)) + 1, dtype=np.uint64), None
-        low = np.full(len(high), ~np.uint64(0))
-        np.maximum.at(high, group, who)
-        np.minimum.at(low, group, who)
+    def equal_neighbours(col: dict[str, np.ndarray], parts: list[bytes]) -> pa.Table:
+        """Stretches of windows of distinct parts that equal another window in every byte."""
+        row, inside = windows_of(parts)
+        pos = np.arange(len(row)) + row * (window - 1)
+        items, _ = multikey_ties([d[pos] for d in window_ranks(b"".join(parts), window)])
         hit = np.zeros(len(row) + 1, dtype=np.int8)
-        hit[items[(high != low)[group]]] = 1
-        hit[:-1] |= (col["state"][row] == TWICE).astype(np.int8)
+        hit[items] = 1
         # Stretches of consecutive hits within a fragment.
         stop = np.concatenate((row[1:] != row[:-1], [True])) if len(row) else np.zeros(0, dtype=bool)
         before = np.concatenate(([0], np.where(stop, 0, hit[:-1])))[: len(row)]
         first = np.flatnonzero((hit[:-1] == 1) & (before == 0))
-        after = np.where(stop, 0, hit[1:])
-        last = np.flatnonzero((hit[:-1] == 1) & (after == 0))
+        last = np.flatnonzero((hit[:-1] == 1) & (np.where(stop, 0, hit[1:]) == 0))
         r = row[first]
-        return pa.table({"r1": col["r1"][r], "r2": col["r2"][r], "first": pa.array(col["start"][r] + inside[first], pa.int32()), "beyond": pa.array(col["start"][r] + inside[last] + window, pa.int32())})
+        return spans_of(col["r1"][r], col["r2"][r], col["start"][r] + inside[first], col["start"][r] + inside[last])
 
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "gram")
     spans = by_gram(bucket_rows, PART_BYTES, lambda b: pc.sum(pc.binary_length(b.column("bytes"))).as_py() or 0)
