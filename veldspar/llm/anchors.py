@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bucketed, materialise, shuffle_partitions
+from .common import Bucketed, materialise, release, shuffle_partitions
 
 #: Characters of one vectorised block, unless one text is longer; a block's arrays take about
 #: a hundred bytes for each.
@@ -89,6 +89,8 @@ def row_key(content: Column) -> tuple[Column, Column]:
 
 #: Texts of more than 1 / SHARE of all rows (and more than LEAST) are hot; there are SHARE at most.
 SHARE, LEAST = 2048, 1000
+#: Bytes kept of a hot text that is broadcast, at most: 8 MiB for all of them.
+MAX_KEPT = 4096
 
 
 class Texts:
@@ -124,14 +126,14 @@ class Texts:
         return out
 
     def told(self, info: DataFrame) -> DataFrame:
-        """All rows of the texts of info (r1, r2, copies, ..), a hot text's where they are: hot
-        texts are few, and what info tells of them must be short."""
+        """All rows of the texts of info (r1, r2, copies, kept, ..), a hot text's where they are:
+        hot texts of which little is kept are few and short enough to broadcast."""
         limit = max(LEAST, self.rows.count() // SHARE)
         names = [c for c in info.columns if c not in ("r1", "r2")]
-        hot = info.filter(F.col("copies") > limit)
-        hot = hot.select("r1", "r2", F.struct(*names).alias("hot"))
+        is_hot = (F.col("copies") > limit) & (F.octet_length("kept") <= MAX_KEPT)
+        hot = info.filter(is_hot).select("r1", "r2", F.struct(*names).alias("hot"))
         tried = self.rows.join(F.broadcast(hot), ["r1", "r2"], "left")
-        rest = tried.filter("hot is null").select("id", "r1", "r2").join(info.filter(F.col("copies") <= limit), ["r1", "r2"])
+        rest = tried.filter("hot is null").select("id", "r1", "r2").join(info.filter(~is_hot), ["r1", "r2"])
         return tried.filter("hot is not null").select("id", "r1", "r2", "hot.*").unionByName(rest)
 
 
@@ -162,6 +164,8 @@ def by_gram(handle: Callable[[pa.Table], pa.Table], limit: int, size: Callable[[
             due = max(due, 2 * have)
         if held:
             yield from handle(pa.Table.from_batches(held).combine_chunks()).to_batches()
+        held = []
+        release()
 
     return run
 
