@@ -237,7 +237,7 @@ def _dealt(place: np.ndarray, known: bool, names: np.ndarray, sizes: np.ndarray,
 
 
 #: Tokens that one part of the token space holds on average.
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
 
 
 def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> DataFrame:
@@ -296,11 +296,15 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
         use = np.flatnonzero(~known)
         order, start, two = in_two(names[use], tokens[use])
         at = np.concatenate((use[order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]], np.flatnonzero(known)))
-        return pa.Table.from_batches([_dealt(block_of(names[at]), True, names[at], sizes[at], tokens[at])]).select(["place", "classes", "sizes", "counts", "tokens"])
+        out = pa.Table.from_batches([_dealt(block_of(names[at]), True, names[at], sizes[at], tokens[at])]).select(["place", "classes", "sizes", "counts", "tokens"])
+        del t, row, names, sizes, tokens, known, use, order, start, two, at
+        release()
+        return out
 
     def route(t: pa.Table) -> pa.Table:
         _, names, sizes, tokens = _entries(t.combine_chunks())
-        size_of = dict(zip(names.tolist(), sizes.tolist(), strict=True))
+        lists = (np.asarray(t.column(c).combine_chunks().flatten()).tolist() for c in ("classes", "sizes"))
+        size_of = dict(zip(*lists, strict=True))
         classes, ends, tokens = _by_class(names, tokens)
         out = []
         for k, c in enumerate(classes.tolist()):
@@ -309,6 +313,8 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
             if routes > 0:
                 out.append((c, size_of[c], s.tobytes(), s[:routes].view(np.int64)))
         cols = list(zip(*out, strict=True)) or [()] * 4
+        del names, sizes, tokens, size_of, out
+        release()
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("name", "n", "tokens", "routes"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
     asked = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(ask, kinds)
