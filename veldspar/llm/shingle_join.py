@@ -193,47 +193,38 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def in_two(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, start, two) of (class, token) entries: their order by token and class, where a
-    token begins in it, and whether its entries are of two classes at least."""
-    order = np.lexsort((names, tokens))
-    t, c = tokens[order], names[order]
+def in_two(owners: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, two) of (owner, token) entries: their order by token and owner, where a
+    token begins in it, and whether its entries are of two owners at least."""
+    order = np.lexsort((owners, tokens))
+    t, c = tokens[order], owners[order]
     start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))[: len(t)]
     stop = np.concatenate((start[1:], [len(t)])).astype(np.int64)
     return order, start, c[start] != c[stop - 1] if len(t) else np.zeros(0, dtype=bool)
 
 
-def _by_class(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, ends, tokens): entries counted once, in the order of their class and token."""
-    order = np.lexsort((tokens, names))
-    c, t = names[order], tokens[order]
-    new = np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))[: len(c)]
-    c, t = c[new], t[new]
-    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))[: len(c)]
-    return c[first], np.concatenate((first, [len(c)])), t
+#: What a row of a block of texts holds: tokens that it asks for, tokens known to be shared, or
+#: the block's classes.
+ASKED, SHARED, CLASSES = 0, 1, 2
+ENTRIES = "place int, kind int, block long, owners array<int>, tokens array<long>, names array<long>, sizes array<long>"
 
 
-def _entries(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """(row, class, size, token) of all entries of rows with lists of classes, sizes, counts and tokens."""
-    lists = {c: t.column(c).combine_chunks() for c in ("classes", "sizes", "counts", "tokens")}
-    counts = np.asarray(lists["counts"].flatten())
-    names, sizes = (np.repeat(np.asarray(lists[c].flatten()), counts) for c in ("classes", "sizes"))
-    row = np.repeat(np.arange(t.num_rows), np.diff(np.asarray(lists["tokens"].offsets)))
-    return row, names, sizes, np.asarray(lists["tokens"].flatten()).view(np.uint64)
+def _rows(kind: int, place: np.ndarray, block: np.ndarray, owners: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """Entries as a row for each place and block: the owners' numbers in the block, the tokens."""
+    order = np.lexsort((block, place))
+    place, block, owners, tokens = place[order], block[order], owners[order], tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (block[1:] != block[:-1]))))[: len(place)]
+    ends = pa.array(np.concatenate((first, [len(place)])), pa.int32())
+    none = pa.array([None] * len(first), pa.list_(pa.int64()))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (owners.astype(np.int32), tokens.view(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(block[first]), *lists, none, none], [x.split()[0] for x in ENTRIES.split(", ")])
 
 
-def _dealt(place: np.ndarray, known: bool, names: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
-    """Entries as a row for each place: its classes, their sizes and how many entries each has, the tokens."""
-    order = np.lexsort((names, place))
-    place, names, sizes, tokens = place[order], names[order], sizes[order], tokens[order]
-    new = np.concatenate(([True], place[1:] != place[:-1]))[: len(place)]
-    run = np.flatnonzero(new | np.concatenate(([True], names[1:] != names[:-1]))[: len(place)])
-    first = np.flatnonzero(new)
-    at = pa.array(np.concatenate((np.searchsorted(run, first), [len(run)])).astype(np.int32))
-    counts = np.diff(np.concatenate((run, [len(place)]))).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (names[run], sizes[run].astype(np.int64), counts)]
-    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(place)])), pa.int32()), pa.array(tokens.view(np.int64))))
-    return pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int32)), pa.array([known] * len(first), pa.bool_()), *lists], ["place", "known", "classes", "sizes", "counts", "tokens"])
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, owner, token) of all entries of the rows."""
+    lists = [t.column(c).combine_chunks() for c in ("owners", "tokens")]
+    block = np.repeat(t.column("block").to_numpy(), np.diff(np.asarray(lists[1].offsets)))
+    return block, np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten()).view(np.uint64)
 
 
 #: Tokens that one part of the token space holds on average.
@@ -242,26 +233,28 @@ PART_TOKENS = 1 << 20
 
 def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> DataFrame:
     """(name, n, tokens, routes) of every class that the root of the tree does not rule out: its
-    size, those of its tokens that other classes have, too, and the routes to take.
+    size, those of its tokens that stand elsewhere, too, and the routes to take.
 
     The root's bitmap, of a bit for each token there is, lies spread over parts by token. A
-    block of texts asks the parts for its tokens. Tokens that the block holds in two classes
-    are known at once, and only two entries of each go to their part, so a very common token
-    does not gather. What the parts answer meets again by class, a block of classes together.
-    Tokens that no other class has come first in the order of tokens, so a class whose whole
-    prefix is such tokens links with nothing.
+    block of texts asks the parts for its tokens; what stands in two blocks, or in two classes
+    of one, is shared. Tokens that the block holds in two classes are known at once, and only
+    two entries of each go to their part, so a very common token does not gather. What the
+    parts answer comes back to the block. Tokens that stand nowhere else come first in the
+    order of tokens, so a class whose whole prefix is such tokens links with nothing.
     """
     parts = max(1, -(-total // PART_TOKENS))
-    kinds = "place int, known boolean, classes array<long>, sizes array<long>, counts array<int>, tokens array<long>"
 
     def part_of(x: np.ndarray) -> np.ndarray:
         return ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    def block_of(names: np.ndarray) -> np.ndarray:
-        return part_of(mix(names.view(np.uint64)))
+    def home_of(block: np.ndarray) -> np.ndarray:
+        return part_of(mix(block.view(np.uint64)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         seen: set[bytes] = set()
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in blocks_of(texts, lambda t: len(t or "")):
@@ -276,50 +269,60 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
                     seen.clear()
                 if not sets:
                     continue
+                number += 1
                 many = [len(s) for s in sets]
-                names, sizes, tokens = np.repeat(np.array(own, dtype=np.int64), many), np.repeat(many, many), np.concatenate(sets)
-                order, start, two = in_two(names, tokens)
+                owners, tokens = np.repeat(np.arange(len(sets)), many), np.concatenate(sets)
+                order, start, two = in_two(owners, tokens)
                 stop = np.concatenate((start[1:], [len(order)]))
                 known = np.repeat(two, stop - start)
                 asked = np.concatenate((order[~known], order[start[two]], order[stop[two] - 1]))
-                yield _dealt(part_of(tokens[asked]), False, names[asked], sizes[asked], tokens[asked])
+                block, home = np.full(len(tokens), number, dtype=np.int64), home_of(np.array([number], dtype=np.int64))
+                yield _rows(ASKED, part_of(tokens[asked]), block[asked], owners[asked], tokens[asked])
                 if known.any():
                     told = order[known]
-                    yield _dealt(block_of(names[told]), True, names[told], sizes[told], tokens[told])
+                    yield _rows(SHARED, np.repeat(home, len(told)), block[told], owners[told], tokens[told])
+                none = [pa.array([None], pa.list_(k)) for k in (pa.int32(), pa.int64())]
+                told = [pa.array([x], pa.list_(pa.int64())) for x in (own, many)]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([CLASSES], pa.int32()), pa.array(block[:1]), *none, *told], [x.split()[0] for x in ENTRIES.split(", ")])
         release()
 
     def answer(t: pa.Table) -> pa.Table:
-        """The asked tokens of a part that are in two classes, and what is known, by block of classes."""
-        t = t.combine_chunks()
-        row, names, sizes, tokens = _entries(t)
-        known = np.asarray(t.column("known"))[row]
-        use = np.flatnonzero(~known)
-        order, start, two = in_two(names[use], tokens[use])
-        at = np.concatenate((use[order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]], np.flatnonzero(known)))
-        out = pa.Table.from_batches([_dealt(block_of(names[at]), True, names[at], sizes[at], tokens[at])]).select(["place", "classes", "sizes", "counts", "tokens"])
-        del t, row, names, sizes, tokens, known, use, order, start, two, at
+        """The asked tokens of a part that stand twice, by block; other rows as they are."""
+        kind = t.column("kind").to_numpy()
+        others = t.filter(pa.array(kind != ASKED))
+        block, owners, tokens = _entries(t.filter(pa.array(kind == ASKED)).combine_chunks())
+        names, which = np.unique(block, return_inverse=True)
+        order, start, two = in_two((which.astype(np.int64) << 32) + owners, tokens)
+        at = order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]
+        out = _rows(SHARED, home_of(block[at]), block[at], owners[at], tokens[at])
+        del t, block, owners, tokens, names, which, order, start, two, at
         release()
-        return out
+        return pa.concat_tables([others, pa.Table.from_batches([out], others.schema)])
 
     def route(t: pa.Table) -> pa.Table:
-        _, names, sizes, tokens = _entries(t.combine_chunks())
-        lists = (np.asarray(t.column(c).combine_chunks().flatten()).tolist() for c in ("classes", "sizes"))
-        size_of = dict(zip(*lists, strict=True))
-        classes, ends, tokens = _by_class(names, tokens)
+        kind = t.column("kind").to_numpy()
+        known = t.filter(pa.array(kind == CLASSES))
+        names, sizes = ({b: x for b, x in zip(known.column("block").to_pylist(), known.column(c).to_pylist(), strict=True)} for c in ("names", "sizes"))
+        block, owners, tokens = _entries(t.filter(pa.array(kind == SHARED)).combine_chunks())
+        order = np.lexsort((tokens, owners, block))
+        block, owners, tokens = block[order], owners[order], tokens[order]
+        own = np.concatenate(([True], (block[1:] != block[:-1]) | (owners[1:] != owners[:-1])))[: len(block)]
+        first = np.flatnonzero(own)
         out = []
-        for k, c in enumerate(classes.tolist()):
-            s = tokens[ends[k] : ends[k + 1]]
-            routes = prefix_length(size_of[c], percent) - (size_of[c] - len(s))
+        for b, k, x, y in zip(block[first].tolist(), owners[first].tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+            s, size = np.unique(tokens[x:y]), sizes[b][k]
+            routes = prefix_length(size, percent) - (size - len(s))
             if routes > 0:
-                out.append((c, size_of[c], s.tobytes(), s[:routes].view(np.int64)))
+                out.append((names[b][k], size, s.tobytes(), s[:routes].view(np.int64)))
         cols = list(zip(*out, strict=True)) or [()] * 4
-        del names, sizes, tokens, size_of, out
+        del block, owners, tokens, order, out
         release()
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("name", "n", "tokens", "routes"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
-    asked = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(ask, kinds)
-    answered = asked.groupBy("place").applyInArrow(answer, "place int, classes array<long>, sizes array<long>, counts array<int>, tokens array<long>")
-    return answered.groupBy("place").applyInArrow(route, "name long, n long, tokens binary, routes array<long>")
+    asked = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(ask, ENTRIES)
+    found = asked.groupBy("place").applyInArrow(answer, ENTRIES).groupBy("place").applyInArrow(route, "name long, n long, tokens binary, routes array<long>")
+    # A class that several blocks hold is told by each, with the same tokens.
+    return found.groupBy("name").agg(F.min(F.struct("n", "tokens", "routes")).alias("x")).select("name", "x.*")
 
 
 def stars_of(routes: DataFrame) -> DataFrame:
