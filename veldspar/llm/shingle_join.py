@@ -31,7 +31,7 @@ SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Classes in a block of a large cluster, on average.
-BLOCK_CLASSES = 256
+BLOCK_CLASSES = 512
 LEAF = 8
 _LOWER_SPLIT = bytes(32 if b in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -193,6 +193,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def marks_of(names: list[int]) -> np.ndarray:
+    """32 bits of each class's name, made different within the block: a class that several blocks
+    hold has one mark, but for the few that had to give way."""
+    marks: dict[int, None] = {}
+    for x in names:
+        x &= 0xFFFFFFFF
+        while x in marks:
+            x = (x + 1) & 0xFFFFFFFF
+        marks[x] = None
+    return np.array(list(marks), dtype=np.uint32).view(np.int32)
+
+
 def in_two(owners: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, start, two) of (owner, token) entries: their order by token and owner, where a
     token begins in it, and whether its entries are of two owners at least."""
@@ -233,13 +245,13 @@ PART_TOKENS = 1 << 20
 
 def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> DataFrame:
     """(name, n, tokens, routes) of every class that the root of the tree does not rule out: its
-    size, those of its tokens that stand elsewhere, too, and the routes to take.
+    size, those of its tokens that other classes have, too, and the routes to take.
 
     The root's bitmap, of a bit for each token there is, lies spread over parts by token. A
-    block of texts asks the parts for its tokens; what stands in two blocks, or in two classes
-    of one, is shared. Tokens that the block holds in two classes are known at once, and only
+    block of texts asks the parts for its tokens; what two classes have, by their marks, is
+    shared. Tokens that the block holds in two classes are known at once, and only
     two entries of each go to their part, so a very common token does not gather. What the
-    parts answer comes back to the block. Tokens that stand nowhere else come first in the
+    parts answer comes back to the block. Tokens that no other class has come first in the
     order of tokens, so a class whose whole prefix is such tokens links with nothing.
     """
     parts = max(1, -(-total // PART_TOKENS))
@@ -270,8 +282,8 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
                 if not sets:
                     continue
                 number += 1
-                many = [len(s) for s in sets]
-                owners, tokens = np.repeat(np.arange(len(sets)), many), np.concatenate(sets)
+                many, marks = [len(s) for s in sets], marks_of(own)
+                owners, tokens = np.repeat(marks, many), np.concatenate(sets)
                 order, start, two = in_two(owners, tokens)
                 stop = np.concatenate((start[1:], [len(order)]))
                 known = np.repeat(two, stop - start)
@@ -281,28 +293,27 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
                 if known.any():
                     told = order[known]
                     yield _rows(SHARED, np.repeat(home, len(told)), block[told], owners[told], tokens[told])
-                none = [pa.array([None], pa.list_(k)) for k in (pa.int32(), pa.int64())]
-                told = [pa.array([x], pa.list_(pa.int64())) for x in (own, many)]
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([CLASSES], pa.int32()), pa.array(block[:1]), *none, *told], [x.split()[0] for x in ENTRIES.split(", ")])
+                told = [pa.array([marks.tolist()], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.int64())) for x in (own, many))]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([CLASSES], pa.int32()), pa.array(block[:1]), *told], [x.split()[0] for x in ENTRIES.split(", ")])
         release()
 
     def answer(t: pa.Table) -> pa.Table:
-        """The asked tokens of a part that stand twice, by block; other rows as they are."""
+        """The asked tokens of a part that two classes have, by block; other rows as they are."""
         kind = t.column("kind").to_numpy()
         others = t.filter(pa.array(kind != ASKED))
         block, owners, tokens = _entries(t.filter(pa.array(kind == ASKED)).combine_chunks())
-        names, which = np.unique(block, return_inverse=True)
-        order, start, two = in_two((which.astype(np.int64) << 32) + owners, tokens)
+        order, start, two = in_two(owners, tokens)
         at = order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]
         out = _rows(SHARED, home_of(block[at]), block[at], owners[at], tokens[at])
-        del t, block, owners, tokens, names, which, order, start, two, at
+        del t, block, owners, tokens, order, start, two, at
         release()
         return pa.concat_tables([others, pa.Table.from_batches([out], others.schema)])
 
     def route(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         known = t.filter(pa.array(kind == CLASSES))
-        names, sizes = ({b: x for b, x in zip(known.column("block").to_pylist(), known.column(c).to_pylist(), strict=True)} for c in ("names", "sizes"))
+        rows = zip(*(known.column(c).to_pylist() for c in ("block", "owners", "names", "sizes")), strict=True)
+        told = {b: {m: (x, y) for m, x, y in zip(*lists, strict=True)} for b, *lists in rows}
         block, owners, tokens = _entries(t.filter(pa.array(kind == SHARED)).combine_chunks())
         order = np.lexsort((tokens, owners, block))
         block, owners, tokens = block[order], owners[order], tokens[order]
@@ -310,10 +321,10 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
         first = np.flatnonzero(own)
         out = []
         for b, k, x, y in zip(block[first].tolist(), owners[first].tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
-            s, size = np.unique(tokens[x:y]), sizes[b][k]
+            s, (name, size) = np.unique(tokens[x:y]), told[b][k]
             routes = prefix_length(size, percent) - (size - len(s))
             if routes > 0:
-                out.append((names[b][k], size, s.tobytes(), s[:routes].view(np.int64)))
+                out.append((name, size, s.tobytes(), s[:routes].view(np.int64)))
         cols = list(zip(*out, strict=True)) or [()] * 4
         del block, owners, tokens, order, out
         release()
