@@ -211,3 +211,14 @@ def test_a_very_long_text(spark):
     assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: 0, 5: 240, 7: 120}
     got = {r["id"]: r for r in dedup_byte_spans(df).collect()}
     assert [got[i]["n_removed"] >= len(t) for i, t in ((1, parts[0]), (2, parts[1]), (7, parts[2]))] == [True] * 3 and sum(map(len, parts)) <= got[5]["n_removed"] <= sum(map(len, parts)) + 12
+
+
+def test_a_part_of_told_paths_only():
+    """A bucket's part may hold no path that still has to find its sources."""
+    import pyarrow as pa
+
+    from veldspar.llm.word_spans import pieces
+
+    ints = {c: pa.array([v], pa.int64()) for c, v in (("gram", 1), ("r1", 9), ("r2", 8), ("owner", 2), ("start", 4), ("off", 0), ("s1", 7), ("s2", 6), ("at", 30))}
+    got = pieces(pa.table({"told": pa.array([True]), **ints, "nodes": pa.array([[11, 12, 13]], pa.list_(pa.int64()))}))
+    assert got.to_pylist() == [{"r1": 9, "r2": 8, "first": 4, "n": 2, "s1": 7, "s2": 6, "at": 30}]
