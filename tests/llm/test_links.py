@@ -220,3 +220,9 @@ def test_columns_of_any_name_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, __key string, `a.b` double, id string")
     out = distinct_by_shingles(df)
     assert out.schema == df.schema and sorted(map(tuple, out.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_nothing_shared_in_a_part(spark):
+    """Texts that share no shingle at all link with nothing."""
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(6)], "doc_id long, text string").coalesce(1)
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()) == [(k, 5, k) for k in range(6)]

@@ -320,7 +320,7 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
         own = np.concatenate(([True], (block[1:] != block[:-1]) | (owners[1:] != owners[:-1])))[: len(block)]
         first = np.flatnonzero(own)
         out = []
-        for b, k, x, y in zip(block[first].tolist(), owners[first].tolist(), first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+        for b, k, x, y in zip(block[first].tolist(), owners[first].tolist(), first.tolist(), np.append(first, len(block))[1:].tolist(), strict=True):
             s, (name, size) = np.unique(tokens[x:y]), told[b][k]
             routes = prefix_length(size, percent) - (size - len(s))
             if routes > 0:
