@@ -226,3 +226,31 @@ def test_nothing_shared_in_a_part(spark):
     """Texts that share no shingle at all link with nothing."""
     df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(6)], "doc_id long, text string").coalesce(1)
     assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()) == [(k, 5, k) for k in range(6)]
+
+
+def test_boilerplate_connects_no_families(spark, monkeypatch):
+    """Near copies whose texts all share 40 % of their words meet their own family only."""
+    rng = random.Random(23)
+    shared = [f"b{k}" for k in range(80)]
+    rows = []
+    for k in range(60):
+        own = [f"u{k}x{j}" for j in range(120)]
+        rows += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + own[:-2] + [f"v{k}", f"w{k}"]))]
+    seen = {}
+    keep = shingle_join.materialise
+
+    def spy(df, name, *more):
+        seen[name] = keep(df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(shingle_join, "materialise", spy)
+    got = {r["id"]: r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows)[1] and got[7] == 6
+    assert seen["clusters"].groupBy("cluster").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_rarest_first():
+    """Each entry once, a token's count taken from any entry of its block."""
+    entries = [(1, 5, 9, 0), (1, 6, 9, 3), (1, 5, 8, 7), (1, 5, 9, 3), (2, 5, 9, 3), (2, 5, 8, 7), (1, 6, 7, 3)]
+    got = shingle_join.rarest_first(*(np.array(c, dtype=np.int64) for c in zip(*entries, strict=True)))
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == [(1, 5, 9), (1, 5, 8), (1, 6, 7), (1, 6, 9), (2, 5, 9), (2, 5, 8)]

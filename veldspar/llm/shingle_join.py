@@ -5,7 +5,7 @@ their sets' token bitmaps. Its root, the bitmap of all tokens, is spread over th
 each class it tells which tokens any other class has. A link needs most of a set, so a class
 with too many tokens of its own is left at once, whatever boilerplate it shares. The others
 take routes down: one for each shared token that a link could have first, in one order of all
-tokens. Classes that routes connect meet in blocks of bounded size by size range, where two
+tokens, rare ones first, so what many texts share connects few. Classes that routes connect meet in blocks of bounded size by size range, where two
 signature trees are traversed together: a node holds its members' bitmap, their size range and
 their largest excess of tokens over bits, and a pair of nodes is left as soon as the common
 bits cannot hold the overlap that a link needs, or all its members are linked already.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,17 +219,19 @@ def in_two(owners: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarr
 #: What a row of a block of texts holds: tokens that it asks for, tokens known to be shared, or
 #: the block's classes.
 ASKED, SHARED, CLASSES = 0, 1, 2
-ENTRIES = "place int, kind int, block long, owners array<int>, tokens array<long>, names array<long>, sizes array<long>"
+ENTRIES = "place int, kind int, block long, owners array<int>, tokens array<long>, counts array<int>, names array<long>, sizes array<long>"
 
 
-def _rows(kind: int, place: np.ndarray, block: np.ndarray, owners: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
-    """Entries as a row for each place and block: the owners' numbers in the block, the tokens."""
+def _rows(kind: int, place: np.ndarray, block: np.ndarray, owners: np.ndarray, tokens: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries as a row for each place and block: the owners' numbers in the block, the tokens,
+    and how often each was asked for, if that is known."""
     order = np.lexsort((block, place))
     place, block, owners, tokens = place[order], block[order], owners[order], tokens[order]
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (block[1:] != block[:-1]))))[: len(place)]
     ends = pa.array(np.concatenate((first, [len(place)])), pa.int32())
     none = pa.array([None] * len(first), pa.list_(pa.int64()))
     lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (owners.astype(np.int32), tokens.view(np.int64))]
+    lists.append(none.cast(pa.list_(pa.int32())) if counts is None else pa.ListArray.from_arrays(ends, pa.array(counts[order].astype(np.int32))))
     return pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int32)), pa.array(np.full(len(first), kind, dtype=np.int32)), pa.array(block[first]), *lists, none, none], [x.split()[0] for x in ENTRIES.split(", ")])
 
 
@@ -243,6 +246,23 @@ def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PART_TOKENS = 1 << 20
 
 
+def rarest_first(block: np.ndarray, owners: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(block, owner, token) entries, each once, by block and owner and there the least asked for
+    token first. counts: how often a token was asked for, or 0 where another entry of the token
+    and block has it."""
+    order = np.lexsort((tokens, block))
+    b, t = block[order], tokens[order]
+    first = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (t[1:] != t[:-1]))))[: len(b)]
+    if len(first):
+        most = np.maximum.reduceat(counts[order], first)
+        counts = np.empty(len(b), dtype=counts.dtype)
+        counts[order] = np.repeat(most, np.diff(np.append(first, len(b))))
+    order = np.lexsort((tokens, counts, owners, block))
+    block, owners, tokens = block[order], owners[order], tokens[order]
+    new = np.concatenate(([True], (block[1:] != block[:-1]) | (owners[1:] != owners[:-1]) | (tokens[1:] != tokens[:-1])))[: len(block)]
+    return block[new], owners[new], tokens[new]
+
+
 def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> DataFrame:
     """(name, n, tokens, routes) of every class that the root of the tree does not rule out: its
     size, those of its tokens that other classes have, too, and the routes to take.
@@ -251,8 +271,10 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
     block of texts asks the parts for its tokens; what two classes have, by their marks, is
     shared. Tokens that the block holds in two classes are known at once, and only
     two entries of each go to their part, so a very common token does not gather. What the
-    parts answer comes back to the block. Tokens that no other class has come first in the
-    order of tokens, so a class whose whole prefix is such tokens links with nothing.
+    parts answer comes back to the block, with the number of entries that asked. Tokens that
+    no other class has come first in the order of tokens, so a class whose whole prefix is such
+    tokens links with nothing; the others follow by that number, the same in all blocks. Common
+    phrases come last, and the classes that routes connect are hardly more than those that link.
     """
     parts = max(1, -(-total // PART_TOKENS))
 
@@ -293,7 +315,7 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
                 if known.any():
                     told = order[known]
                     yield _rows(SHARED, np.repeat(home, len(told)), block[told], owners[told], tokens[told])
-                told = [pa.array([marks.tolist()], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.int64())) for x in (own, many))]
+                told = [pa.array([marks.tolist()], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.int32())), *(pa.array([x], pa.list_(pa.int64())) for x in (own, many))]
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array([CLASSES], pa.int32()), pa.array(block[:1]), *told], [x.split()[0] for x in ENTRIES.split(", ")])
         release()
 
@@ -303,30 +325,34 @@ def survivors(docs: DataFrame, text: str, n: int, percent: int, total: int) -> D
         others = t.filter(pa.array(kind != ASKED))
         block, owners, tokens = _entries(t.filter(pa.array(kind == ASKED)).combine_chunks())
         order, start, two = in_two(owners, tokens)
-        at = order[np.repeat(two, np.diff(np.concatenate((start, [len(order)]))))]
-        out = _rows(SHARED, home_of(block[at]), block[at], owners[at], tokens[at])
+        many = np.diff(np.concatenate((start, [len(order)])))
+        at = order[np.repeat(two, many)]
+        out = _rows(SHARED, home_of(block[at]), block[at], owners[at], tokens[at], np.repeat(many[two], many[two]))
         del t, block, owners, tokens, order, start, two, at
         release()
         return pa.concat_tables([others, pa.Table.from_batches([out], others.schema)])
 
     def route(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
-        known = t.filter(pa.array(kind == CLASSES))
-        rows = zip(*(known.column(c).to_pylist() for c in ("block", "owners", "names", "sizes")), strict=True)
+        held = t.filter(pa.array(kind == CLASSES))
+        rows = zip(*(held.column(c).to_pylist() for c in ("block", "owners", "names", "sizes")), strict=True)
         told = {b: {m: (x, y) for m, x, y in zip(*lists, strict=True)} for b, *lists in rows}
-        block, owners, tokens = _entries(t.filter(pa.array(kind == SHARED)).combine_chunks())
-        order = np.lexsort((tokens, owners, block))
-        block, owners, tokens = block[order], owners[order], tokens[order]
+        # Rows with counts, and those of tokens known in the block, whose counts are among them.
+        shared = t.filter(pa.array(kind == SHARED))
+        counted, known = (shared.filter(f(shared.column("counts"))) for f in (pc.is_valid, pc.is_null))
+        both = [_entries(x) for x in (counted, known)]
+        counts = np.concatenate((np.asarray(counted.column("counts").combine_chunks().flatten()), np.zeros(len(both[1][0]), dtype=np.int32)))
+        block, owners, tokens = rarest_first(*map(np.concatenate, zip(*both, strict=True)), counts)
         own = np.concatenate(([True], (block[1:] != block[:-1]) | (owners[1:] != owners[:-1])))[: len(block)]
         first = np.flatnonzero(own)
         out = []
         for b, k, x, y in zip(block[first].tolist(), owners[first].tolist(), first.tolist(), np.append(first, len(block))[1:].tolist(), strict=True):
-            s, (name, size) = np.unique(tokens[x:y]), told[b][k]
+            s, (name, size) = tokens[x:y], told[b][k]
             routes = prefix_length(size, percent) - (size - len(s))
             if routes > 0:
-                out.append((name, size, s.tobytes(), s[:routes].view(np.int64)))
+                out.append((name, size, np.sort(s).tobytes(), s[:routes].view(np.int64)))
         cols = list(zip(*out, strict=True)) or [()] * 4
-        del block, owners, tokens, order, out
+        del shared, counted, known, both, counts, block, owners, tokens, out
         release()
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("name", "n", "tokens", "routes"), cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)})
 
