@@ -127,3 +127,21 @@ def test_full_pieces_are_sequences_of_their_own(spark):
     full = [r["sequence_id"] for r in got if r["length"] == 4096]
     assert len(full) == 3 and len(set(full)) == 3 and not set(full) & {r["sequence_id"] for r in got if r["length"] < 4096}
     check([(1, "word " * 9000), (2, "word " * 4095)], got, 4096)
+
+
+def test_a_word_is_encoded_once_for_all_texts(monkeypatch):
+    """Words known from earlier texts or other chunks of the same ones are not encoded again."""
+    seen = []
+    encode = WordTokenizer._encode_words
+    monkeypatch.setattr(WordTokenizer, "_encode_words", lambda self, words: seen.append(sorted(words)) or encode(self, words))
+    w = WordTokenizer(PATH)
+    texts = ["Alpha beta.", "(alpha) beta, gamma\n beta", "  ", "gamma. delta\t"]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in w.encode_all(texts)] == [plain(t) for t in texts]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in w.encode_all(texts[::-1])] == [plain(t) for t in texts[::-1]]
+    assert seen == [["(", ")", ",", ".", "alpha", "beta", "delta", "gamma"], []]
+
+
+def test_a_worker_keeps_its_tokenizer():
+    from veldspar.llm.packing import coder_of
+
+    assert coder_of(PATH) is coder_of(PATH)

@@ -16,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anchors import blocks_of
 from .common import materialise, release
 
 CAPACITY = 4096
@@ -30,6 +32,7 @@ GROUP_PIECES = 1 << 17
 #: letters whose lower case is one letter, and common typographic marks.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡¿«»À-ÖØ-öø-įı-ſ–—‘’“”…]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
+_WORDS_OR_BREAK = re.compile(_WORDS.pattern + "|\n")
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
 
@@ -37,17 +40,17 @@ class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's.
 
     The tokenizer lower-cases, splits at white space and word classes and encodes each word
-    for itself, so words, and the chunks between white space, are encoded once and remembered
-    up to a fixed number. Texts beyond the fast path's characters, or with a special token's
-    string, go through the tokenizer whole.
+    for itself, so words are encoded once and remembered up to a fixed number. Of the texts
+    of a call each distinct chunk between white space is split once and each distinct word
+    looked up once, and the texts' ids are gathered by number. Texts beyond the fast path's characters, or with a special token's string, go through the
+    tokenizer whole. most_chunks has no effect any more.
     """
 
-    def __init__(self, path: str, most_chunks: int = 500_000, most_words: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = 0, most_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.most_chunks, self.most_words = most_chunks, most_words
-        self.chunks: dict[str, bytes] = {}
+        self.most_words = most_words
         self.words: dict[str, bytes] = {}
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -66,43 +69,66 @@ class WordTokenizer:
                 at = stop
         return out
 
-    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        split = {c: _WORDS.findall(c) for c in chunks}
-        new = self._encode_words(list({w for ws in split.values() for w in ws if w not in self.words}))
-        known = self.words.get
-        out = {c: b"".join([known(w) or new[w] for w in ws]) for c, ws in split.items()}
-        for w, ids in new.items():
-            if len(self.words) >= self.most_words:
-                break
-            self.words[w] = ids
-        return out
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
-        known, new = self.chunks.get, set()
+        plain = []
         for k, text in enumerate(texts):
-            if not _PLAIN.fullmatch(text) or any(x in text for x in _SPECIAL):
-                out[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                continue
-            chunks = text.lower().split()
-            ids = list(map(known, chunks))
-            if None in ids:
-                gaps = [i for i, x in enumerate(ids) if x is None]
-                new.update([chunks[i] for i in gaps])
-                waiting.append((k, chunks, ids, gaps))
+            if _PLAIN.fullmatch(text) and not any(x in text for x in _SPECIAL):
+                plain.append(k)
             else:
-                out[k] = b"".join(ids)
-        fresh = self._encode_chunks(list(new))
-        room = self.most_chunks - len(self.chunks)
-        if room > 0:
-            self.chunks.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
-        for k, chunks, ids, gaps in waiting:
-            for i in gaps:
-                ids[i] = fresh[chunks[i]]
-            out[k] = b"".join(ids)
+                out[k] = np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        split = pc.ascii_split_whitespace(pa.array([texts[k].lower() for k in plain], pa.large_string()))
+        chunks = split.flatten().dictionary_encode()
+        # The distinct chunks' words, a line break after each chunk.
+        found = _WORDS_OR_BREAK.findall("\n".join([*_listed(chunks.dictionary), ""]))
+        words = pa.array(found, pa.string()).dictionary_encode()
+        ids = self._ids(_listed(words.dictionary))
+        at = np.asarray(words.indices)
+        breaks = np.flatnonzero(np.asarray(pc.equal(words.dictionary, "\n"))[at])
+        long = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, stops = _gathered(np.frombuffer(b"".join(ids), dtype="<u4"), long, at)
+        chunk_stops = stops[np.concatenate(([0], breaks + 1))]
+        flat, stops = _gathered(flat, np.diff(chunk_stops), np.asarray(chunks.indices))
+        raw, cuts = flat.tobytes(), (4 * stops[np.asarray(split.offsets)]).tolist()
+        for k, x, y in zip(plain, cuts[:-1], cuts[1:], strict=True):
+            out[k] = raw[x:y]
         return out
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, none of a line break."""
+        ids = list(map(self.words.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        fresh = self._encode_words([w for i in gaps if (w := words[i]) != "\n"])
+        for i in gaps:
+            ids[i] = fresh.get(words[i], b"")
+        room = self.most_words - len(self.words)
+        if room > 0:
+            self.words.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
+        return ids
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+_coders: dict[str, WordTokenizer] = {}
+
+
+def coder_of(path: str) -> WordTokenizer:
+    """The worker's tokenizer: it and the words it remembers outlive a task."""
+    if path not in _coders:
+        _coders.clear()
+        _coders[path] = WordTokenizer(path)
+    return _coders[path]
+
+
+def _gathered(flat: np.ndarray, long: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of flat, of the given lengths one after another, in the order of their numbers
+    `at`; and where each begins in the result, with its end."""
+    many = long[at]
+    stops = np.concatenate(([0], np.cumsum(many)))
+    return flat[np.repeat((np.cumsum(long) - long)[at] - stops[:-1], many) + np.arange(stops[-1])], stops
+
 
 def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids) of every row; a null text has the end id only.
@@ -110,15 +136,15 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     ids: the piece's token ids, 4 bytes each, least first."""
 
     def coded(b: pa.RecordBatch, coder: WordTokenizer) -> Iterator[tuple[bytes, int]]:
-        for k in range(0, b.num_rows, 500):
-            part = b.slice(k, 500)
-            yield from zip(coder.encode_all([t or "" for t in part.column(1).to_pylist()]), part.column(0).to_pylist(), strict=True)
+        texts, own = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
+        for part in blocks_of(texts, len):
+            yield from zip(coder.encode_all(texts[part]), own[part], strict=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = WordTokenizer(path), np.array([END], dtype="<u4").tobytes()
+        coder, end = coder_of(path), np.array([END], dtype="<u4").tobytes()
         for b in batches:
             rows = []
             for ids, i in coded(b, coder):
@@ -129,7 +155,6 @@ def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "piece", "start", "length", "ids_crc32", "ids"])
-        coder = None
         release()
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
