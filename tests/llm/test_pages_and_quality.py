@@ -237,3 +237,20 @@ def test_stray_end_tags_are_cheap_and_close_no_block(model):
 def test_kept_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "t", "u")], "page_id long, html string, text string, `a.b` string")
     assert html_extract(df, keep=("text", "a.b")).collect()[0].asDict() == {"id": 1, "text_in": "t", "a.b": "u", "text": "x", "n_chars": 1}
+
+
+def test_labelled_rows_take_little_of_the_driver(spark):
+    """Features of labelled rows come to the driver as arrays, not as a Python object each."""
+    import tracemalloc
+
+    rows, labels = corpus(500)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    told = spark.createDataFrame(labels, "doc_id long, quality int")
+    quality.learn(df, told, rounds=0)  # imports and caches
+    tracemalloc.start()
+    try:
+        quality.learn(df, told, rounds=0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 500 * (quality.N_SHAPE + quality.GRAMS + quality.N_META) * 32

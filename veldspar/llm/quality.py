@@ -342,16 +342,18 @@ def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str,
     """The model, and the (id, a, b) of every row that it was fitted on; None if there was no fit."""
     key = columns[0]
     known = labels.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    # At most max_labelled rows, so the broadcast and what comes to the driver are bounded.
+    # At most max_labelled rows, so the broadcast and what comes to the driver (as Arrow
+    # batches: row objects take ten times as much) are bounded.
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), F.col("id")), "id").limit(max_labelled).select(F.col("id").alias("__id"), F.col("y").alias("__y"))
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
     plain = tuple(f"c{k}" for k in range(5))
     rows = named.join(F.broadcast(chosen), F.col("c0").cast("long") == F.col("__id"))
-    got = features(rows, plain, None, "__y").groupBy("id").agg(F.min(F.struct("a", "b", "__y")).alias("r")).select("id", "r.*").orderBy("id").toPandas()
-    y = got["__y"].to_numpy(dtype=float)
+    got = features(rows, plain, None, "__y").groupBy("id").agg(F.min(F.struct("a", "b", "__y")).alias("r")).select("id", "r.*").orderBy("id").toArrow()
+    y = got["__y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return constant(y), None
-    a, b = (np.array(got[c].tolist(), dtype=float).reshape(len(got), -1) for c in ("a", "b"))
+    a, b = (_matrix(got[c].combine_chunks(), width) for c, width in (("a", N_SHAPE + GRAMS), ("b", N_META)))
+    del got
     shape, shares = a[:, :N_SHAPE], a[:, N_SHAPE:]
     # The labelled rows' own odds come from the other half of them.
     half = np.arange(len(y)) % 2
@@ -363,8 +365,12 @@ def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str,
     a = np.hstack((shape, (odds * scale)[:, None]))
     every = materialise(features(named.join(F.broadcast(chosen), F.col("c0").cast("long") == F.col("__id"), "left"), plain, grams, "__y"), "views")
     open_rows = every.filter("__y is null")
+    del shape, shares
     w, held = cotrain(a, b, y, lambda base, now: corpus_sums(open_rows, base, now), rounds)
-    return combined(a, b, y, w, held, grams), every
+    model = combined(a, b, y, w, held, grams)
+    del a, b
+    release()  # the driver, too, has other steps to come
+    return model, every
 
 
 def classify(docs: DataFrame, labels: DataFrame, columns: tuple[str, str, str, str, str] = COLUMNS, label: str = "quality", reject: float = REJECT) -> DataFrame:
