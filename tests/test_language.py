@@ -225,3 +225,62 @@ def test_similarity_join_below_zero_and_odd_names(spark):
     b = spark.createDataFrame([(7, [-1.0, 0.1]), (8, [0.0, 1.0])], "id int, w array<float>")
     got = join.similarity_join(a, b, "v", "w", -0.5, "inner").collect()
     assert sorted((r["a.b"], r["id"]) for r in got) == [(1, 8), (2, 7), (2, 8)]
+
+
+def _cosines(a, b):
+    import numpy as np
+
+    x, y = (np.array([v for _, v in side]) for side in (a, b))
+    return (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+
+
+@pytest.mark.parametrize("how", ["full"])
+def test_similarity_join_of_many_blocks(spark, monkeypatch, how):
+    """All pairs, each once; rows shuffled grow with the sides, not with their product."""
+    import numpy as np
+
+    from veldspar.operators import join
+
+    monkeypatch.setattr(join, "BLOCK", 16)
+    sc, shuffled = spark.sparkContext, []
+
+    def records():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    for n in (128, 512):
+        v = np.random.default_rng(7).normal(size=(2 * n, 6))
+        a, b = ([(k, v[2 * k + s].tolist()) for k in range(n)] for s in (0, 1))
+        c, before = _cosines(a, b), records()
+        t = float(np.sort(c.max(axis=1))[n // 4])  # a quarter of the left rows have no partner
+        frames = (spark.createDataFrame(x, f"{k} int, {w} array<double>").repartition(3) for x, k, w in ((a, "x", "v"), (b, "`y.z`", "w")))
+        got = [tuple(r) for r in join.similarity_join(*frames, "v", "w", t + 1e-9, how).select("x", "`y.z`").collect()]
+        shuffled.append(sum(k for s, k in records().items() if s not in before))
+        i, j = np.nonzero(c > t + 1e-9)
+        want = list(zip(i.tolist(), j.tolist(), strict=True))
+        want += [(k, None) for k in range(n) if how in ("left", "full") and k not in set(i.tolist())]
+        want += [(None, k) for k in range(n) if how in ("right", "full") and k not in set(j.tolist())]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(want) > len(i) - (how == "inner")
+    assert shuffled[1] < 6 * shuffled[0]
+
+
+def test_similarity_join_at_the_threshold_and_odd_vectors(spark):
+    from veldspar.operators import join
+
+    # Single precision holds the first two for the same.
+    near = [(k, [0.6 + d, (1 - (0.6 + d) ** 2) ** 0.5]) for k, d in enumerate((1e-10, -1e-10, 0.1, -0.1))]
+    a = spark.createDataFrame([*near, (10, None), (11, []), (12, [0.0, 0.0]), (13, [1.0, 0.0, 0.0]), (14, [None, 1.0])], "x int, v array<double>")
+    b = spark.createDataFrame([(1, [2.0, 0.0], "p"), (2, [0.0, 0.0], None), (3, None, "q")], "x int, w array<float>, s string")
+
+    def got(t, how, strict=True):
+        return sorted(((r["x"], r["r_x"], r["s"]) for r in join.similarity_join(a, b, "v", "w", t, how, strict).collect()), key=str)
+
+    within = [(0, 1, "p"), (2, 1, "p")]
+    assert got(0.6, "inner") == within
+    lonely = [(k, None, None) for k in (1, 3, 10, 11, 12, 13, 14)]
+    assert got(0.6, "left") == sorted(within + lonely, key=str)
+    assert got(0.6, "full") == sorted(within + lonely + [(None, 2, None), (None, 3, "q")], key=str)
+    zero = [(k, 2, None) for k in (0, 1, 2, 3, 12, 14)] + [(k, 1, "p") for k in (12, 14)]
+    assert got(0.0, "right", strict=False) == sorted([(k, 1, "p") for k in range(4)] + zero + [(None, 3, "q")], key=str)
+    assert got(0.0, "right") == sorted([(k, 1, "p") for k in range(4)] + [(None, 2, None), (None, 3, "q")], key=str)
