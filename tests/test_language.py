@@ -234,7 +234,7 @@ def _cosines(a, b):
     return (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
 
 
-@pytest.mark.parametrize("how", ["full", "left", "right"])
+@pytest.mark.parametrize("how", ["full", "left", "right", "inner"])
 def test_similarity_join_of_many_blocks(spark, monkeypatch, how):
     """All pairs, each once; rows shuffled grow with the sides, not with their product."""
     import numpy as np
