@@ -284,3 +284,8 @@ def test_similarity_join_at_the_threshold_and_odd_vectors(spark):
     zero = [(k, 2, None) for k in (0, 1, 2, 3, 12, 14)] + [(k, 1, "p") for k in (12, 14)]
     assert got(0.0, "right", strict=False) == sorted([(k, 1, "p") for k in range(4)] + zero + [(None, 3, "q")], key=str)
     assert got(0.0, "right") == sorted([(k, 1, "p") for k in range(4)] + [(None, 2, None), (None, 3, "q")], key=str)
+
+
+def test_similarity_join_of_the_language_shuffles_no_pairs(s):
+    plan = s.sql("SELECT cid, id FROM (SELECT id AS cid, embedding AS w FROM docs) AS c JOIN docs ON COSINE_SIM(w, embedding) > 0.8")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
